@@ -2,7 +2,9 @@
 
 Each license template is the raw-content dictionary of a Zstandard compressor. A candidate block that holds
 a template shrinks far more with it than without; the templates are ranked by that reduction, and the best
-are confirmed by the exact words in which block and template differ.
+are confirmed by the exact words in which block and template differ. Reductions are taken relative to the
+size of the template itself, or long templates, of which any prose repeats some bytes, would outrank the
+short notice that a block holds whole.
 """
 
 from __future__ import annotations
@@ -49,12 +51,14 @@ class Scanner:
             k: make(level=level, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(b" ".join(v), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
             for k, v in self.words.items()
         }
+        self.size = {k: len(self.plain.compress(b" ".join(v))) for k, v in self.words.items()}
         self.rank = lru_cache(4096)(self._rank)
 
     def _rank(self, block: bytes) -> list[tuple[int, str]]:
-        """(bytes saved, template), largest saving first, ties by name."""
+        """(bytes saved, template), largest saving for the template's size first, ties by name."""
         alone = len(self.plain.compress(block))
-        return sorted(((alone - len(c.compress(block)), k) for k, c in self.given.items()), key=lambda x: (-x[0], x[1]))
+        saved = [(alone - len(c.compress(block)), k) for k, c in self.given.items()]
+        return sorted(saved, key=lambda x: (-x[0] / self.size[x[1]], x[1]))
 
     def difference(self, name: str, block: list[bytes], cue: int):
         """The block's words that answer to a template, or None: (start, end, template words missing, words added)."""

@@ -2,4 +2,88 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from .line_templates import TemplateParams
+from .url_filter import TWO_LABEL_SUFFIXES, ReputationParams
+
+_T = TemplateParams()
+_R = ReputationParams()
+_TWO = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
+
+_LINES = f"""
+WITH lines AS (
+  SELECT doc_id AS id, unnest(range(len(l))) AS pos, unnest(l) AS raw
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
+masked AS (SELECT id, pos, regexp_replace(raw, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line FROM lines),
+sized AS (
+  SELECT id, pos, line, len(string_split(line, ' ')) AS n_tok, array_to_string(string_split(line, ' ')[1:{_T.leading_tokens}], ' ') AS lead
+  FROM masked WHERE line <> '' AND len(string_split(line, ' ')) >= {_T.min_tokens}),
+wide AS (SELECT n_tok, lead FROM sized GROUP BY ALL HAVING count(*) >= {_T.min_docs}),
+held AS (SELECT s.* FROM sized s JOIN wide w USING (n_tok, lead)),
+per_line AS (SELECT n_tok, lead, line, count(DISTINCT id) AS docs FROM held GROUP BY ALL),
+tokens AS (
+  SELECT n_tok, lead, line, docs, unnest(range(n_tok)) AS place, unnest(string_split(line, ' ')) AS token FROM per_line),
+constant AS (
+  SELECT n_tok, lead, place, token FROM tokens WHERE token <> '<*>' GROUP BY ALL HAVING sum(docs) >= {_T.min_docs}),
+template AS (
+  SELECT t.n_tok, t.lead, t.line, string_agg(c.place || ' ' || c.token, ' ' ORDER BY t.place) AS template
+  FROM tokens t LEFT JOIN constant c ON t.n_tok = c.n_tok AND t.lead = c.lead AND t.place = c.place AND t.token = c.token
+  GROUP BY ALL HAVING count(c.token) * 100 >= count(*) * {_T.min_constant_pct}),
+named AS (SELECT h.id, h.pos, h.n_tok, h.lead, t.template FROM held h JOIN template t USING (n_tok, lead, line)),
+often AS (SELECT n_tok, lead, template FROM named GROUP BY ALL HAVING count(DISTINCT id) >= {_T.min_docs}),
+found AS (
+  SELECT id, list(pos) AS gone, sum(n_tok) AS words
+  FROM named n JOIN often o ON n.n_tok = o.n_tok AND n.lead = o.lead AND n.template IS NOT DISTINCT FROM o.template GROUP BY id),
+judged AS (
+  SELECT doc_id, text, gone,
+    coalesce(words * 100 <= (length(text) - length(translate(text, ' ' || chr(10), '')) + 1) * {_T.max_drop_pct}, false) AS cut
+  FROM documents LEFT JOIN found ON doc_id = id)
+SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS n_lines,
+  CASE WHEN cut THEN len(gone) ELSE 0 END AS n_dropped,
+  md5(CASE WHEN cut THEN array_to_string([x FOR x, i IN string_split(text, chr(10)) IF NOT list_contains(gone, i - 1)], chr(10)) ELSE text END) AS text_md5
+FROM judged
+"""
+
+
+def _strength(level: str) -> str:
+    """Prior strength of a level's groups around the overall mean, by moments."""
+    spread = "(sum(good * good / n) - 2 * mean * sum(good) + mean * mean * sum(n))"
+    below = "(mean * (1 - mean) * (sum(n) - sum(n * n) / sum(n) - (count(*) - 1)))"
+    rho = f"(CASE WHEN {below} > 0 THEN ({spread} - (count(*) - 1) * mean * (1 - mean)) / {below} ELSE 0 END)"
+    return f"""(SELECT CASE WHEN count(*) < 2 OR any_value(mean) <= 0 OR any_value(mean) >= 1 THEN {_R.most_strength}
+      WHEN {rho} > 0 THEN least({_R.most_strength}, greatest({_R.least_strength}, 1 / {rho} - 1)) ELSE {_R.most_strength} END
+      FROM (SELECT n::DOUBLE AS n, good::DOUBLE AS good, mean FROM {level}, overall WHERE n > 0) GROUP BY mean)"""
+
+
+_URLS = f"""
+WITH split AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+outcomes AS (SELECT doc_id AS page_id, CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END AS good FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL),
+counts AS (SELECT host, count(good) AS n, coalesce(sum(good), 0) AS good, string_split(host, '.') AS l FROM split LEFT JOIN outcomes USING (page_id) GROUP BY host),
+hosts AS (
+  SELECT host, n, good, CASE WHEN two THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain,
+    CASE WHEN two THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix
+  FROM (SELECT *, array_to_string(l[-2:], '.') IN ({_TWO}) AS two FROM counts)),
+domains AS (SELECT suffix, domain, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM domains GROUP BY ALL),
+overall AS (SELECT coalesce(sum(good) / nullif(sum(n), 0), 0.5)::DOUBLE AS mean FROM suffixes),
+strengths AS (SELECT coalesce({_strength("suffixes")}, {_R.most_strength}) AS ss, coalesce({_strength("domains")}, {_R.most_strength}) AS sd, coalesce({_strength("hosts")}, {_R.most_strength}) AS sh),
+m_suffix AS (SELECT suffix, (good + mean * ss) / (n + ss) AS m FROM suffixes, overall, strengths),
+m_domain AS (SELECT domain, (d.good + s.m * sd) / (d.n + sd) AS m FROM domains d JOIN m_suffix s USING (suffix), strengths),
+posterior AS (SELECT host, h.good + d.m * sh AS a, h.n - h.good + (1 - d.m) * sh AS b FROM hosts h JOIN m_domain d USING (domain), strengths),
+known AS (
+  SELECT host, m - {_R.z} * sqrt(m * (1 - m) / (s + 1)) AS bound FROM (SELECT host, a / (a + b) AS m, a + b AS s FROM posterior)),
+ruled AS (
+  SELECT page_id, host, path, bound, CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule
+  FROM split JOIN known USING (host))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN bound >= {_R.threshold} THEN 'allow' ELSE 'block' END AS verdict
+FROM ruled
+"""
+
+SQL: dict[str, str] = {"op3_url_filter": _URLS, "op6_line_templates": _LINES}
