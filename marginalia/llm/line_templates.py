@@ -38,13 +38,18 @@ class TemplateParams:
 def lines_of(docs: DataFrame, id_col: str, text_col: str, p: TemplateParams) -> DataFrame:
     """(id, pos, n_tok, leaf, line): a row for each line; leaf is null where the line has too few tokens."""
     lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("pos", "raw"))
-    masked = F.regexp_replace(F.col("raw"), "[^ ]*[0-9][^ ]*", VARIABLE)
-    lines = lines.select("id", "pos", masked.alias("line"))
-    n_tok = F.length("line") - F.length(F.translate("line", " ", "")) + F.when(F.col("line") == "", 0).otherwise(1)
+    n_tok = F.length("raw") - F.length(F.replace("raw", F.lit(" "))) + F.when(F.col("raw") == "", 0).otherwise(1)
     lines = lines.withColumn("n_tok", n_tok)
-    lead = F.substring_index("line", " ", p.leading_tokens)
+    # The leading tokens are masked by themselves, so counting leaves never touches the rest of a line.
+    lead = _masked(F.substring_index("raw", " ", p.leading_tokens))
     leaf = F.when(F.col("n_tok") >= p.min_tokens, F.xxhash64("n_tok", lead))
-    return lines.select("id", "pos", "n_tok", leaf.alias("leaf"), F.xxhash64("line").alias("line_id"), "line")
+    lines = lines.select("id", "pos", "n_tok", leaf.alias("leaf"), _masked(F.col("raw")).alias("line"))
+    return lines.select("id", "pos", "n_tok", "leaf", F.xxhash64("line").alias("line_id"), "line")
+
+
+def _masked(text):
+    """Tokens with a digit as VARIABLE; most lines have none and skip the slow replacement."""
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(text, "[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(text)
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: TemplateParams = TemplateParams()) -> DataFrame:
@@ -52,6 +57,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines = lines_of(docs.where(F.col(id_col).isNotNull()), id_col, text_col, p).where("leaf is not null")
     # Lines are at least as many as documents; this only spares work, documents are counted exactly below.
     wide = lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= p.min_docs).select("leaf")
+    wide = saved(wide, "recurring-leaves")  # a table of its own: small ones are broadcast, skewed joins are split
     held = saved(lines.join(wide, "leaf"), "template-lines")
 
     # Documents for each distinct line, then for each token at a position of its leaf.
@@ -80,7 +86,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     often = (
         named.groupBy("template").agg(F.count_distinct("id").alias("docs")).where(F.col("docs") >= p.min_docs).select("template")
     )
-    return named.join(often, "template").select("id", "pos", "n_tok")
+    return named.join(saved(often, "recurring-templates"), "template").select("id", "pos", "n_tok")
 
 
 def drop_recurring_lines(
@@ -98,7 +104,8 @@ def drop_recurring_lines(
     )
     lines = F.split(text_col, "\n")
     joined = docs.join(found.withColumnRenamed("id", "__id"), F.col(id_col) == F.col("__id"), "left")
-    words = F.length(text_col) - F.length(F.translate(text_col, " \n", "")) + 1
+    bare = F.replace(F.replace(F.col(text_col), F.lit(" ")), F.lit("\n"))
+    words = F.length(text_col) - F.length(bare) + 1
     cut = F.col("__drop").isNotNull() & (F.col("__words") * 100 <= words * p.max_drop_pct)
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__drop", i)), "\n")
     out = joined.select(

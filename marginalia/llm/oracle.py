@@ -31,7 +31,7 @@ template AS (
 named AS (SELECT h.id, h.pos, h.n_tok, h.lead, t.template FROM held h JOIN template t USING (n_tok, lead, line)),
 often AS (SELECT n_tok, lead, template FROM named GROUP BY ALL HAVING count(DISTINCT id) >= {_T.min_docs}),
 found AS (
-  SELECT id, list(pos) AS gone, sum(n_tok) AS words
+  SELECT id, list(pos) AS gone, sum(n.n_tok) AS words
   FROM named n JOIN often o ON n.n_tok = o.n_tok AND n.lead = o.lead AND n.template IS NOT DISTINCT FROM o.template GROUP BY id),
 judged AS (
   SELECT doc_id, text, gone,
