@@ -28,7 +28,8 @@ class FitParams:
     min_docs: int = 5
     #: Least deviation, in standard errors, of a feature's log-odds between a class and the rest.
     min_z: float = 5.0
-    max_features: int = 20_000
+    #: Bounds the model and, times max_fit_rows, what the fit holds on the driver.
+    max_features: int = 2_000
     l2: float = 1e-3
     #: Weight of the squared score changes under counterfactual swaps.
     counterfactual: float = 1.0
@@ -128,7 +129,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, p: FitParams, id_col="do
 
 
 def select_features(sample: DataFrame, counts: dict[str, int], p: FitParams) -> list[bytes]:
-    """Features that tell classes apart, counted over the whole sample by Spark; at most ``max_features``."""
+    """Features that tell a class from the rest, counted over the whole sample by Spark; ``max_features`` at most."""
     classes = sorted(counts)
 
     def run(batches):
@@ -153,9 +154,12 @@ def select_features(sample: DataFrame, counts: dict[str, int], p: FitParams) ->
         a, b = F.col(f"c{i}") + 0.5, F.col("n") - F.col(f"c{i}") + 0.5
         without_a, without_b = counts[c] - F.col(f"c{i}") + 0.5, total - counts[c] - (F.col("n") - F.col(f"c{i}")) + 0.5
         zs.append(F.abs(F.log(a / without_a) - F.log(b / without_b)) / F.sqrt(1 / a + 1 / b + 1 / without_a + 1 / without_b))
-    z = F.greatest(*zs) if len(zs) > 1 else F.lit(0.0)
-    best = per.where(F.col("n") >= p.min_docs).select("feature", z.alias("z")).where(F.col("z") >= p.min_z)
-    return [bytes(r[0]) for r in best.orderBy(F.desc("z"), "feature").limit(p.max_features).collect()]
+    names = [f"z{i}" for i in range(len(zs))]
+    scored = per.where(F.col("n") >= p.min_docs).select("feature", *[z.alias(k) for z, k in zip(zs, names)])
+    best = saved(scored.where(F.greatest(*names) >= p.min_z), "features")
+    share = p.max_features // len(classes)  # each class has its own, or a rare class would have none
+    found = {bytes(r[0]) for k in names for r in best.where(F.col(k) >= p.min_z).orderBy(F.desc(k), "feature").limit(share).collect()}
+    return sorted(found)
 
 
 def fit(
@@ -191,27 +195,28 @@ def fit(
                 names=["y", "plus", "minus"],
             )
 
-    # At most max_fit_rows rows, and twice as many swaps, of selected features: bounded on the driver.
-    rows = sample.mapInArrow(run, "y int, plus array<int>, minus array<int>").toArrow().to_pylist()
-    examples = [(r["y"], r["plus"]) for r in rows if r["y"] >= 0]
-    swaps = [(r["plus"], r["minus"]) for r in rows if r["y"] < 0]
-    weights, bias = _optimise(examples, swaps, len(names), len(classes), p)
+    # At most max_fit_rows rows, and twice as many swaps, of max_features features at most.
+    found = sample.mapInArrow(run, "y int, plus array<int>, minus array<int>").toArrow()
+    weights, bias = _optimise(found, len(names), len(classes), p)
     return Model(classes, vocabulary, weights, bias)
 
 
-def _sparse(lists):
-    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    return rows, np.array([i for x in lists for i in x], np.int64)
+def _sparse(lists: pa.ChunkedArray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of every entry of the lists at ``keep``, rows numbered from 0."""
+    lists = lists.take(pa.array(keep)).combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    return np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), lists.flatten().to_numpy()
 
 
-def _optimise(examples, swaps, n_features, n_classes, p: FitParams):
+def _optimise(found: pa.Table, n_features: int, n_classes: int, p: FitParams):
     """Softmax regression with an L2 penalty and squared logit changes under swaps, by full-batch Adam."""
-    examples.sort(key=lambda e: (e[0], e[1]))
-    y = np.array([e[0] for e in examples])
-    rows, cols = _sparse([e[1] for e in examples])
-    s_rows, s_cols = _sparse([s[0] + s[1] for s in swaps])
-    s_sign = np.array([v for s in swaps for v in [1.0] * len(s[0]) + [-1.0] * len(s[1])])
-    n, m = len(examples), len(swaps)
+    y = found["y"].to_numpy()
+    example, swap = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
+    y, n, m = y[example], len(example), len(swap)
+    rows, cols = _sparse(found["plus"], example)
+    parts = [_sparse(found[c], swap) for c in ("plus", "minus")]
+    s_rows, s_cols = (np.concatenate([q[i] for q in parts]) for i in range(2))
+    s_sign = np.repeat([1.0, -1.0], [len(q[0]) for q in parts])
     w, b = np.zeros((n_features, n_classes)), np.log(np.bincount(y, minlength=n_classes) / n)
     b0 = b.copy()
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, b)]
