@@ -33,12 +33,16 @@ IDENTITY_GROUPS = [
 ]
 
 
+#: Two classes share their features, so this is 2,000 of them.
+PARAMS = FitParams(max_features=4_000)
+
+
 def held_out(id_col: str = "doc_id"):
     """True for the fifth of ids that no label is learned from; null ids are never held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, groups=IDENTITY_GROUPS, p: FitParams = FitParams()) -> Model:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, groups=IDENTITY_GROUPS, p: FitParams = PARAMS) -> Model:
     """Fit on ``labels(doc_id, toxic)`` outside the held-out fifth; ids without documents are ignored."""
     known = labels.where(~held_out() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").cast("string").alias("label"))
     return fit(docs, known, groups, p)
@@ -52,7 +56,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, groups=IDENTITY_GROUPS, p: FitParams = FitParams()) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, groups=IDENTITY_GROUPS, p: FitParams = PARAMS) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic, columns unchanged; rows are judged by their own text.
 
     Without labelled rows nothing can be learned and every row is kept.
