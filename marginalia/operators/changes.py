@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import saved
+
 
 def intersects(lo: Column, hi: Column, start: Column, count: Column) -> Column:
     return (count > 0) & (lo <= start + count - 1) & (hi >= start)
@@ -78,21 +80,22 @@ def latest_author(items: DataFrame, blame: DataFrame) -> DataFrame:
     return joined.groupBy("path", "item").agg(newest.alias("n")).select("path", "item", "n.sha", "n.author_ts")
 
 
-def closure(edges: DataFrame, max_depth: int = 32) -> DataFrame:
-    """(name, ancestor) over ``edges(name, base)`` within a path, cycles included once."""
-    from functools import reduce
-
-    found = edges.select("path", "name", F.col("base").alias("ancestor")).distinct()
-    steps, last = [found], found
-    for _ in range(max_depth):
-        up = edges.select("path", F.col("name").alias("ancestor"), F.col("base").alias("next"))
-        nxt = last.join(up, ["path", "ancestor"]).select("path", "name", F.col("next").alias("ancestor")).distinct()
-        nxt = nxt.join(reduce(DataFrame.unionByName, steps), ["path", "name", "ancestor"], "left_anti")
-        if nxt.isEmpty():
-            break
-        steps.append(nxt)
-        last = nxt
-    return reduce(DataFrame.unionByName, steps)
+def closure(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
+    """(path, name, ancestor) over ``edges(path, name, base)``, cycles included once.
+
+    Each round joins the relation with itself, so a chain of length n takes about log2 n rounds; each is
+    written to shared storage.
+    """
+    found = saved(edges.select("path", "name", F.col("base").alias("ancestor")).distinct(), "closure")
+    n = found.count()
+    for _ in range(max_rounds):
+        up = found.select("path", F.col("name").alias("ancestor"), F.col("ancestor").alias("next"))
+        longer = found.join(up, ["path", "ancestor"]).select("path", "name", F.col("next").alias("ancestor"))
+        found, before = saved(found.unionByName(longer).distinct(), "closure"), n
+        n = found.count()
+        if n == before:
+            return found
+    raise RuntimeError(f"no closure in {max_rounds} rounds")
 
 
 def quota(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -29,6 +30,22 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(target)
 
 
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """Write the rows to the folder in spark.checkpoint.dir and read them again, to cut lineage."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        sc = spark.sparkContext
+        if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="marginalia-"))
+        root = sc._jsc.sc().getCheckpointDir().get()
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "6g") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     spark = (
