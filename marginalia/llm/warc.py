@@ -150,11 +150,11 @@ def record_types(pages: DataFrame) -> DataFrame:
 
 def sample_records(pages: DataFrame, max_samples: int = 1000, max_bytes: int = 32768) -> list[bytes]:
     """Records to train on: the ``max_samples`` smallest hashes of page_id among payloads of 1 to ``max_bytes``."""
-    rows = (
-        pages.where((F.octet_length("html") <= max_bytes) & (F.octet_length("html") > 0) & F.col("page_id").isNotNull())
-        .select("page_id", "url", F.encode("html", "UTF-8").alias("payload"))
-        .orderBy(F.xxhash64("page_id"), "page_id")
-        .limit(max_samples)
+    usable = pages.where((F.octet_length("html") <= max_bytes) & (F.octet_length("html") > 0) & F.col("page_id").isNotNull())
+    # Every task sends its own candidates for the smallest hashes, so only ids are ranked.
+    ids = usable.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(max_samples)
+    rows = usable.join(F.broadcast(ids), "page_id").dropDuplicates(["page_id"]).select(
+        "page_id", "url", F.encode("html", "UTF-8").alias("payload")
     )
     return [record(r[0], r[1], bytes(r[2]), len(r[2]), payload_digest(bytes(r[2]))) for r in rows.collect()]
 
