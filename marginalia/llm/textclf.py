@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import saved, space_words
 
 _KEPT_WORDS = 200_000
+_CHUNK = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -44,18 +45,15 @@ def word_features(word: bytes) -> tuple[bytes, ...]:
 
 
 class Featurizer:
-    """Features of texts, with the features of frequent words kept; ``vocabulary`` maps those that count."""
+    """All features of texts, with the features of frequent words kept."""
 
-    def __init__(self, vocabulary: dict[bytes, int] | None = None):
-        self.vocabulary = vocabulary
+    def __init__(self):
         self._kept: dict[bytes, tuple] = {}
 
     def word(self, word: bytes) -> tuple:
         found = self._kept.get(word)
         if found is None:
             found = word_features(word)
-            if self.vocabulary is not None:
-                found = tuple(self.vocabulary[g] for g in found if g in self.vocabulary)
             if len(word) <= 64:
                 if len(self._kept) >= _KEPT_WORDS:
                     self._kept.clear()
@@ -63,12 +61,69 @@ class Featurizer:
         return found
 
     def text(self, words: list[bytes]) -> set:
-        out: set = set()
-        for w in set(words):
-            found = self.word(w)
-            if found:
-                out.update(found)
-        return out
+        return set().union(*map(self.word, set(words)))
+
+
+class _GramTable:
+    """Finds byte n-grams of one width (4 or 5) in a text by a hash table; grams whose slots are taken go to a further one."""
+
+    def __init__(self, grams: dict[bytes, int], width: int, factor: int = 0x9E3779B1):
+        own = {g: i for g, i in grams.items() if len(g) == width}
+        self.width, self.ids = width, np.array(list(own.values()), np.int64)
+        self.head = np.array([int.from_bytes(g[:4], "little") for g in own], np.uint32)
+        self.tail = np.array([g[-1] for g in own], np.uint8)
+        for tries in range(24):
+            self.bits, self.factor = 16 + tries // 4, factor
+            slots, first = np.unique(self._slots(self.head, self.tail), return_index=True)
+            factor = (factor * 0x85EBCA6B + 2) & 0xFFFFFFFF | 1
+            if len(slots) == len(own):
+                break
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        self.table[slots] = first
+        placed = set(first.tolist())
+        left = {g: own[g] for i, g in enumerate(own) if i not in placed}
+        self.further = left and _GramTable(left, width, factor)
+
+    def _slots(self, head, tail):
+        mixed = head * np.uint32(self.factor)
+        if self.width == 5:
+            mixed = (mixed ^ (tail * np.uint32(0xC2B2AE35))) * np.uint32(self.factor)
+        return mixed >> np.uint32(32 - self.bits)
+
+    def mark(self, head, tail, present) -> None:
+        """Set ``present`` at the number of every gram among (first four bytes, last byte)."""
+        at = self.table[self._slots(head, tail)]
+        hit = np.flatnonzero(at >= 0)
+        at = at[hit]
+        same = (self.head[at] == head[hit]) & (self.tail[at] == tail[hit])
+        present[self.ids[at[same]]] = True
+        if self.further:
+            self.further.mark(head, tail, present)
+
+
+class FeatureFinder:
+    """The features of a vocabulary that a text has, as sorted numbers; the same as Featurizer's, by arrays.
+
+    Words are set apart by a line feed, which no word holds, so no gram reaches over two words.
+    """
+
+    def __init__(self, vocabulary: dict[bytes, int]):
+        self.size = max(vocabulary.values(), default=-1) + 1
+        self.words = {g[1:-1]: i for g, i in vocabulary.items() if len(g) not in (4, 5)}
+        self.known = set(self.words)
+        self.four, self.five = (_GramTable(vocabulary, n) for n in (4, 5))
+
+    def text(self, words: list[bytes]) -> np.ndarray:
+        present = np.zeros(self.size, bool)
+        for w in self.known.intersection(words):
+            present[self.words[w]] = True
+        flat = np.frombuffer(b"<" + b">\n<".join(words) + b">", np.uint8)
+        for at in range(0, len(flat) - 3, _CHUNK):
+            part = flat[at : at + _CHUNK + 4]
+            head = np.ndarray(len(part) - 3, "<u4", part.tobytes(), strides=(1,)).copy()
+            self.four.mark(head[:_CHUNK], part[3 : 3 + _CHUNK], present)
+            self.five.mark(head[: len(part) - 4], part[4:], present)
+        return np.flatnonzero(present)
 
 
 @dataclass
@@ -79,10 +134,10 @@ class Model:
     bias: np.ndarray
 
     def scorer(self):
-        features, w, b = Featurizer(self.vocabulary), self.weights, self.bias
+        features, w, b = FeatureFinder(self.vocabulary), self.weights, self.bias
 
         def score(words: list[bytes]) -> np.ndarray:
-            z = b + w[list(features.text(words))].sum(axis=0)
+            z = b + w[features.text(words)].sum(axis=0)
             e = np.exp(z - z.max())
             return e / e.sum()
 
@@ -178,15 +233,15 @@ def fit(
     at = {c: i for i, c in enumerate(classes)}
 
     def run(batches):
-        features, swapper = Featurizer(vocabulary), Swapper(groups or [])
+        features, swapper = FeatureFinder(vocabulary), Swapper(groups or [])
         for batch in batches:
             rows = []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = space_words(text)
-                own = features.text(words)
+                own = set(features.text(words).tolist())
                 rows.append((at[label], sorted(own), []))
                 for other in swapper.swaps(words):
-                    new = features.text(other)
+                    new = set(features.text(other).tolist())
                     if new != own:
                         rows.append((-1, sorted(new - own), sorted(own - new)))
             ints = pa.list_(pa.int32())

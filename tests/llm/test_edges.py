@@ -120,3 +120,20 @@ def test_rates(spark):
     assert abs(report["shares"]["a"] - 0.5) < 1e-3
     got = mixing.with_rates(members, ["a", "b"], steps).agg(F.min("rate")).first()[0]
     assert got >= 0
+
+
+def test_feature_finder():
+    """Array lookups give just the features that the plain definition gives, collisions and odd words included."""
+    import random
+
+    from marginalia.llm.textclf import Featurizer, FeatureFinder
+
+    rng = random.Random(7)
+    words = [bytes(rng.choices(b"abcde<>\xc3\xa4", k=rng.randint(1, 12))) for _ in range(4000)]
+    plain = Featurizer()
+    grams = sorted(plain.text(words))
+    for size in (0, 1, 500, len(grams)):
+        vocabulary = {g: i for i, g in enumerate(rng.sample(grams, size))}
+        finder = FeatureFinder(vocabulary)
+        for own in ([], [b"a"], [b"<ab>x"], [b">"], words[:7], words):
+            assert finder.text(own).tolist() == sorted(vocabulary[g] for g in plain.text(own) if g in vocabulary)
