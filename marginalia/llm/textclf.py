@@ -268,7 +268,11 @@ def _optimise(found: pa.Table, n_features: int, n_classes: int, p: FitParams):
     y = found["y"].to_numpy()
     example, swap = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
     y, n, m = y[example], len(example), len(swap)
-    rows, cols = _sparse(found["plus"], example)
+    # At most max_fit_rows by max_features, four bytes each: 160 MB with the defaults.
+    dense = np.zeros((n, n_features), np.float32)
+    for at in range(0, n, 1000):
+        rows, cols = _sparse(found["plus"], example[at : at + 1000])
+        dense[at + rows, cols] = 1
     parts = [_sparse(found[c], swap) for c in ("plus", "minus")]
     s_rows, s_cols = (np.concatenate([q[i] for q in parts]) for i in range(2))
     s_sign = np.repeat([1.0, -1.0], [len(q[0]) for q in parts])
@@ -276,13 +280,13 @@ def _optimise(found: pa.Table, n_features: int, n_classes: int, p: FitParams):
     b0 = b.copy()
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, b)]
     for step in range(1, p.iterations + 1):
-        z = np.stack([np.bincount(rows, w[cols, k], n) for k in range(n_classes)], 1) + b
+        z = (dense @ w.astype(np.float32)).astype(np.float64) + b
         z -= z.max(1, keepdims=True)
         g = np.exp(z)
         g /= g.sum(1, keepdims=True)
         g[np.arange(n), y] -= 1
         g /= n
-        gw = np.stack([np.bincount(cols, g[rows, k], n_features) for k in range(n_classes)], 1) + p.l2 * w
+        gw = (g.T.astype(np.float32) @ dense).T + p.l2 * w
         if m:
             for k in range(n_classes):
                 change = np.bincount(s_rows, s_sign * w[s_cols, k], m)
