@@ -9,6 +9,7 @@ emitting all pairs of a group, and a group has no more members than a ball has p
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -94,11 +95,150 @@ def near_duplicates(
     return fps.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest id, once; its columns unchanged."""
-    id_col = options.get("id_col", "doc_id")
-    found = near_duplicates(docs, **options)
-    keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
+@dataclass(frozen=True)
+class CopyParams:
+    shingle_words: int = 5
+    #: Least share of common shingles (Jaccard) of a near copy.
+    similarity: float = 0.8
+    #: Fingerprints of a text, each with weights of its own, and differing bits at which they meet.
+    tables: int = 4
+    radius: int = 2
+    #: Shingles get the pseudo-random weight u ** -tail, u uniform in (0, 1].
+    tail: float = 3.0
+
+
+#: Weights beyond this rank are under a hundredth of the heaviest and can't turn more than stray bits.
+_HEAVIEST = 64
+
+
+def shingle_set(words: list[bytes], k: int) -> np.ndarray:
+    """Sorted distinct XXH64 values (seed 42) of k-word shingles; fewer words: of the whole; none: empty."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    k, hashed = min(k, len(words)), xxhash.xxh64_intdigest
+    return np.unique(np.array([hashed(b" ".join(words[i : i + k]), 42) for i in range(len(words) - k + 1)], np.uint64))
+
+
+def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    """The finaliser of splitmix64 over hashes and a seed."""
+    z = h + np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def weighted_fingerprint(shingles: np.ndarray, seed: int, tail: float) -> int:
+    """64-bit SimHash of a shingle set with heavy-tailed pseudo-random weights, signed; no shingles: 0.
+
+    Plain SimHash has about 10 of 64 bits differ between texts that share 0.8 of their shingles, more than a
+    ball can bridge. Where a few shingles carry most of the weight, texts that have them in common differ in
+    hardly any bit, and texts that don't differ in half.
+    """
+    if not len(shingles):
+        return 0
+    drawn = _mixed(shingles, 2 * seed + 1)
+    if len(drawn) > _HEAVIEST:
+        drawn = np.partition(drawn, _HEAVIEST - 1)[:_HEAVIEST]
+    drawn = np.sort(drawn)
+    weights = (((drawn >> np.uint64(11)).astype(np.float64) + 1) / 2**53) ** -tail
+    bits = np.unpackbits(_mixed(drawn, 2 * seed + 2).view(np.uint8)).reshape(-1, 64)
+    return int.from_bytes(np.packbits(2 * (weights @ bits) > weights.sum()).tobytes(), "big", signed=True)
+
+
+def copy_fingerprints(docs: DataFrame, id_col: str, text_col: str, p: CopyParams) -> DataFrame:
+    """(id, text_key, n, f0, f1, ...) of every row: a digest of the words, distinct shingles, fingerprints."""
+    names = [f"f{t}" for t in range(p.tables)]
+
+    def run(batches):
+        for batch in batches:
+            keys, sizes, fps = [], [], [[] for _ in names]
+            for text in batch.column(1).to_pylist():
+                words = space_words(text)
+                shingles = shingle_set(words, p.shingle_words)
+                keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                sizes.append(len(shingles))
+                for t, column in enumerate(fps):
+                    column.append(weighted_fingerprint(shingles, t, p.tail))
+            columns = [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), *[pa.array(c, pa.int64()) for c in fps]]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_key", "n", *names])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, text_key binary, n long, " + ", ".join(f"{c} long" for c in names))
+
+
+def _candidates(texts: DataFrame, p: CopyParams) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of texts whose fingerprints meet and whose sizes allow the similarity.
+
+    Texts with equal fingerprints meet at the smallest of them, fingerprints with a common variant in a chain.
+    """
+    met = None
+    names = [f"f{t}" for t in range(p.tables)]
+    for name in names:
+        nodes = saved(texts.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("node")), "copy-nodes")
+        same = texts.join(nodes.select(F.col("fp").alias(name), F.col("node").alias("b")), name).select(F.col("node").alias("a"), "b")
+        found = same.unionByName(links(nodes, p.radius))
+        met = found if met is None else met.unionByName(found)
+    # Texts that agree in two fingerprints meet once more, so that a stranger at the head of one group hides no pair.
+    for pair in combinations(names, 2):
+        heads = texts.groupBy(*pair).agg(F.min("node").alias("b"), F.count("*").alias("held")).where("held > 1").drop("held")
+        met = met.unionByName(texts.join(heads, list(pair)).select(F.col("node").alias("a"), "b"))
+    met = saved(met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "copy-pairs")
+    sized = met.join(texts.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(
+        texts.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b"
+    )
+    return sized.where(F.least("na", "nb") >= F.greatest("na", "nb") * p.similarity).select("a", "b", "na", "nb")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str, text_col: str, p: CopyParams) -> DataFrame:
+    """The pairs whose shingle sets have the similarity, by exact intersection."""
+
+    def run(batches):
+        for batch in batches:
+            ids, sets = [], []
+            for node, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+                words = space_words(text)
+                if xxhash.xxh3_128_digest(b" ".join(words)) == key:
+                    ids.append(node)
+                    sets.append(shingle_set(words, p.shingle_words).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, batch.schema.field(0).type), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"]
+            )
+
+    kind = texts.schema["node"].dataType.simpleString()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    held = docs.select(F.col(id_col).alias("node"), F.col(text_col).cast("binary").alias("text"))
+    rows = held.join(texts.join(wanted, "node").select("node", "text_key"), "node").select("node", "text_key", "text")
+    sets = saved(rows.mapInArrow(run, f"node {kind}, shingles array<long>").dropDuplicates(["node"]), "copy-shingles")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"
+    )
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(common >= (F.col("na") + F.col("nb") - common) * p.similarity).select("a", "b")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: CopyParams = CopyParams()) -> DataFrame:
+    """(id, component_id) of every row: groups linked by equal words or by ``similarity`` of their shingles.
+
+    Copies collapse to one text before any fingerprint is shuffled. Pairs that meet in a ball are verified
+    against their whole shingle sets. Fingerprints find a pair with a high probability that grows with its
+    similarity, not with certainty. Null and wordless texts are copies of each other. A null id names no
+    component: rows of a text without any other id have a null one. Rows that repeat an id are one document.
+    """
+    fps = saved(copy_fingerprints(docs, id_col, text_col, p), "copy-fingerprints")
+    firsts = [F.first(f"f{t}").alias(f"f{t}") for t in range(p.tables)]
+    texts = saved(fps.groupBy("text_key").agg(F.min("id").alias("node"), F.first("n").alias("n"), *firsts), "copy-texts")
+    usable = texts.where("node is not null")
+    pairs = saved(_candidates(usable.where("n > 0"), p), "copy-candidates")
+    found = connected_components(saved(_verified(pairs, usable, docs, id_col, text_col, p), "copy-links"))
+    named = texts.join(found, "node", "left").select("text_key", F.coalesce("component", "node").alias("component_id"))
+    return fps.select("id", "text_key").join(named, "text_key").select("id", "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: CopyParams = CopyParams()) -> DataFrame:
+    """One document of each group of near copies: that with the smallest id, once; its columns unchanged."""
+    found = near_copies(docs, id_col, text_col, p)
+    keep = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("__id")).distinct()
     kept = docs.join(keep, F.col(id_col) == F.col("__id")).drop("__id")
     return kept.dropDuplicates([id_col])
 

@@ -166,3 +166,56 @@ def test_op1_license(spark, docs):
     rows = q.op1_license_scan(spark, SF).collect()
     assert want <= {(r.doc_id, r.license) for r in rows if r.exact}
     assert {r.doc_id for r in rows} == {d for d, _ in want}
+
+
+def test_near_copies_against_brute_force(spark, docs):
+    """Whole table: no pair under the similarity is a link, nearly every pair over it is found."""
+    from marginalia.llm import simhash
+
+    rows = simhash.near_copies(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    assert len(rows) == len(docs)
+    component = {r.id: r.component_id for r in rows}
+    sets, same, found, root = {}, defaultdict(list), [], {}
+    for d, t in sorted(docs.items()):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(UP))
+        same[tuple(w)].append(d)
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    for group in same.values():
+        assert {component[d] for d in group} == {component[group[0]]}
+    heads = sorted(g[0] for g in same.values())
+    root = {d: d for d in heads}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for n, b in enumerate(heads):
+        for a in heads[:n]:
+            x, y = sets[a], sets[b]
+            if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y):
+                found.append((a, b))
+                u, v = find(a), find(b)
+                root[max(u, v)] = min(u, v)
+    # Links join only what brute force joins, and recall over its pairs is at least 0.9.
+    assert all(find(component[d]) == find(d) for d in heads)
+    assert found == [] or sum(component[a] == component[b] for a, b in found) >= 0.9 * len(found)
+
+
+def test_planted_near_copies(spark):
+    """Every 50th word replaced: similarity just over 0.8; a text that shares half is left alone."""
+    import random
+
+    from marginalia.llm import simhash
+
+    rng, rows = random.Random(5), []
+    for g in range(40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        near = [f"x{g}" if i % 50 == 25 else w for i, w in enumerate(base)]
+        rows += [(3 * g, " ".join(base), "k"), (3 * g + 1, " ".join(near), "k"), (3 * g + 2, " ".join(base[:200] + [f"y{rng.randrange(5000)}" for _ in range(200)]), "k")]
+    rows += [(1000, None, "k"), (1001, "", "k"), (1002, "one", "k"), (1003, "ONE ", "k"), (None, "lost", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    kept = {r.doc_id for r in simhash.keep_first(docs).collect()}
+    assert {3 * g for g in range(40)} | {3 * g + 2 for g in range(40)} | {1000, 1002} <= kept
+    assert not kept & {1001, 1003, None} and len(kept & {3 * g + 1 for g in range(40)}) <= 4
+    assert simhash.keep_first(docs.limit(0)).count() == 0
