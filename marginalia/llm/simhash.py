@@ -9,6 +9,7 @@ emitting all pairs of a group, and a group has no more members than a ball has p
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import accumulate, combinations
 
@@ -65,15 +66,18 @@ def ball(radius: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
-def links(nodes: DataFrame, radius: int = 2) -> DataFrame:
-    """Edges (a, b) that connect all ``nodes(fp, node)``, fp distinct, within ``radius`` differing bits."""
+def links(nodes: DataFrame, radius: int = 2, by: Sequence[str] = ()) -> DataFrame:
+    """Edges (a, b) that connect all ``nodes(fp, node)``, fp distinct, within ``radius`` differing bits.
+
+    Nodes meet only where they agree in the columns ``by``.
+    """
     if radius < 0 or radius % 2:
         raise ValueError("radius must be even: balls of half the radius meet in the middle")
     masks = F.array(*[F.lit(m).cast("long") for m in ball(radius // 2)])
-    variants = nodes.select("fp", "node", F.explode(masks).alias("mask")).select(
-        "fp", "node", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant")
+    variants = nodes.select(*by, "fp", "node", F.explode(masks).alias("mask")).select(
+        *by, "fp", "node", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant")
     )
-    met = Window.partitionBy("variant").orderBy("fp")
+    met = Window.partitionBy(*by, "variant").orderBy("fp")
     pairs = variants.select("node", "fp", F.lag("node").over(met).alias("other"), F.lag("fp").over(met).alias("ofp"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("ofp"))) <= radius
     return pairs.where(F.col("other").isNotNull() & near).select(F.col("node").alias("a"), F.col("other").alias("b"))
@@ -172,17 +176,15 @@ def _candidates(texts: DataFrame, p: CopyParams) -> DataFrame:
 
     Texts with equal fingerprints meet at the smallest of them, fingerprints with a common variant in a chain.
     """
-    met = None
     names = [f"f{t}" for t in range(p.tables)]
-    for name in names:
-        nodes = saved(texts.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("node")), "copy-nodes")
-        same = texts.join(nodes.select(F.col("fp").alias(name), F.col("node").alias("b")), name).select(F.col("node").alias("a"), "b")
-        found = same.unionByName(links(nodes, p.radius))
-        met = found if met is None else met.unionByName(found)
     # Texts that agree in two fingerprints meet once more, so that a stranger at the head of one group hides no pair.
-    for pair in combinations(names, 2):
-        heads = texts.groupBy(*pair).agg(F.min("node").alias("b"), F.count("*").alias("held")).where("held > 1").drop("held")
-        met = met.unionByName(texts.join(heads, list(pair)).select(F.col("node").alias("a"), "b"))
+    keys = [F.col(c) for c in names] + [F.xxhash64(*pair) for pair in combinations(names, 2)]
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), key.alias("fp")) for t, key in enumerate(keys)])
+    held = texts.select("node", F.explode(keys).alias("k")).select("node", "k.t", "k.fp")
+    nodes = saved(held.groupBy("t", "fp").agg(F.min("node").alias("node"), F.count("*").alias("held")), "copy-nodes")
+    heads = nodes.where("held > 1").select("t", "fp", F.col("node").alias("b"))
+    same = held.join(heads, ["t", "fp"]).select(F.col("node").alias("a"), "b")
+    met = same.unionByName(links(nodes.where(F.col("t") < p.tables), p.radius, ["t"]))
     met = saved(met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "copy-pairs")
     sized = met.join(texts.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(
         texts.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b"
