@@ -171,29 +171,20 @@ def copy_fingerprints(docs: DataFrame, id_col: str, text_col: str, p: CopyParams
     return rows.mapInArrow(run, f"id {kind}, text_key binary, n long, " + ", ".join(f"{c} long" for c in names))
 
 
-def _candidates(texts: DataFrame, p: CopyParams) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of texts whose fingerprints meet and whose sizes allow the similarity.
-
-    Texts with equal fingerprints meet at the smallest of them, fingerprints with a common variant in a chain.
-    """
+def _meetings(texts: DataFrame, p: CopyParams) -> tuple[DataFrame, DataFrame]:
+    """(t, fp, node) of the fingerprints that several texts have, and (node) of all texts that meet another."""
     names = [f"f{t}" for t in range(p.tables)]
-    # Texts that agree in two fingerprints meet once more, so that a stranger at the head of one group hides no pair.
     keys = [F.col(c) for c in names] + [F.xxhash64(*pair) for pair in combinations(names, 2)]
     keys = F.array(*[F.struct(F.lit(t).alias("t"), key.alias("fp")) for t, key in enumerate(keys)])
     held = texts.select("node", F.explode(keys).alias("k")).select("node", "k.t", "k.fp")
     nodes = saved(held.groupBy("t", "fp").agg(F.min("node").alias("node"), F.count("*").alias("held")), "copy-nodes")
-    heads = nodes.where("held > 1").select("t", "fp", F.col("node").alias("b"))
-    same = held.join(heads, ["t", "fp"]).select(F.col("node").alias("a"), "b")
-    met = same.unionByName(links(nodes.where(F.col("t") < p.tables), p.radius, ["t"]))
-    met = saved(met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "copy-pairs")
-    sized = met.join(texts.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(
-        texts.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b"
-    )
-    return sized.where(F.least("na", "nb") >= F.greatest("na", "nb") * p.similarity).select("a", "b", "na", "nb")
+    groups = saved(held.join(nodes.where("held > 1").select("t", "fp"), ["t", "fp"]), "copy-groups")
+    balls = links(nodes.where(F.col("t") < p.tables), p.radius, ["t"]).select(F.explode(F.array("a", "b")).alias("node"))
+    return groups, saved(groups.select("node").unionByName(balls).distinct(), "copy-met")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str, text_col: str, p: CopyParams) -> DataFrame:
-    """The pairs whose shingle sets have the similarity, by exact intersection."""
+def _shingle_sets(met: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str, text_col: str, p: CopyParams) -> DataFrame:
+    """(node, shingles) of the texts that meet another, whole texts."""
 
     def run(batches):
         for batch in batches:
@@ -208,10 +199,64 @@ def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str,
             )
 
     kind = texts.schema["node"].dataType.simpleString()
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     held = docs.select(F.col(id_col).alias("node"), F.col(text_col).cast("binary").alias("text"))
-    rows = held.join(texts.join(wanted, "node").select("node", "text_key"), "node").select("node", "text_key", "text")
-    sets = saved(rows.mapInArrow(run, f"node {kind}, shingles array<long>").dropDuplicates(["node"]), "copy-shingles")
+    rows = held.join(texts.join(met, "node").select("node", "text_key"), "node").select("node", "text_key", "text")
+    return saved(rows.mapInArrow(run, f"node {kind}, shingles array<long>").dropDuplicates(["node"]), "copy-shingles")
+
+
+def _prefixes(sets: DataFrame, p: CopyParams) -> DataFrame:
+    """(node, n, own, prefix, common): a text's rarest shingles, of which it shares one with every near copy.
+
+    Shingles are ordered by the texts that have them. ``own`` counts those of no other text, which come first;
+    ``prefix`` holds the others up to the 1 - similarity share plus one; ``common`` is the mean of the counts.
+    Texts without any prefix can't have a near copy and are left out.
+    """
+    items = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    shared = saved(items.groupBy("s").agg(F.count("*").alias("texts")).where("texts > 1"), "copy-shared")
+    ranked = items.join(shared, "s").groupBy("node", "n").agg(
+        F.sort_array(F.collect_list(F.struct("texts", "s"))).alias("ranked"), (F.sum("texts") / F.first("n")).alias("common")
+    )
+    own = F.col("n") - F.size("ranked")
+    length = F.col("n") - F.ceil(F.col("n") * p.similarity - 1e-9) + 1 - own
+    prefix = F.slice("ranked", F.lit(1), F.greatest(F.lit(0), length).cast("int"))["s"]
+    return saved(ranked.select("node", "n", own.alias("own"), prefix.alias("prefix"), "common").where(F.size("prefix") > 0), "copy-prefixes")
+
+
+def _central_pairs(groups: DataFrame, prefixes: DataFrame, p: CopyParams) -> DataFrame:
+    """(a, b, na, nb) of each text and the most central one of each of its groups, that with the commonest shingles.
+
+    They join most of a large group at the cost of one comparison a text; they don't decide any other pair.
+    """
+    rows = groups.join(prefixes.select("node", "n", "common"), "node")
+    heads = rows.groupBy("t", "fp").agg(F.max(F.struct("common", "node", "n")).alias("h")).select("t", "fp", "h.node", "h.n")
+    both = rows.drop("common").join(heads.select("t", "fp", F.col("node").alias("b"), F.col("n").alias("nb")), ["t", "fp"])
+    both = both.where((F.col("node") != F.col("b")) & _sizes_allow(F.col("n"), F.col("nb"), p))
+    return both.select(F.col("node").alias("a"), "b", F.col("n").alias("na"), "nb").distinct()
+
+
+def _sizes_allow(na, nb, p: CopyParams):
+    return F.least(na, nb) >= F.greatest(na, nb) * p.similarity - 1e-9
+
+
+def _remaining_pairs(prefixes: DataFrame, joined: DataFrame, p: CopyParams) -> DataFrame:
+    """(a, b, na, nb): every pair not ``joined(node, component)`` yet that can have the similarity."""
+    known = prefixes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    tokens = known.select("node", "n", "own", "component", F.posexplode("prefix").alias("at", "s"))
+    tokens = saved(tokens.select("node", "n", "component", "s", (F.col("own") + F.col("at")).alias("at")), "copy-tokens")
+    # A shingle whose texts are all joined already has no pair to give.
+    mixed = tokens.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("s")
+    live = saved(tokens.join(mixed, "s"), "copy-live")
+    side = lambda x: live.select("s", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component", "at")])
+    both = side("a").join(side("b"), "s").where("node_a < node_b and component_a <> component_b")
+    both = both.where(_sizes_allow(F.col("n_a"), F.col("n_b"), p))
+    # At the first common shingle, what follows it on either side bounds the rest of the intersection.
+    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    both = both.where(most >= (F.col("n_a") + F.col("n_b")) * (p.similarity / (1 + p.similarity)) - 1e-6)
+    return both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, p: CopyParams) -> DataFrame:
+    """The pairs whose shingle sets have the similarity, by exact intersection."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"
     )
@@ -222,17 +267,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, id_col: str,
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: CopyParams = CopyParams()) -> DataFrame:
     """(id, component_id) of every row: groups linked by equal words or by ``similarity`` of their shingles.
 
-    Copies collapse to one text before any fingerprint is shuffled. Pairs that meet in a ball are verified
-    against their whole shingle sets. Fingerprints find a pair with a high probability that grows with its
-    similarity, not with certainty. Null and wordless texts are copies of each other. A null id names no
+    Copies collapse to one text before any fingerprint is shuffled. Among the texts that meet any other in a
+    ball, all pairs of the similarity are found, by an exact join on rare shingles, and verified against their
+    whole shingle sets. That a near copy meets any text at all has a high probability that grows with the
+    similarity; it isn't certain. Null and wordless texts are copies of each other. A null id names no
     component: rows of a text without any other id have a null one. Rows that repeat an id are one document.
     """
     fps = saved(copy_fingerprints(docs, id_col, text_col, p), "copy-fingerprints")
     firsts = [F.first(f"f{t}").alias(f"f{t}") for t in range(p.tables)]
     texts = saved(fps.groupBy("text_key").agg(F.min("id").alias("node"), F.first("n").alias("n"), *firsts), "copy-texts")
     usable = texts.where("node is not null")
-    pairs = saved(_candidates(usable.where("n > 0"), p), "copy-candidates")
-    found = connected_components(saved(_verified(pairs, usable, docs, id_col, text_col, p), "copy-links"))
+    groups, met = _meetings(usable.where("n > 0"), p)
+    sets = _shingle_sets(met, usable, docs, id_col, text_col, p)
+    prefixes = _prefixes(sets, p)
+    near = saved(_verified(saved(_central_pairs(groups, prefixes, p), "copy-central"), sets, p), "copy-links")
+    found = connected_components(near)
+    more = saved(_verified(saved(_remaining_pairs(prefixes, found, p), "copy-remaining"), sets, p), "copy-links")
+    if not more.isEmpty():
+        found = connected_components(near.unionByName(more))
     named = texts.join(found, "node", "left").select("text_key", F.coalesce("component", "node").alias("component_id"))
     return fps.select("id", "text_key").join(named, "text_key").select("id", "component_id")
 

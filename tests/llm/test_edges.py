@@ -137,3 +137,17 @@ def test_feature_finder():
         finder = FeatureFinder(vocabulary)
         for own in ([], [b"a"], [b"<ab>x"], [b">"], words[:7], words):
             assert finder.text(own).tolist() == sorted(vocabulary[g] for g in plain.text(own) if g in vocabulary)
+
+
+def test_edits_of_one_original(spark):
+    """Edits 0.86 similar to the original, 0.74 to each other: one group through the original, whatever its id."""
+    import random
+
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = [(300, " ".join(base))]
+    for i in range(300):
+        at = set(rng.sample(range(4, 396, 8), 6))
+        rows.append((i, " ".join(f"e{i}x{j}" if j in at else w for j, w in enumerate(base))))
+    found = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(found) == 301 and {r.component_id for r in found} == {0}
