@@ -151,3 +151,24 @@ def test_edits_of_one_original(spark):
         rows.append((i, " ".join(f"e{i}x{j}" if j in at else w for j, w in enumerate(base))))
     found = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert len(found) == 301 and {r.component_id for r in found} == {0}
+
+
+def test_rates_reach_the_targets(spark):
+    """Soft posteriors, of which few are mostly good: rates are projected and the shares are met all the same."""
+    import numpy as np
+
+    rng, want = np.random.default_rng(3), {"good": 0.9, "poor": 0.08, "toxic": 0.02}
+    for alpha in ((1.0, 2.0, 1.0), (0.5, 0.5, 0.5)):
+        rows = [(i, int(rng.integers(1, 900)), p.tolist()) for i, p in enumerate(rng.dirichlet(alpha, 3000))]
+        members = spark.createDataFrame(rows, "doc_id long, n_tokens long, p array<double>").cache()
+        steps, report = mixing.fit_rates(members, list(want), want)
+        r = mixing.with_rates(members, list(want), steps).agg(*[F.sum(F.col("n_tokens") * F.col("rate") * F.col("posterior")[d]) for d in want]).first()
+        assert report["met"] and max(abs(x / sum(n for _, n, _ in rows) - t) for x, t in zip(r, want.values())) < 1.1e-4, alpha
+
+
+def test_rates_of_targets_out_of_reach(spark):
+    members = spark.createDataFrame([(i, 10, [0.7, 0.3] if i % 2 else [0.4, 0.6]) for i in range(100)], "doc_id long, n_tokens long, p array<double>")
+    steps, report = mixing.fit_rates(members, ["a", "b"], {"a": 0.9, "b": 0.1})
+    assert not report["met"]
+    rates = {i % 2: r.rate for i, r in enumerate(mixing.with_rates(members, ["a", "b"], steps).orderBy("doc_id").collect())}
+    assert rates[0] < 1e-3 and rates[1] > 1
