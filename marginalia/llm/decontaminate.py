@@ -1,8 +1,8 @@
 """Benchmark decontamination: a broadcast hash set of test n-grams against all document windows.
 
 The n-grams are broadcast in blocks of at most ``block_ngrams``, so what one task holds is bounded; a
-benchmark of one block costs one scan, a larger one is scanned once for each block and the hits of a
-document are merged afterwards.
+benchmark of one block costs one scan, a larger one is scanned once for each block and the hits of a text
+are merged afterwards.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import hashlib
 from collections import defaultdict
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,21 +105,22 @@ def _scan(docs: DataFrame, block: list[tuple[bytes, str]], id_col: str, text_col
     def run(batches):
         matcher = Matcher(shared.value)
         for batch in batches:
-            n_words, spans, items = [], [], []
+            digests, n_words, spans, items = [], [], [], []
             for text in batch.column(1).to_pylist():
                 words = alnum_words(text)
+                digests.append(xxhash.xxh3_128_digest(text or b""))
                 hit, found = matcher.hits(words)
                 n_words.append(len(words))
                 spans.append([{"a": a, "b": b} for a, b in hit])
                 items.append(sorted(found))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))],
-                names=["id", "n_words", "spans", "items"],
+                [batch.column(0), pa.array(digests, pa.binary()), pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))],
+                names=["id", "digest", "n_words", "spans", "items"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n_words long, spans array<struct<a:int,b:int>>, items array<string>")
+    return rows.mapInArrow(run, f"id {kind}, digest binary, n_words long, spans array<struct<a:int,b:int>>, items array<string>")
 
 
 def find_leaks(
@@ -131,23 +133,24 @@ def find_leaks(
 ) -> DataFrame:
     """(id_col, n_words, spans, items) of every document row; spans are merged half-open word ranges.
 
-    Null and wordless documents have no words and no spans. With more than one block of n-grams, rows that
-    repeat an id are one row, and their spans are joined.
+    Null and wordless documents have no words and no spans. Rows stay rows, null and repeated ids among them,
+    however many blocks of n-grams there are: the hits of a row are merged by its id and a digest of its text.
     """
     ngrams = benchmark_ngrams(benchmark, n)
     count = ngrams.count()
     blocks = max(1, -(-count // block_ngrams))
-    part = F.pmod(F.xxhash64("ngram"), F.lit(blocks))
+    part = F.pmod(F.xxhash64("ngram", "item"), F.lit(blocks))  # items too: a hot n-gram fills no block
     scans = []
     for b in range(blocks):
         rows = ngrams.where(part == b).collect()  # bounded: about block_ngrams, whatever the benchmark's size
         scans.append(_scan(docs, [(bytes(r[0]), r[1]) for r in rows], id_col, text_col))
     if blocks == 1:
-        return scans[0].withColumnRenamed("id", id_col)
+        return scans[0].drop("digest").withColumnRenamed("id", id_col)
     out = scans[0]
     for s in scans[1:]:
         out = out.unionByName(s)
-    merged = out.groupBy("id").agg(
+    merged = out.groupBy("id", "digest").agg(
+        (F.count("*") / blocks).cast("int").alias("rows"),
         F.max("n_words").alias("n_words"),
         F.flatten(F.collect_list("spans")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -157,7 +160,8 @@ def find_leaks(
     def joined(spans):
         return spans.map(lambda s: [{"a": a, "b": b} for a, b in merge((x["a"], x["b"]) for x in s)])
 
-    return merged.withColumn("spans", joined("spans")).withColumnRenamed("id", id_col)
+    each = merged.withColumn("spans", joined("spans")).withColumn("rows", F.explode(F.sequence(F.lit(1), "rows")))
+    return each.drop("digest", "rows").withColumnRenamed("id", id_col)
 
 
 def report(leaks: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -204,25 +208,23 @@ def decontaminate(
 ) -> DataFrame:
     """``drop``: documents without hits, unchanged. ``cut``: all documents, hit words removed from the text.
 
-    Documents with a null id are kept as they are under ``drop``.
+    Each row is judged by its own text, also where its id is null or that of other rows.
     """
     if action not in ("drop", "cut"):
         raise ValueError(f"unknown action {action!r}")
-    if action == "drop":
-        hit = find_leaks(docs, benchmark, n, id_col, text_col).where(F.size("spans") > 0)
-        hit = hit.select(F.col(id_col).alias("__id")).distinct()
-        return docs.join(hit, F.col(id_col) == F.col("__id"), "left_anti")
-
-    # Spans belong to a text, so rows that repeat an id with another text have spans of their own.
+    # Spans belong to a text, so rows that repeat an id with another text have hits of their own.
     keyed = docs.withColumn("__key", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")))
     hit = find_leaks(keyed, benchmark, n, "__key", text_col).where(F.size("spans") > 0)
     hit = hit.select(F.col("__key").alias("__hit"), F.col("spans").alias("__spans")).dropDuplicates(["__hit"])
+    same = F.col("__key").eqNullSafe(F.col("__hit"))
+    if action == "drop":
+        return keyed.join(hit.select("__hit"), same, "left_anti").select(*docs.columns)
 
     @F.pandas_udf("string")
     def cut(text, spans):
         return text.combine(spans, lambda t, s: cut_words(t, [] if s is None else [(x["a"], x["b"]) for x in s]))
 
-    joined = keyed.join(hit, F.col("__key").eqNullSafe(F.col("__hit")), "left")
+    joined = keyed.join(hit, same, "left")
     return joined.withColumn(text_col, cut(F.col(text_col), F.col("__spans"))).select(*docs.columns)
 
 

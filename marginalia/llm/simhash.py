@@ -290,11 +290,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: CopyParams = CopyParams()) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id, once; its columns unchanged."""
-    found = near_copies(docs, id_col, text_col, p)
+    """One document of each group of near copies: that with the smallest id, once; its columns unchanged.
+
+    Rows that repeat an id with another text are documents of their own. Rows with a null id are left out.
+    """
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+    keyed = docs.withColumn("__key", F.when(F.col(id_col).isNotNull(), key))
+    found = near_copies(keyed, "__key", text_col, p)
     keep = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("__id")).distinct()
-    kept = docs.join(keep, F.col(id_col) == F.col("__id")).drop("__id")
-    return kept.dropDuplicates([id_col])
+    kept = keyed.join(keep, F.col("__key") == F.col("__id"), "left_semi")
+    return kept.dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def fingerprint_hex(fp: str = "fp"):

@@ -172,3 +172,16 @@ def test_rates_of_targets_out_of_reach(spark):
     assert not report["met"]
     rates = {i % 2: r.rate for i, r in enumerate(mixing.with_rates(members, ["a", "b"], steps).orderBy("doc_id").collect())}
     assert rates[0] < 1e-3 and rates[1] > 1
+
+
+def test_rows_of_repeated_and_null_ids(spark):
+    """Rows stay rows and keep their own hits in any number of blocks; near-dedup keeps each text of an id."""
+    bench = spark.createDataFrame([(1, "one two three"), (2, "one two six"), (3, "one two nine")], "item_id long, text string")
+    rows = [(7, "clean words here"), (7, "say one two three"), (7, "say one two three"), (None, "nothing bad"), (None, "one two six"), (8, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = lambda **kw: sorted(map(str, decontaminate.report(decontaminate.find_leaks(docs, bench, n=2, **kw)).collect()))
+    assert plain(block_ngrams=1) == plain(block_ngrams=2) == plain() and len(plain()) == 7
+    clean = [(r.doc_id, r.text) for r in decontaminate.decontaminate(docs, bench, n=2).collect()]
+    assert sorted(map(str, clean)) == sorted(map(str, [rows[0], rows[3], *rows[5:]]))
+    kept = simhash.keep_first(docs.where("doc_id = 7")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [rows[0], rows[1]]
