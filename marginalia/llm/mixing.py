@@ -127,11 +127,13 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], p: MixPar
     ``domain`` is the likeliest, ``posterior`` maps domains to probabilities, ``rate`` is how often the
     document is to be read, ``copies`` the whole number that a seeded hash of doc_id rounds it to. Targets that
     no rates can reach give the closest ones and a warning. Null and
-    empty texts have 0 tokens and the posterior of no features. Without labelled rows: ValueError.
+    empty texts have 0 tokens and the posterior of no features. Rows that repeat an id or have none are
+    documents of their own; ties of ``domain`` go to the first by name; other columns are ignored. Without
+    labelled rows every rate is 1, ``domain`` is null and ``posterior`` an empty map.
     """
     found, domains = posteriors(docs, labels, fit_params)
     members = saved(found, "posteriors")
-    steps, report = fit_rates(members, domains, targets, p)
+    steps, report = fit_rates(members, domains, targets, p) if domains else ([], {"met": True})
     if not report["met"]:
         warnings.warn(f"no rates of these documents reach the targets; the closest are used: {report}", stacklevel=2)
     return with_rates(members, domains, steps)
@@ -139,11 +141,11 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], p: MixPar
 
 def with_rates(members: DataFrame, domains: list[str], steps: list[np.ndarray]) -> DataFrame:
     rate = _rate(len(domains), steps)
-    names = F.array(*[F.lit(d) for d in domains])
+    names = F.array(*[F.lit(d) for d in domains]).cast("array<string>")
     luck = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("mix")), F.lit(1_000_000)) / 1_000_000
     return members.select(
         "doc_id", "n_tokens",
-        F.element_at(names, F.array_position("p", F.array_max("p")).cast("int")).alias("domain"),
+        F.try_element_at(names, F.nullif(F.array_position("p", F.array_max("p")), F.lit(0)).cast("int")).alias("domain"),
         F.map_from_arrays(names, "p").alias("posterior"),
         rate.alias("rate"),
     ).withColumn("copies", F.floor(F.col("rate") + luck))

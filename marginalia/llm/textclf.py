@@ -8,6 +8,7 @@ ordinary words of a long text add no noise to its score.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -29,12 +30,17 @@ class FitParams:
     min_docs: int = 5
     #: Least deviation, in standard errors, of a feature's log-odds between a class and the rest.
     min_z: float = 5.0
-    #: Bounds the model and, times max_fit_rows, what the fit holds on the driver.
-    max_features: int = 2_000
-    l2: float = 1e-3
+    l2: float = 1e-4
     #: Weight of the squared score changes under counterfactual swaps.
     counterfactual: float = 1.0
-    iterations: int = 300
+    #: The fit ends once its objective is proven to be this close to the least one.
+    tolerance: float = 1e-4
+    #: Words that lean to a class by this many standard errors, but occur with every class in ``swap_docs``
+    #: rows at least, are terms that may be swapped for those of like contexts.
+    swap_z: float = 2.0
+    swap_docs: int = 2
+    #: Least cosine of the neighbours' counts of two terms that are swapped.
+    swap_likeness: float = 0.5
 
 
 def word_features(word: bytes) -> tuple[bytes, ...]:
@@ -132,11 +138,16 @@ class Model:
     vocabulary: dict[bytes, int]
     weights: np.ndarray  # features x classes
     bias: np.ndarray
+    #: Labelled rows that hold a swappable term, and the groups of terms they were swapped within.
+    swapped_rows: int = 0
+    swap_groups: tuple[tuple[str, ...], ...] = ()
 
     def scorer(self):
         features, w, b = FeatureFinder(self.vocabulary), self.weights, self.bias
 
         def score(words: list[bytes]) -> np.ndarray:
+            if not len(b):
+                return b
             z = b + w[features.text(words)].sum(axis=0)
             e = np.exp(z - z.max())
             return e / e.sum()
@@ -183,8 +194,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, p: FitParams, id_col="do
     return saved(rows.withColumn("h", F.sha1("text")).dropDuplicates(["h", "label"]).drop("h"), "labelled-sample")
 
 
-def select_features(sample: DataFrame, counts: dict[str, int], p: FitParams) -> list[bytes]:
-    """Features that tell a class from the rest, counted over the whole sample by Spark; ``max_features`` at most."""
+def count_features(sample: DataFrame, counts: dict[str, int], p: FitParams) -> DataFrame:
+    """(feature, n, c0, c1, ..., z0, z1, ...), counted over the whole sample by Spark: rows with the feature, in
+
+    all and for each class, and how far its log-odds between a class and the rest deviate, in standard errors.
+    """
     classes = sorted(counts)
 
     def run(batches):
@@ -209,26 +223,99 @@ def select_features(sample: DataFrame, counts: dict[str, int], p: FitParams) ->
         a, b = F.col(f"c{i}") + 0.5, F.col("n") - F.col(f"c{i}") + 0.5
         without_a, without_b = counts[c] - F.col(f"c{i}") + 0.5, total - counts[c] - (F.col("n") - F.col(f"c{i}")) + 0.5
         zs.append(F.abs(F.log(a / without_a) - F.log(b / without_b)) / F.sqrt(1 / a + 1 / b + 1 / without_a + 1 / without_b))
-    names = [f"z{i}" for i in range(len(zs))]
-    scored = per.where(F.col("n") >= p.min_docs).select("feature", *[z.alias(k) for z, k in zip(zs, names)])
-    best = saved(scored.where(F.greatest(*names) >= p.min_z), "features")
-    share = p.max_features // len(classes)  # each class has its own, or a rare class would have none
-    found = {bytes(r[0]) for k in names for r in best.where(F.col(k) >= p.min_z).orderBy(F.desc(k), "feature").limit(share).collect()}
-    return sorted(found)
+    kept = per.where(F.col("n") >= p.min_docs).select("*", *[z.alias(f"z{i}") for i, z in enumerate(zs)])
+    return saved(kept.where(F.greatest(*[f"z{i}" for i in range(len(zs))]) >= min(p.min_z, p.swap_z)), "features")
+
+
+def select_features(counted: DataFrame, sample: DataFrame, n_classes: int, p: FitParams) -> tuple[list[bytes], np.ndarray]:
+    """Features of at least ``min_z``, however many, and the number of each one's group.
+
+    Features of a group occur in the same rows, as a 64-bit digest of the rows tells, so they share a column
+    of the fit.
+    """
+    found = counted.where(F.greatest(*[f"z{i}" for i in range(n_classes)]) >= p.min_z)
+    names = sorted(bytes(r[0]) for r in found.select("feature").collect())
+    vocabulary = {f: i for i, f in enumerate(names)}
+
+    def run(batches):
+        finder, digest = FeatureFinder(vocabulary), np.zeros(len(vocabulary), np.int64)
+        for batch in batches:
+            for text, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                digest[finder.text(space_words(text))] ^= row
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(digest), dtype=np.int32)), pa.array(digest)], names=["f", "digest"])
+
+    rows = sample.select("text", F.xxhash64("text", "label")).mapInArrow(run, "f int, digest long")
+    rows = rows.groupBy("f").agg(F.bit_xor("digest").alias("digest")).toArrow()
+    digest = np.zeros(len(names), np.int64)
+    digest[rows["f"].to_numpy()] = rows["digest"].to_numpy()
+    return names, np.unique(digest, return_inverse=True)[1]
+
+
+_CONTEXT_SLOTS = 256
+
+
+def swappable_terms(counted: DataFrame, sample: DataFrame, n_classes: int, p: FitParams) -> list[list[str]]:
+    """Pairs of terms of the labelled table that stand in like contexts and occur with every class.
+
+    They lean to a class without being proof of it, as names of groups do in toxic texts. Contexts are the
+    words before and after, counted in hashed slots; each term is paired with the most alike one, if that
+    holds both ways. All of it is over the bounded sample.
+    """
+    spread = F.least(*[f"c{i}" for i in range(n_classes)]) >= p.swap_docs
+    lean = F.greatest(*[f"z{i}" for i in range(n_classes)]) >= p.swap_z
+    words = F.col("feature").startswith(F.lit(b"<")) & F.col("feature").endswith(F.lit(b">"))
+    terms = sorted(bytes(r[0])[1:-1] for r in counted.where(spread & lean & words).select("feature").collect())
+    at = {t: i for i, t in enumerate(terms)}
+    if len(at) < 2:
+        return []
+
+    def run(batches):
+        seen: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = space_words(text)
+                for i, w in enumerate(words):
+                    if w in at:
+                        if i:
+                            seen[at[w], zlib.crc32(words[i - 1]) % _CONTEXT_SLOTS] += 1
+                        if i + 1 < len(words):
+                            seen[at[w], _CONTEXT_SLOTS + zlib.crc32(words[i + 1]) % _CONTEXT_SLOTS] += 1
+        keys = list(seen)
+        columns = [[k[0] for k in keys], [k[1] for k in keys], [seen[k] for k in keys]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["term", "slot", "n"])
+
+    rows = sample.mapInArrow(run, "term long, slot long, n long").groupBy("term", "slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((len(terms), 2 * _CONTEXT_SLOTS), np.float32)
+    counts[rows["term"].to_numpy(), rows["slot"].to_numpy()] = np.sqrt(rows["n"].to_numpy())
+    counts /= np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-9)
+    best, alike = np.zeros(len(terms), np.int64), np.zeros(len(terms))
+    for i in range(len(terms)):
+        like = counts @ counts[i]
+        like[i] = -1
+        best[i], alike[i] = like.argmax(), like.max()
+    pairs = [(i, int(j)) for i, j in enumerate(best) if i < j and best[j] == i and alike[i] >= p.swap_likeness]
+    return [[t.decode(errors="replace") for t in (terms[i], terms[j])] for i, j in pairs]
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, groups: list[list[str]] | None = None, p: FitParams = FitParams(), id_col="doc_id", text_col="text"
 ) -> Model:
-    """Fit on at most ``max_fit_rows`` labelled rows. One class only: it gets probability 1; none: ValueError."""
+    """Fit on at most ``max_fit_rows`` labelled rows.
+
+    ``groups`` are interchangeable terms; those that ``swappable_terms`` finds in the sample are added, unless
+    ``groups`` is None, which swaps nothing. One class only: it gets probability 1. No labelled rows: a model
+    without classes, whose probabilities are empty.
+    """
     sample = labelled_sample(docs, labels, p, id_col, text_col)
     counts = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     classes = sorted(counts)
-    if not classes:
-        raise ValueError("no labelled rows")
-    if len(classes) == 1:
-        return Model(classes, {}, np.zeros((0, 1)), np.zeros(1))
-    names = select_features(sample, counts, p)
+    if len(classes) < 2:
+        return Model(classes, {}, np.zeros((0, len(classes))), np.zeros(len(classes)))
+    counted = count_features(sample, counts, p)
+    names, column = select_features(counted, sample, len(classes), p)
+    if groups is not None:
+        given = {t for g in groups for t in g}
+        groups = [*groups, *(g for g in swappable_terms(counted, sample, len(classes), p) if not given & set(g))]
     vocabulary = {f: i for i, f in enumerate(names)}
     at = {c: i for i, c in enumerate(classes)}
 
@@ -238,69 +325,120 @@ def fit(
             rows = []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = space_words(text)
-                own = set(features.text(words).tolist())
-                rows.append((at[label], sorted(own), []))
+                own = features.text(words)
+                rows.append((at[label], np.unique(column[own]).tolist(), []))
+                own = set(own.tolist())
                 for other in swapper.swaps(words):
                     new = set(features.text(other).tolist())
-                    if new != own:
-                        rows.append((-1, sorted(new - own), sorted(own - new)))
+                    # A swap that changes no feature counts as well: it is a row whose score keeps still.
+                    rows.append((-1, sorted(new - own), sorted(own - new)))
             ints = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], ints), pa.array([r[2] for r in rows], ints)],
                 names=["y", "plus", "minus"],
             )
 
-    # At most max_fit_rows rows, and twice as many swaps, of max_features features at most.
+    # At most max_fit_rows rows and a swap or two of each.
     found = sample.mapInArrow(run, "y int, plus array<int>, minus array<int>").toArrow()
-    weights, bias = _optimise(found, len(names), len(classes), p)
-    return Model(classes, vocabulary, weights, bias)
+    weights, bias = _optimise(found, column, len(classes), p)
+    swapped = int((found["y"].to_numpy() < 0).sum())
+    return Model(classes, vocabulary, weights, bias, swapped, tuple(map(tuple, groups or [])))
 
 
-def _sparse(lists: pa.ChunkedArray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _entries(lists: pa.ChunkedArray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, value) of every entry of the lists at ``keep``, rows numbered from 0."""
     lists = lists.take(pa.array(keep)).combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
     return np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), lists.flatten().to_numpy()
 
 
-def _optimise(found: pa.Table, n_features: int, n_classes: int, p: FitParams):
-    """Softmax regression with an L2 penalty and squared logit changes under swaps, by full-batch Adam."""
+_BLOCK = 512
+
+
+def _optimise(found: pa.Table, column: np.ndarray, n_classes: int, p: FitParams):
+    """Softmax regression with an L2 penalty and squared logit changes under swaps, by L-BFGS.
+
+    k features of one column have equal weights v at the optimum. They are fitted as one weight sqrt(k) v,
+    whose penalty is theirs.
+    """
+    scale = np.sqrt(np.bincount(column))
+    n_features = len(scale)
     y = found["y"].to_numpy()
     example, swap = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
     y, n, m = y[example], len(example), len(swap)
-    # At most max_fit_rows by max_features, four bytes each: 160 MB with the defaults.
-    dense = np.zeros((n, n_features), np.float32)
+    present = np.zeros((n, n_features), np.uint8)  # max_fit_rows bytes a feature, 20 KB with the default
     for at in range(0, n, 1000):
-        rows, cols = _sparse(found["plus"], example[at : at + 1000])
-        dense[at + rows, cols] = 1
-    parts = [_sparse(found[c], swap) for c in ("plus", "minus")]
+        rows, cols = _entries(found["plus"], example[at : at + 1000])
+        present[at + rows, cols] = 1
+    parts = [_entries(found[c], swap) for c in ("plus", "minus")]
     s_rows, s_cols = (np.concatenate([q[i] for q in parts]) for i in range(2))
-    s_sign = np.repeat([1.0, -1.0], [len(q[0]) for q in parts])
-    w, b = np.zeros((n_features, n_classes)), np.log(np.bincount(y, minlength=n_classes) / n)
-    b0 = b.copy()
-    moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, b)]
-    for step in range(1, p.iterations + 1):
-        z = (dense @ w.astype(np.float32)).astype(np.float64) + b
-        z -= z.max(1, keepdims=True)
-        g = np.exp(z)
-        g /= g.sum(1, keepdims=True)
-        g[np.arange(n), y] -= 1
-        g /= n
-        gw = (g.T.astype(np.float32) @ dense).T + p.l2 * w
-        if m:
-            for k in range(n_classes):
-                change = np.bincount(s_rows, s_sign * w[s_cols, k], m)
-                gw[:, k] += 2 * p.counterfactual / m * np.bincount(s_cols, s_sign * change[s_rows], n_features)
-        for x, gx, (m1, m2) in zip((w, b), (gw, g.sum(0) + p.l2 * (b - b0)), moments):
-            m1 += 0.1 * (gx - m1)
-            m2 += 0.01 * (gx * gx - m2)
-            x -= 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-9)
-    return w, b
+    s_cols, s_sign = column[s_cols], np.repeat([1.0, -1.0], [len(q[0]) for q in parts]) / scale[column[s_cols]]
+    b0 = np.log(np.bincount(y, minlength=n_classes) / n)
+
+    def value(x: np.ndarray) -> tuple[float, np.ndarray]:
+        x = x.reshape(n_features + 1, n_classes)
+        w, b = x[:-1], x[-1]
+        w32, g, loss = (w * scale[:, None]).astype(np.float32), p.l2 * (x - np.vstack([np.zeros_like(w), b0])), 0.0
+        for at in range(0, n, _BLOCK):
+            part, own = present[at : at + _BLOCK].astype(np.float32), y[at : at + _BLOCK]
+            z = (part @ w32).astype(np.float64) + b
+            z -= z.max(1, keepdims=True)
+            e = np.exp(z)
+            every = e.sum(1, keepdims=True)
+            each = np.arange(len(own))
+            loss += (np.log(every[:, 0]) - z[each, own]).sum()
+            e /= every
+            e[each, own] -= 1
+            g[:-1] += scale[:, None] * (part.T @ e.astype(np.float32)) / n
+            g[-1] += e.sum(0) / n
+        loss = loss / n + 0.5 * p.l2 * (w * w).sum() + 0.5 * p.l2 * ((b - b0) ** 2).sum()
+        for k in range(n_classes if m else 0):
+            change = np.bincount(s_rows, s_sign * w[s_cols, k], m)
+            loss += p.counterfactual / m * (change @ change)
+            g[:-1, k] += 2 * p.counterfactual / m * np.bincount(s_cols, s_sign * change[s_rows], n_features)
+        return loss, g.ravel()
+
+    x = least(value, np.concatenate([np.zeros(n_features * n_classes), b0]), p.l2, p.tolerance).reshape(n_features + 1, n_classes)
+    return (x[:-1] / scale[:, None])[column], x[-1]
+
+
+def least(value, x: np.ndarray, curvature: float, tolerance: float, memory: int = 12) -> np.ndarray:
+    """Where a function with at least this curvature everywhere is within ``tolerance`` of its minimum (L-BFGS).
+
+    The gradient bounds the distance: it is at most g.g / (2 curvature). RuntimeError if no step gets nearer.
+    """
+    f, g = value(x)
+    moves: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(5000):
+        if g @ g <= 2 * curvature * tolerance:
+            return x
+        q, used = g.copy(), []
+        for s, d, r in reversed(moves):
+            a = (s @ q) / r
+            used.append(a)
+            q -= a * d
+        q *= moves[-1][2] / (moves[-1][1] @ moves[-1][1]) if moves else min(1.0, 1 / np.linalg.norm(g))
+        for (s, d, r), a in zip(moves, reversed(used)):
+            q += (a - (d @ q) / r) * s
+        slope, size = -(g @ q), 1.0
+        while size > 1e-12:
+            new = x - size * q
+            f_new, g_new = value(new)
+            if f_new <= f + 1e-4 * size * slope + 1e-7 * abs(f):
+                break
+            size /= 2
+        else:
+            raise RuntimeError(f"the fit found no step down at a gradient of {np.linalg.norm(g)}")
+        s, d = new - x, g_new - g
+        if s @ d > 1e-12:
+            moves = [*moves[1 - memory :], (s, d, s @ d)]
+        x, f, g = new, f_new, g_new
+    raise RuntimeError(f"the fit did not settle: gradient {np.linalg.norm(g)}")
 
 
 def probabilities(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
     """(id_col, n_tokens, probability per class as an array in the order of ``model.classes``), whole texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_features
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # features that the bounded sample proves
 
     def run(batches):
         score = shared.value.scorer()

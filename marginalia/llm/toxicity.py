@@ -33,8 +33,8 @@ IDENTITY_GROUPS = [
 ]
 
 
-#: Two classes share their features, so this is 2,000 of them.
-PARAMS = FitParams(max_features=4_000)
+#: Set by the held-out rows of a small table.
+PARAMS = FitParams(min_z=4.0, l2=1e-5)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -43,13 +43,20 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, groups=IDENTITY_GROUPS, p: FitParams = PARAMS) -> Model:
-    """Fit on ``labels(doc_id, toxic)`` outside the held-out fifth; ids without documents are ignored."""
+    """Fit on ``labels(doc_id, toxic)`` outside the held-out fifth; ids without documents are ignored.
+
+    Terms to swap are those of ``groups`` and those that the labelled table itself shows to be alike.
+    """
     known = labels.where(~held_out() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").cast("string").alias("label"))
     return fit(docs, known, groups, p)
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row; null and empty texts get the score of no features."""
+    """(doc_id, held_out, score, predicted) of every row; null and empty texts get the score of no features.
+
+    Where no label was learned every score is 0. Repeated rows and ids, and null ids, are scored row by row;
+    other columns are ignored.
+    """
     scored = probabilities(docs, model)
     score = F.element_at("p", model.classes.index("1") + 1) if "1" in model.classes else F.lit(0.0)
     rows = scored.select("doc_id", held_out().alias("held_out"), score.alias("score"))
@@ -61,10 +68,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, groups=IDENTITY_GROUPS, p: Fi
 
     Without labelled rows nothing can be learned and every row is kept.
     """
-    try:
-        model = fit_toxicity(docs, labels, groups, p)
-    except ValueError:
-        return docs
+    model = fit_toxicity(docs, labels, groups, p)
     if "1" not in model.classes:
         return docs
     at, shared = model.classes.index("1"), docs.sparkSession.sparkContext.broadcast(model)
