@@ -111,10 +111,6 @@ class CopyParams:
     tail: float = 3.0
 
 
-#: Weights beyond this rank are under a hundredth of the heaviest and can't turn more than stray bits.
-_HEAVIEST = 64
-
-
 def shingle_set(words: list[bytes], k: int) -> np.ndarray:
     """Sorted distinct XXH64 values (seed 42) of k-word shingles; fewer words: of the whole; none: empty."""
     if not words:
@@ -123,30 +119,45 @@ def shingle_set(words: list[bytes], k: int) -> np.ndarray:
     return np.unique(np.array([hashed(b" ".join(words[i : i + k]), 42) for i in range(len(words) - k + 1)], np.uint64))
 
 
-def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
-    """The finaliser of splitmix64 over hashes and a seed."""
-    z = h + np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+def _mixed(h: np.ndarray, seed) -> np.ndarray:
+    """The finaliser of splitmix64 over hashes and a seed, or a column of seeds."""
+    z = h + seed * np.uint64(0x9E3779B97F4A7C15)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))
 
 
-def weighted_fingerprint(shingles: np.ndarray, seed: int, tail: float) -> int:
-    """64-bit SimHash of a shingle set with heavy-tailed pseudo-random weights, signed; no shingles: 0.
+def weighted_fingerprints(shingles: np.ndarray, tables: int, tail: float) -> list[int]:
+    """64-bit SimHashes of a shingle set with heavy-tailed pseudo-random weights, signed; no shingles: 0.
 
     Plain SimHash has about 10 of 64 bits differ between texts that share 0.8 of their shingles, more than a
     ball can bridge. Where a few shingles carry most of the weight, texts that have them in common differ in
     hardly any bit, and texts that don't differ in half.
     """
     if not len(shingles):
-        return 0
-    drawn = _mixed(shingles, 2 * seed + 1)
-    if len(drawn) > _HEAVIEST:
-        drawn = np.partition(drawn, _HEAVIEST - 1)[:_HEAVIEST]
-    drawn = np.sort(drawn)
-    weights = (((drawn >> np.uint64(11)).astype(np.float64) + 1) / 2**53) ** -tail
-    bits = np.unpackbits(_mixed(drawn, 2 * seed + 2).view(np.uint8)).reshape(-1, 64)
-    return int.from_bytes(np.packbits(2 * (weights @ bits) > weights.sum()).tobytes(), "big", signed=True)
+        return [0] * tables
+    seeds = np.arange(tables, dtype=np.uint64)[:, None] * np.uint64(2)
+    drawn, n, step = _mixed(shingles, seeds + np.uint64(1)), len(shingles), 32
+    if n > step:
+        drawn = np.partition(drawn, step, axis=1)
+    votes = _votes(drawn[:, :step], seeds, tail)
+    for t in range(tables if n > step else 0):
+        # The heaviest shingles have voted. The others do only if they could still turn a bit.
+        if np.abs(votes[t]).min() <= 1.001 * _weights(drawn[t, step : step + 1], tail)[0] * (n - step):
+            votes[t] += _votes(drawn[t : t + 1, step:], seeds[t], tail)[0]
+    packed = np.packbits(votes > 0, axis=1)
+    return [int.from_bytes(row.tobytes(), "big", signed=True) for row in packed]
+
+
+def _votes(drawn: np.ndarray, seeds: np.ndarray, tail: float) -> np.ndarray:
+    """Sums of the weights, by table and bit, positive where the bit is set and negative where it isn't."""
+    weights = _weights(drawn, tail)[:, None, :]
+    bits = np.unpackbits(_mixed(drawn, seeds + np.uint64(2)).view(np.uint8)).reshape(*drawn.shape, 64)
+    return (2.0 * (weights @ bits.astype(np.float64)) - weights.sum(axis=2, keepdims=True))[:, 0]
+
+
+def _weights(drawn: np.ndarray, tail: float) -> np.ndarray:
+    return (((drawn >> np.uint64(11)).astype(np.float64) + 1) / 2**53) ** -tail
 
 
 def copy_fingerprints(docs: DataFrame, id_col: str, text_col: str, p: CopyParams) -> DataFrame:
@@ -161,8 +172,8 @@ def copy_fingerprints(docs: DataFrame, id_col: str, text_col: str, p: CopyParams
                 shingles = shingle_set(words, p.shingle_words)
                 keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 sizes.append(len(shingles))
-                for t, column in enumerate(fps):
-                    column.append(weighted_fingerprint(shingles, t, p.tail))
+                for column, fp in zip(fps, weighted_fingerprints(shingles, p.tables, p.tail)):
+                    column.append(fp)
             columns = [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), *[pa.array(c, pa.int64()) for c in fps]]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "text_key", "n", *names])
 
