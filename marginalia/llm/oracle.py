@@ -10,48 +10,49 @@ _R = ReputationParams()
 _TWO = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
 
 _LINES = f"""
-WITH lines AS (
-  SELECT doc_id AS id, unnest(range(len(l))) AS pos, unnest(l) AS raw
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
-masked AS (SELECT id, pos, regexp_replace(raw, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line FROM lines),
+WITH texts AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL),
+numbered AS (SELECT row_number() OVER () AS tid, text FROM texts),
+lines AS (
+  SELECT tid, unnest(range(len(l))) AS pos, unnest(l) AS raw FROM (SELECT tid, string_split(text, chr(10)) AS l FROM numbered)),
 sized AS (
-  SELECT id, pos, line, len(string_split(line, ' ')) AS n_tok, array_to_string(string_split(line, ' ')[1:{_T.leading_tokens}], ' ') AS lead
-  FROM masked WHERE line <> '' AND len(string_split(line, ' ')) >= {_T.min_tokens}),
-wide AS (SELECT n_tok, lead FROM sized GROUP BY ALL HAVING count(*) >= {_T.min_docs}),
-held AS (SELECT s.* FROM sized s JOIN wide w USING (n_tok, lead)),
-per_line AS (SELECT n_tok, lead, line, count(DISTINCT id) AS docs FROM held GROUP BY ALL),
+  SELECT tid, pos, line, len(string_split(line, ' ')) AS n_tok, array_to_string(string_split(line, ' ')[1:{_T.leading_tokens}], ' ') AS lead
+  FROM (SELECT tid, pos, regexp_replace(raw, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line FROM lines WHERE raw <> '')),
+per_line AS (SELECT n_tok, lead, line, count(DISTINCT tid) AS docs FROM sized GROUP BY ALL),
+totals AS (SELECT n_tok, lead, sum(docs) AS total FROM per_line GROUP BY ALL),
 tokens AS (
   SELECT n_tok, lead, line, docs, unnest(range(n_tok)) AS place, unnest(string_split(line, ' ')) AS token FROM per_line),
-constant AS (
-  SELECT n_tok, lead, place, token FROM tokens WHERE token <> '<*>' GROUP BY ALL HAVING sum(docs) >= {_T.min_docs}),
+often AS (SELECT n_tok, lead, place, token, sum(docs) AS n FROM tokens WHERE token <> '<*>' GROUP BY ALL HAVING n >= {_T.min_docs}),
+marked AS (
+  SELECT n_tok, lead, line, place, token, n * 100 / total AS pct
+  FROM tokens LEFT JOIN often USING (n_tok, lead, place, token) JOIN totals USING (n_tok, lead)),
+levels AS (SELECT unnest([{", ".join(map(str, _T.constant_pcts))}]) AS least),
 template AS (
-  SELECT t.n_tok, t.lead, t.line, string_agg(c.place || ' ' || c.token, ' ' ORDER BY t.place) AS template
-  FROM tokens t LEFT JOIN constant c ON t.n_tok = c.n_tok AND t.lead = c.lead AND t.place = c.place AND t.token = c.token
-  GROUP BY ALL HAVING count(c.token) * 100 >= count(*) * {_T.min_constant_pct}),
-named AS (SELECT h.id, h.pos, h.n_tok, h.lead, t.template FROM held h JOIN template t USING (n_tok, lead, line)),
-often AS (SELECT n_tok, lead, template FROM named GROUP BY ALL HAVING count(DISTINCT id) >= {_T.min_docs}),
-found AS (
-  SELECT id, list(pos) AS gone, sum(n.n_tok) AS words
-  FROM named n JOIN often o ON n.n_tok = o.n_tok AND n.lead = o.lead AND n.template IS NOT DISTINCT FROM o.template GROUP BY id),
+  SELECT DISTINCT n_tok, lead, line, template FROM (
+    SELECT n_tok, lead, line, least, string_agg(place || ' ' || token, ' ' ORDER BY place) FILTER (pct >= least) AS template
+    FROM marked, levels GROUP BY ALL HAVING count(*) FILTER (pct >= least) * 100 >= count(*) * {_T.min_constant_pct})),
+named AS (SELECT s.*, template FROM sized s JOIN template USING (n_tok, lead, line)),
+recurring AS (SELECT n_tok, lead, template FROM named GROUP BY ALL HAVING count(DISTINCT tid) >= {_T.min_docs}),
+gone AS (SELECT DISTINCT tid, pos, n_tok FROM named JOIN recurring USING (n_tok, lead, template)),
+found AS (SELECT tid, list(pos) AS gone, sum(n_tok) AS words FROM gone GROUP BY tid),
 judged AS (
-  SELECT doc_id, text, gone,
-    coalesce(words * 100 <= (length(text) - length(translate(text, ' ' || chr(10), '')) + 1) * {_T.max_drop_pct}, false) AS cut
-  FROM documents LEFT JOIN found ON doc_id = id)
+  SELECT doc_id, d.text, gone,
+    coalesce(words * 100 <= (length(d.text) - length(translate(d.text, ' ' || chr(10), '')) + 1) * {_T.copy_pct}, false) AS cut
+  FROM documents d LEFT JOIN numbered n ON d.text = n.text LEFT JOIN found USING (tid))
 SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS n_lines,
-  CASE WHEN cut THEN len(gone) ELSE 0 END AS n_dropped,
+  CASE WHEN cut THEN len(gone) ELSE 0 END AS n_dropped, CASE WHEN cut THEN 0 ELSE coalesce(len(gone), 0) END AS n_spared,
   md5(CASE WHEN cut THEN array_to_string([x FOR x, i IN string_split(text, chr(10)) IF NOT list_contains(gone, i - 1)], chr(10)) ELSE text END) AS text_md5
 FROM judged
 """
 
 
-def _strength(level: str) -> str:
-    """Prior strength of a level's groups around the overall mean, by moments."""
-    spread = "(sum(good * good / n) - 2 * mean * sum(good) + mean * mean * sum(n))"
-    below = "(mean * (1 - mean) * (sum(n) - sum(n * n) / sum(n) - (count(*) - 1)))"
-    rho = f"(CASE WHEN {below} > 0 THEN ({spread} - (count(*) - 1) * mean * (1 - mean)) / {below} ELSE 0 END)"
-    return f"""(SELECT CASE WHEN count(*) < 2 OR any_value(mean) <= 0 OR any_value(mean) >= 1 THEN {_R.most_strength}
-      WHEN {rho} > 0 THEN least({_R.most_strength}, greatest({_R.least_strength}, 1 / {rho} - 1)) ELSE {_R.most_strength} END
-      FROM (SELECT n::DOUBLE AS n, good::DOUBLE AS good, mean FROM {level}, overall WHERE n > 0) GROUP BY mean)"""
+def _strength(level: str, parent: str) -> str:
+    """Prior strength of a level's groups around their parents' rates, by moments."""
+    return f"""(SELECT CASE WHEN more > 1e-9 AND (spread - pure) / more > 1e-9
+        THEN least({_R.most_strength}, greatest({_R.least_strength}, more / (spread - pure) - 1)) ELSE {_R.most_strength} END
+      FROM (SELECT sum(spread) AS spread, sum(v * (k - 1)) AS pure, sum(v * (n - nn / n - (k - 1))) AS more
+        FROM (SELECT k, n, nn, gg - g * g / n AS spread, g / n * (1 - g / n) AS v
+          FROM (SELECT count(*) AS k, sum(n)::DOUBLE AS n, sum(good)::DOUBLE AS g, sum(n * n)::DOUBLE AS nn, sum(good * good / n) AS gg
+            FROM {level} WHERE n > 0 GROUP BY {parent}))))"""
 
 
 _URLS = f"""
@@ -66,11 +67,13 @@ hosts AS (
   FROM (SELECT *, array_to_string(l[-2:], '.') IN ({_TWO}) AS two FROM counts)),
 domains AS (SELECT suffix, domain, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM domains GROUP BY ALL),
-overall AS (SELECT coalesce(sum(good) / nullif(sum(n), 0), 0.5)::DOUBLE AS mean FROM suffixes),
-strengths AS (SELECT coalesce({_strength("suffixes")}, {_R.most_strength}) AS ss, coalesce({_strength("domains")}, {_R.most_strength}) AS sd, coalesce({_strength("hosts")}, {_R.most_strength}) AS sh),
-m_suffix AS (SELECT suffix, (good + mean * ss) / (n + ss) AS m FROM suffixes, overall, strengths),
-m_domain AS (SELECT domain, (d.good + s.m * sd) / (d.n + sd) AS m FROM domains d JOIN m_suffix s USING (suffix), strengths),
-posterior AS (SELECT host, h.good + d.m * sh AS a, h.n - h.good + (1 - d.m) * sh AS b FROM hosts h JOIN m_domain d USING (domain), strengths),
+overall AS (SELECT sum(n)::DOUBLE AS n, sum(good)::DOUBLE AS good, coalesce(sum(good) / nullif(sum(n), 0), 0.5)::DOUBLE AS mean FROM suffixes),
+strengths AS (SELECT {_strength("suffixes", "()")} AS ss, {_strength("domains", "suffix")} AS sd, {_strength("hosts", "suffix, domain")} AS sh),
+m_all AS (SELECT suffix, s.n, s.good, CASE WHEN o.n - s.n > 0 THEN (o.good - s.good) / (o.n - s.n) ELSE mean END AS m FROM suffixes s, overall o),
+m_suffix AS (SELECT suffix, domain, d.n, d.good, (s.good - d.good + m * ss) / (s.n - d.n + ss) AS m FROM domains d JOIN m_all s USING (suffix), strengths),
+posterior AS (
+  SELECT host, good + m * sh AS a, n - good + (1 - m) * sh AS b FROM (
+    SELECT host, h.n, h.good, sh, (d.good - h.good + m * sd) / (d.n - h.n + sd) AS m FROM hosts h JOIN m_suffix d USING (suffix, domain), strengths)),
 known AS (
   SELECT host, m - {_R.z} * sqrt(m * (1 - m) / (s + 1)) AS bound FROM (SELECT host, a / (a + b) AS m, a + b AS s FROM posterior)),
 ruled AS (

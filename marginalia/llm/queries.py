@@ -51,7 +51,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_templates.drop_recurring_lines(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", "n_dropped", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+    return found.select("doc_id", "n_lines", "n_dropped", "n_spared", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

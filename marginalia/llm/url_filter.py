@@ -1,9 +1,14 @@
 """URL filter by empirical-Bayes host reputation, in DataFrame operations only.
 
 Labelled page outcomes are counted for each host. A host's rate of good outcomes has a beta prior whose mean
-is its registered domain's shrunk rate, the domain's is its suffix's, the suffix's the overall rate; how
-strongly each level shrinks is estimated from the data by the method of moments. A host is allowed when the
-lower bound of its posterior reaches a threshold. Explicit rules come first.
+is its registered domain's shrunk rate, the domain's is its suffix's, the suffix's the overall rate, each
+without what the child itself adds to it; how strongly each level shrinks is estimated from the spread of the
+children around their parents by the method of moments. A host is allowed when the lower bound of its
+posterior reaches a threshold. Explicit rules come first.
+
+The bound is the mean less ``z`` standard deviations. Against the exact 5 % quantile of the beta posterior it
+errs by up to 0.19, 0.13, 0.05 and 0.012 for posteriors of 2, 4, 12 and 60 pages' weight, prior included. The
+largest errors are those of rates near 0, where it is too low.
 """
 
 from __future__ import annotations
@@ -39,14 +44,26 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def _name(host: Column) -> Column:
+    """The host without user and port."""
+    return F.regexp_replace(F.substring_index(host, "@", -1), ":[0-9]*$", "")
 
 
-def domain_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+def suffix_of(host: Column, suffixes=TWO_LABEL_SUFFIXES) -> Column:
+    """The public suffix: one of ``suffixes`` (of two labels), else the last label; an address of numbers: itself."""
+    name = _name(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(name.rlike(_ADDRESS), name).when(two.isin(*suffixes), two).otherwise(F.substring_index(name, ".", -1))
+
+
+def domain_of(host: Column, suffixes=TWO_LABEL_SUFFIXES) -> Column:
+    """The registered domain: the suffix and the label before it; an address of numbers: itself."""
+    name = _name(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(name.rlike(_ADDRESS), name).when(two.isin(*suffixes), F.substring_index(name, ".", -3)).otherwise(two)
+
+
+_ADDRESS = r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$|^\["
 
 
 def rule_match(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -61,24 +78,26 @@ def rule_match(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
     return rule, verdict
 
 
-def _strength(groups: DataFrame, mean: float, p: ReputationParams) -> float:
-    """Beta-binomial prior strength of groups (n, good) around ``mean``, by moments; one row to the driver."""
-    s = groups.where("n > 0").agg(
-        F.count("*").alias("k"),
-        F.sum("n").alias("n"),
-        F.sum(F.col("n") * F.col("n")).alias("nn"),
-        F.sum(F.col("good") * F.col("good") / F.col("n")).alias("gg"),
-        F.sum("good").alias("g"),
-    ).first()
-    if not s["n"] or s["k"] < 2 or not 0 < mean < 1:
-        return p.most_strength
-    spread = s["gg"] - 2 * mean * s["g"] + mean * mean * s["n"]
-    below = mean * (1 - mean) * (s["n"] - s["nn"] / s["n"] - (s["k"] - 1))
-    rho = (spread - (s["k"] - 1) * mean * (1 - mean)) / below if below > 0 else 0.0
-    return min(p.most_strength, max(p.least_strength, 1 / rho - 1)) if rho > 0 else p.most_strength
-
-
-def host_reputation(pages: DataFrame, outcomes: DataFrame, p: ReputationParams = ReputationParams()) -> DataFrame:
+def _strength(children: DataFrame, parent: list[str], p: ReputationParams) -> float:
+    """Beta-binomial prior strength of children (n, good) around their parents' rates, by moments.
+
+    Sums are taken for each parent first, then over parents; one row reaches the driver.
+    """
+    n, good = F.col("n").cast("double"), F.col("good").cast("double")
+    sums = children.where("n > 0").groupBy(*parent).agg(
+        F.count("*").alias("k"), F.sum(n).alias("n"), F.sum(good).alias("g"), F.sum(n * n).alias("nn"), F.sum(good * good / n).alias("gg")
+    )
+    rate = F.col("g") / F.col("n")
+    own = sums.select("k", "n", "nn", (F.col("gg") - F.col("g") * rate).alias("spread"), (rate * (1 - rate)).alias("v"))
+    s = own.agg(
+        F.sum("spread").alias("spread"), F.sum(F.col("v") * (F.col("k") - 1)).alias("pure"),
+        F.sum(F.col("v") * (F.col("n") - F.col("nn") / F.col("n") - (F.col("k") - 1))).alias("more"),
+    ).first()
+    rho = (s["spread"] - s["pure"]) / s["more"] if s["more"] and s["more"] > 1e-9 else 0.0
+    return min(p.most_strength, max(p.least_strength, 1 / rho - 1)) if rho > 1e-9 else p.most_strength
+
+
+def host_reputation(pages: DataFrame, outcomes: DataFrame, p: ReputationParams = ReputationParams(), suffixes=TWO_LABEL_SUFFIXES) -> DataFrame:
     """(host, n, good, mean, bound) of every host in ``pages(page_id, host)``.
 
     ``outcomes(page_id, good)`` holds 0 or 1 for labelled pages; null ids and outcomes are ignored, repeated
@@ -88,38 +107,48 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, p: ReputationParams =
     counts = pages.join(labelled, "page_id", "left").groupBy("host").agg(
         F.count("good").alias("n"), F.coalesce(F.sum(F.col("good").cast("long")), F.lit(0)).alias("good")
     )
-    hosts = saved(
-        counts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "good"),
-        "hosts",
-    )
+    host = F.col("host")
+    hosts = saved(counts.select("host", domain_of(host, suffixes).alias("domain"), suffix_of(host, suffixes).alias("suffix"), "n", "good"), "hosts")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    total = suffixes.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
-    overall = total["good"] / total["n"] if total["n"] else 0.5
-    s_suffix, s_domain, s_host = (_strength(level, overall, p) for level in (suffixes, domains, hosts))
-
-    def shrunk(prior, strength):
-        return (F.col("good") + prior * F.lit(strength)) / (F.col("n") + F.lit(strength))
-
-    suffixes = suffixes.select("suffix", shrunk(F.lit(overall), s_suffix).alias("m_suffix"))
-    domains = domains.join(suffixes, "suffix").select("domain", shrunk(F.col("m_suffix"), s_domain).alias("m_domain"))
-    a = F.col("good") + F.col("m_domain") * F.lit(s_host)
-    b = F.col("n") - F.col("good") + (F.lit(1.0) - F.col("m_domain")) * F.lit(s_host)
+    ends = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    total = ends.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
+    n_all, good_all = float(total["n"] or 0), float(total["good"] or 0)
+    overall = good_all / n_all if n_all else 0.5
+    s_suffix, s_domain, s_host = _strength(ends, [], p), _strength(domains, ["suffix"], p), _strength(hosts, ["suffix", "domain"], p)
+
+    def shrunk(n, good, prior, strength):
+        return (good + prior * F.lit(strength)) / (n + F.lit(strength))
+
+    def rest(parent: str, child: str) -> tuple[Column, Column]:
+        """(n, good) of a parent without its child."""
+        return tuple(F.col(f"{parent}_{x}").cast("double") - F.col(f"{child}_{x}") for x in ("n", "good"))
+
+    named = lambda df, keys, name: df.select(*keys, F.col("n").alias(f"{name}_n"), F.col("good").alias(f"{name}_good"))
+    rows = named(hosts, ["suffix", "domain", "host"], "h").join(named(domains, ["suffix", "domain"], "d"), ["suffix", "domain"]).join(named(ends, ["suffix"], "s"), "suffix")
+    others = [F.lit(n_all) - F.col("s_n"), F.lit(good_all) - F.col("s_good")]
+    m_all = F.when(others[0] > 0, others[1] / F.greatest(others[0], F.lit(1.0))).otherwise(F.lit(overall))
+    m_suffix = shrunk(*rest("s", "d"), m_all, s_suffix)
+    m_domain = shrunk(*rest("d", "h"), m_suffix, s_domain)
+    rows = rows.select("host", F.col("h_n").alias("n"), F.col("h_good").alias("good"), m_domain.alias("m"))
+    a = F.col("good") + F.col("m") * F.lit(s_host)
+    b = F.col("n") - F.col("good") + (F.lit(1.0) - F.col("m")) * F.lit(s_host)
     mean = a / (a + b)
     bound = mean - F.lit(p.z) * F.sqrt(mean * (F.lit(1.0) - mean) / (a + b + 1))
-    return hosts.join(domains, "domain").select("host", "n", "good", mean.alias("mean"), bound.alias("bound"))
+    return rows.select("host", "n", "good", mean.alias("mean"), bound.alias("bound"))
 
 
 def filter_urls(
-    pages: DataFrame, outcomes: DataFrame, rules=RULES, p: ReputationParams = ReputationParams()
+    pages: DataFrame, outcomes: DataFrame, rules=RULES, p: ReputationParams = ReputationParams(), suffixes=TWO_LABEL_SUFFIXES
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, reputation, bound) of every row of ``pages(page_id, url)``.
 
     A null url, or one without ``://``, has an empty host and path, and shares the reputation of all such.
+    Null and repeated ids are rows like others; a null id has no outcome. An empty table gives no rows.
+    ``suffixes`` are the public suffixes of two labels, a table of the caller's.
     """
     url = F.col("url")
     split = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
-    known = host_reputation(split.select("page_id", "host"), outcomes, p).select("host", "mean", "bound")
+    known = host_reputation(split.select("page_id", "host"), outcomes, p, suffixes).select("host", "mean", "bound")
     rule, verdict = rule_match(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bound") >= p.threshold, "allow").otherwise("block")
     return split.join(known, "host").select(
