@@ -18,6 +18,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import saved
+
 #: Magic number of the skippable frame that holds an archive's dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -34,7 +36,7 @@ def record(page_id, url: str | None, payload: bytes | None, size: int, digest: s
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {size}",
@@ -59,6 +61,11 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return head, body[body.index(b"\r\n\r\n") + 4 :]
 
 
+def _page(record_id: str) -> int | None:
+    """The page_id in a record id; that of a page without one is empty."""
+    return int(record_id[10:-1]) if len(record_id) > 11 else None
+
+
 def train_dictionary(samples: list[bytes], size: int = 65536) -> bytes:
     """A dictionary of at most ``size`` bytes; samples too few to train on serve as raw content themselves."""
     if not samples:
@@ -104,14 +111,17 @@ def read_archive(data: bytes):
     dictionary = zstandard.ZstdDecompressor().decompress(packed) if packed else b""
     made = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
     decompressor = zstandard.ZstdDecompressor(dict_data=made)
-    rest = memoryview(data)[8 + length :]
-    while rest:
-        frame = decompressor.decompressobj()
-        out = frame.decompress(rest)
-        if not frame.eof:
-            raise ValueError("truncated frame")
-        yield parse_record(out)
-        rest = rest[len(rest) - len(frame.unused_data) :]
+    view, at = memoryview(data), 8 + length
+    while at < len(view):
+        frame, parts, step = decompressor.decompressobj(), [], 4096
+        # A frame is fed in growing pieces: what it leaves of the last one is all that is ever copied.
+        while not frame.eof:
+            if at >= len(view):
+                raise ValueError("truncated frame")
+            parts.append(frame.decompress(view[at : at + step]))
+            at, step = min(at + step, len(view)), min(2 * step, 1 << 20)
+        at -= len(frame.unused_data)
+        yield parse_record(b"".join(parts))
 
 
 def _put(uri: str, data: bytes) -> None:
@@ -128,24 +138,23 @@ def _put(uri: str, data: bytes) -> None:
 
 
 def record_types(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload, payload_bytes, payload_digest, refers_to) of ``pages(page_id, url, html)``.
+    """(page_id, url, payload, payload_bytes, sha1, refers_to): one row for every row of ``pages(page_id, url, html)``.
 
     Of the records with equal payloads, the one with the largest page_id is the response and the others
-    refer to it. Null html is an empty payload; null ids are dropped; each row of a repeated page_id has a
-    record, so rows that repeat as a whole give equal responses.
+    refer to it. Null html is an empty payload. A row with a null id is a revisit if a row with an id has its
+    payload, else a response; rows that repeat an id with its payload are responses or revisits alike. Other
+    columns are ignored.
     """
-    rows = pages.where("page_id is not null").select(
-        "page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload")
-    )
+    rows = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
-    first = rows.groupBy("sha1").agg(F.max("page_id").alias("response"))
-    return rows.join(first, "sha1").select(
-        "page_id", "url",
-        # A revisit's record has no payload, so it need not travel.
-        F.when(F.col("page_id") == F.col("response"), F.col("payload")).alias("payload"),
-        "payload_bytes", "sha1",
-        F.when(F.col("page_id") != F.col("response"), F.col("response")).alias("refers_to"),
-    )
+    # Responses are settled on digests alone. Only payloads that occur more than once have revisits, so the
+    # join's other side is small, and pages stay where they are if it is small enough to be broadcast.
+    per = rows.select("page_id", "sha1").groupBy("sha1").agg(F.count("*").alias("n"), F.max("page_id").alias("response"))
+    repeated = saved(per.where("n > 1 and response is not null").select("sha1", "response"), "repeated-payloads")
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response"))
+    return rows.join(repeated, "sha1", "left").select(
+        "page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), "payload_bytes", "sha1", refers.alias("refers_to")
+    )
 
 
 def sample_records(pages: DataFrame, max_samples: int = 1000, max_bytes: int = 32768) -> list[bytes]:
@@ -165,7 +174,8 @@ def write_archives(
     """Write all pages under ``folder`` (any URI that pyarrow.fs opens on every executor).
 
     Returns (archive, records, bytes), one row for each archive; an archive is closed once it exceeds
-    ``archive_bytes``. The rows are written when the result is evaluated.
+    ``archive_bytes``. The archives are written when the result is evaluated. Every row has a record, whatever
+    is null in it (see ``record_types``); an empty table gives no archive.
     """
     uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     if uri.startswith("file:/") and not uri.startswith("file://"):
@@ -218,7 +228,7 @@ def read_archives(spark: SparkSession, folder: str, names: DataFrame | None = No
                     if kind == "response" and (len(payload) != size or payload_digest(payload) != digest):
                         raise ValueError(f"damaged payload of {head['WARC-Record-ID']}")
                     refers = head.get("WARC-Refers-To")
-                    rows.append((int(head["WARC-Record-ID"][10:-1]), head.get("WARC-Target-URI"), size, digest, kind, refers and int(refers[10:-1]), payload if kind == "response" else None))
+                    rows.append((_page(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), size, digest, kind, refers and _page(refers), payload if kind == "response" else None))
                     held += len(payload)
                     if len(rows) >= 2000 or held > 16 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
