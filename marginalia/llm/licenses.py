@@ -1,17 +1,16 @@
 """License scans by conditional compression.
 
 Each license template is the raw-content dictionary of a Zstandard compressor. A candidate block that holds
-a template shrinks far more with it than without; the templates are ranked by that reduction, and the best
-are confirmed by the exact words in which block and template differ. Reductions are taken relative to the
-size of the template itself, or long templates, of which any prose repeats some bytes, would outrank the
-short notice that a block holds whole.
+a template shrinks far more with it than without. The templates are ranked by that reduction and confirmed by
+the exact words in which block and template differ; of confirmed ones that overlap, the largest reduction wins.
+
+Blocks are found by cue words that the templates themselves give. A match within ``d`` differing words has all
+but ``d`` of a template's words, so it holds one of its ``d`` + 1 longest, and nothing is lost by looking only
+where one of them stands.
 """
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-from functools import lru_cache
-
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -34,89 +33,131 @@ TEMPLATES = {
     "BSD-3-Clause:text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "ISC:text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
 }
-#: Words that start the search for a candidate block.
-CUES = frozenset(b"license licence licensed licensing permission redistribution redistributions apache gpl mpl commons cc mit".split())
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str] | None = None, max_diff_pct: int = 10, tried: int = 3, level: int = 3):
+    """Finds every place where a template stands with at most ``max_diff_pct`` of its words, one at least, differing."""
+
+    def __init__(self, templates: dict[str, str] | None = None, max_diff_pct: int = 10, level: int = 3):
         templates = TEMPLATES if templates is None else templates
-        self.words = {k: alnum_words(v.encode()) for k, v in templates.items()}
+        self.words = {k: alnum_words(v.encode()) for k, v in sorted(templates.items())}
         self.words = {k: v for k, v in self.words.items() if v}
-        self.max_diff_pct, self.tried = max_diff_pct, tried
-        self.reach = max(map(len, self.words.values()), default=0)
+        self.most = {k: max(1, len(v) * max_diff_pct // 100) for k, v in self.words.items()}
+        self.kinds = {k: frozenset(v) for k, v in self.words.items()}
+        #: word -> templates that it is a cue of, and its places in each
+        self.cues: dict[bytes, dict[str, list[int]]] = {}
+        for k, v in self.words.items():
+            for w in sorted(self.kinds[k], key=lambda w: (-len(w), w))[: self.most[k] + 1]:
+                self.cues.setdefault(w, {})[k] = [i for i, x in enumerate(v) if x == w]
+        self.reach = max((len(v) + self.most[k] for k, v in self.words.items()), default=0)
         make = zstandard.ZstdCompressor
         self.plain = make(level=level, write_content_size=False)
         self.given = {
             k: make(level=level, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(b" ".join(v), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
             for k, v in self.words.items()
         }
-        self.size = {k: len(self.plain.compress(b" ".join(v))) for k, v in self.words.items()}
-        self.rank = lru_cache(4096)(self._rank)
-
-    def _rank(self, block: bytes) -> list[tuple[int, str]]:
-        """(bytes saved, template), largest saving for the template's size first, ties by name."""
-        alone = len(self.plain.compress(block))
-        saved = [(alone - len(c.compress(block)), k) for k, c in self.given.items()]
-        return sorted(saved, key=lambda x: (-x[0] / self.size[x[1]], x[1]))
-
-    def difference(self, name: str, block: list[bytes], cue: int):
-        """The block's words that answer to a template, or None: (start, end, template words missing, words added)."""
-        want = self.words[name]
-        match = SequenceMatcher(None, want, block, autojunk=False)
-        best = None
-        for a, b, size in sorted(match.get_matching_blocks(), key=lambda m: -m[2])[:2]:
-            if not size:
+
+    def rank(self, block: list[bytes]) -> list[tuple[int, str]]:
+        """(bytes saved, template) of every template that makes the block smaller, largest saving first."""
+        data = b" ".join(block)
+        saved = [(self.saving(data, k), k) for k in self.given]
+        return sorted(((s, k) for s, k in saved if s > 0), key=lambda x: (-x[0], x[1]))
+
+    def saving(self, data: bytes, name: str) -> int:
+        return len(self.plain.compress(data)) - len(self.given[name].compress(data))
+
+    def difference(self, name: str, words: list[bytes], cue: int):
+        """(start, end, template words missing, words added) of the best match over a cue word, or None."""
+        want, most, best = self.words[name], self.most[name], None
+        for at in self.cues.get(words[cue], {}).get(name, ()):
+            right = _extend(want[at + 1 :], words[cue + 1 : cue + 1 + len(want) + most], most)
+            if right is None:
                 continue
-            slack = len(want) * self.max_diff_pct // 100 + 1
-            lo, hi = max(0, b - a - slack), min(len(block), b - a + len(want) + slack)
-            own = SequenceMatcher(None, want, block[lo:hi], autojunk=False).get_matching_blocks()[:-1]
-            start, end = lo + own[0][1], lo + own[-1][1] + own[-1][2]
-            same = sum(m[2] for m in own)
-            missing, added = _wording(want, block[lo:hi], own)
-            if start <= cue < end and (best is None or len(missing) + len(added) < len(best[2]) + len(best[3])):
-                best = (start, end, missing, added)
-            if same == len(want):
-                break
-        return best
+            before = words[max(0, cue - len(want) - most) : cue]
+            left = _extend(want[:at][::-1], before[::-1], most - right[0])
+            if left is not None and (best is None or left[0] + right[0] < best[0]):
+                best = (left[0] + right[0], cue - left[1], cue + 1 + right[1], left[2][::-1] + right[2], left[3][::-1] + right[3])
+        return best and best[1:]
 
     def scan(self, text: bytes | None):
-        """Confirmed matches: (first word, words, template, bytes saved, missing, added)."""
+        """Confirmed matches in text order: (first word, words, template, bytes saved, missing, added).
+
+        Of matches that overlap, the one with the largest saving stays; ties go to fewer differences, then to
+        the template's name.
+        """
         words = alnum_words(text)
-        out, done = [], 0
+        found = []
         for cue, word in enumerate(words):
-            if word not in CUES or cue < done:
+            own = self.cues.get(word)
+            if own is None:
                 continue
-            lo, hi = max(done, cue - self.reach), min(len(words), cue + self.reach)
-            block = words[lo:hi]
-            ranked = [(s, k) for s, k in self.rank(b" ".join(block)) if s > 0]
-            found = []
-            for saved, name in ranked[: self.tried]:
-                d = self.difference(name, block, cue - lo)
-                if d and 100 * (len(d[2]) + len(d[3])) <= self.max_diff_pct * len(self.words[name]):
-                    found.append((saved, name, d))
-            if found:
-                saved, name, (a, b, missing, added) = found[0]
-                out.append((lo + a, b - a, name, saved, missing, added))
-                done = lo + b
-        return out
-
-
-def _wording(want, have, blocks):
-    missing, added, i, j = [], [], 0, blocks[0][1] if blocks else 0
-    for a, b, size in blocks:
-        missing += want[i:a]
-        added += have[j:b]
-        i, j = a + size, b + size
-    return missing + want[i:], added
+            block = words[max(0, cue - self.reach) : cue + self.reach]
+            kinds = set(block)
+            near = [k for k in own if len(self.kinds[k] - kinds) <= self.most[k]]
+            for _, name in self.rank(block) if near else ():
+                d = self.difference(name, words, cue) if name in near else None
+                if d:
+                    # Of the block's saving, what the words of the match themselves account for.
+                    found.append((d[0], d[1], name, self.saving(b" ".join(words[d[0] : d[1]]), name), d[2], d[3]))
+        out: list[tuple] = []
+        for m in sorted(found, key=lambda m: (-m[3], len(m[4]) + len(m[5]), m[2], m[0])):
+            if all(m[1] <= o[0] or o[1] <= m[0] for o in out):
+                out.append(m)
+        return [(a, b - a, *rest) for a, b, *rest in sorted(out)]
+
+
+def _extend(want: list[bytes], have: list[bytes], most: int):
+    """(differences, words of ``have`` used, missing, added) that lead through all of ``want`` with the fewest, or None.
+
+    ``have`` may go on after the match. Furthest points are kept for each number of differences and each
+    diagonal, so the work grows with the differences allowed and not with the product of the lengths.
+    """
+    def slide(i: int, j: int) -> int:
+        while i < len(want) and j < len(have) and want[i] == have[j]:
+            i, j = i + 1, j + 1
+        return i
+
+    front = {0: (slide(0, 0), None)}  # words of have less words of want -> words of want done, the step before
+    for d in range(most + 1):
+        ends = [(k, step) for k, step in front.items() if step[0] == len(want)]
+        if ends:
+            k, step = min(ends, key=lambda x: x[0])
+            missing, added, used = [], [], len(want) + k
+            while step[1] is not None:
+                is_missing, word, step = step[1]
+                (missing if is_missing else added).append(word)
+            return d, used, missing[::-1], added[::-1]
+        after: dict[int, tuple] = {}
+        for k, step in sorted(front.items()):
+            i, j = step[0], step[0] + k
+            if i < len(want):
+                after[k - 1] = max(after.get(k - 1, (-1, None)), (slide(i + 1, j), (True, want[i], step)), key=lambda x: x[0])
+            if j < len(have):
+                after[k + 1] = max(after.get(k + 1, (-1, None)), (slide(i, j + 1), (False, have[j], step)), key=lambda x: x[0])
+        front = after
+    return None
+
+
+def load_templates(templates: DataFrame, most_bytes: int = 8 << 20) -> dict[str, str]:
+    """``templates(name, text)`` as a mapping for ``scan_licenses``; names read ``license:form``.
+
+    The texts go to every task, so more than ``most_bytes`` of them are an error. Null names and texts are ignored.
+    """
+    rows = templates.where("name is not null and text is not null")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > most_bytes:
+        raise ValueError(f"{size} bytes of templates, at most {most_bytes}")
+    return {r["name"]: r["text"] for r in rows.select("name", "text").orderBy("name", "text").collect()}
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", max_diff_pct: int = 10) -> DataFrame:
     """(id_col, start_word, n_words, license, form, bytes_saved, missing, added, exact), one row for each notice found.
 
     Words are the lower-cased runs of letters and digits. A block reaches as far as the longest template on
-    both sides of a cue word, in whole texts. Null, empty and cueless texts give no rows; other columns are
-    ignored; repeated rows repeat their matches.
+    both sides of a cue word, in whole texts. Null, empty and cueless texts give no rows, and an empty table
+    none; other columns are ignored; repeated rows and ids repeat their matches, null ids keep theirs.
+    ``missing`` and ``added`` are the template's words that the text lacks and those it has besides. The
+    built-in templates are short notices and headers; give whole license texts by ``load_templates``.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     columns = [("start_word", pa.int64()), ("n_words", pa.int64()), ("name", pa.string()), ("bytes_saved", pa.int64()), ("missing", pa.string()), ("added", pa.string())]
