@@ -1,9 +1,9 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
-A page becomes a sequence of text blocks and tags. Words score positive and tags negative, with weights
-learned from pages whose markup labels their content; a linear scan finds the contiguous region with the
-largest sum. The region is then read out as blocks, whole, up to the element that encloses it, without the
-containers of menus, adverts, forms and the like.
+A page becomes a sequence of text blocks and tags. Words score positive, linked words and tags negative, with
+weights learned from pages whose markup labels their content; a linear scan finds the contiguous region with
+the largest sum. Menus, adverts, forms and the like are marked by their elements and names and take no part in
+the sequence, unless that leaves no region: a mark around all content is an error of its name.
 """
 
 from __future__ import annotations
@@ -21,30 +21,45 @@ from pyspark.sql import functions as F
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(script|style|textarea|title|template|noscript|iframe|svg|select|math|object|xmp)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))"
+    r"|<(script|style|textarea|title|template|noscript|iframe|svg)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 _ATTR = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
-_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td "
-    "tfoot th thead tr ul".split()
+    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody "
+    "td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Containers that never hold main text, wherever they stand.
-NEVER = frozenset("nav aside footer form head menu button dialog label input option fieldset".split())
-#: Words of a class, id or role that mark such containers.
+#: Containers that never hold main text.
+NEVER = frozenset("nav aside footer head menu dialog".split())
+#: Containers that hold none either, unless they are wrapped around the whole page.
+SELDOM = frozenset("form fieldset header".split())
+#: Names of classes, ids and roles that mark a container without main text.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist "
-    "complementary contentinfo consent cookie cookies dialog disclaimer disqus footer gdpr header login masthead menu modal nav "
-    "navbar navigation navigationbar newsletter notice notification overlay pager pagination popup privacy promo promoted "
-    "promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored "
-    "subscribe subscription teaser toolbar topbar warning widget alert".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsense alert banner breadcrumb breadcrumbs comment comments "
+    "commentlist complementary contentinfo cookie cookies consent disclaimer disqus footer gdpr header login masthead menu modal nav "
+    "navbar navigation newsletter notice notification notifications overlay pager pagination popup privacy promo promoted promotion "
+    "recommended related replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription teaser "
+    "teasers toolbar topbar warning widget widgets".split()
 )
+#: A name of several parts marks one if the others only say where it stands or what it is made of.
+WHERE = frozenset(
+    "area bar block bottom box buttons container content desktop form fixed global inner items left links list main mobile outer "
+    "page panel posts primary region right secondary section site sticky thread top unit wrap wrapper".split()
+)
+
+
+def _is_mark(name: str) -> bool:
+    parts = [w.lower() for w in _NAME_PARTS.findall(name)]
+    held = [w for w in parts if w in MARKS]
+    return bool(held) and all(w in MARKS or w in WHERE or w.isdigit() for w in parts) and parts[-1] != "content"
+
+
 _CLOSES_P = BLOCKS - {"body", "html"}
 _SELF_CLOSING = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
@@ -63,8 +78,8 @@ class Weights:
 class Element:
     tag: str
     parent: int
-    excluded: bool
-    index: int
+    #: 0: may hold main text, 1: doesn't unless it is wrapped around it, 2: never does
+    mark: int
 
 
 @dataclass
@@ -74,29 +89,28 @@ class Page:
     blocks: list[tuple[int, str, int, int, tuple[str, ...]]]
 
 
-def _marked(tag: str, attrs: str, inside_article: bool) -> bool:
+def _mark(tag: str, attrs: str, inside_article: bool) -> int:
     if tag in NEVER:
-        return True
-    if tag == "header" and not inside_article:
-        return True
+        return 2
+    mark = int(tag in SELDOM and not (tag == "header" and inside_article))
     if not attrs or tag in ("html", "body", "main"):
-        return False
+        return mark
     for name, a, b, c, hidden in _ATTR.findall(attrs):
         if hidden:
-            return True
+            return 2
         name, value = name.lower(), a or b or c
-        if name in ("class", "id", "role") and any(w.lower() in MARKS for w in _WORDS.findall(value)):
-            return True
         if name == "aria-hidden" and value.lower() == "true":
-            return True
+            return 2
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return 2
+        if name in ("class", "id", "role") and any(_is_mark(x) and not (inside_article and x.lower() == "header") for x in value.split()):
+            mark = 1
+    return mark
 
 
 def parse(text: str) -> Page:
     """Blocks of text in page order with the elements that hold them; every part of the page is read."""
-    elements = [Element("html", -1, False, 0)]
+    elements = [Element("html", -1, 0)]
     stack = [0]
     blocks: list[tuple[int, str, int, int, tuple[str, ...]]] = []
     parts: list[str] = []
@@ -149,9 +163,7 @@ def parse(text: str) -> Page:
                 depth = len(stack) - 1
                 while depth > 0 and elements[stack[depth]].tag not in BLOCKS:
                     if elements[stack[depth]].tag == tag:
-                        flush_needed = elements[stack[depth]].excluded
-                        if flush_needed:
-                            flush()
+                        flush()
                         while len(stack) > depth:
                             pop()
                         break
@@ -168,12 +180,11 @@ def parse(text: str) -> Page:
                 _close(elements, stack, "p", pop)
             if tag in _SELF_CLOSING:
                 _close(elements, stack, tag, pop, _SELF_CLOSING[tag])
-        excluded = elements[stack[-1]].excluded or _marked(tag, m[4], articles > 0)
-        if not block and not excluded:
+        mark = _mark(tag, m[4], articles > 0)
+        if not block and not mark:
             continue  # inline markup has no part in the tree
-        if excluded and not elements[stack[-1]].excluded:
-            flush()
-        elements.append(Element(tag, stack[-1], excluded, len(elements)))
+        flush()
+        elements.append(Element(tag, stack[-1], mark))
         stack.append(len(elements) - 1)
         articles += tag == "article"
     if at < len(text):
@@ -195,21 +206,27 @@ def _close(elements: list[Element], stack: list[int], tag: str, pop, stops=froze
                 return
 
 
-def block_score(block, excluded: bool, w: Weights) -> float:
-    _, _, words, linked, tags = block
-    cost = sum(w.tag.get(t, w.other) for t in tags)
-    if excluded:
-        return cost - abs(w.word) * words
-    return cost + w.word * (words - linked) + w.linked * linked
+def gain(block, w: Weights) -> float:
+    """Score of a block's words."""
+    return w.word * (block[2] - block[3]) + w.linked * block[3]
+
 
+def gap(block, w: Weights) -> float:
+    """Score of the tags that lead up to a block."""
+    return sum(w.tag.get(t, w.other) for t in block[4])
 
-def best_region(scores: list[float]) -> tuple[int, int]:
-    """Half-open range with the largest sum, the first of equal ones; (0, 0) for no scores."""
+
+def best_region(gains: list[float], gaps: list[float]) -> tuple[int, int]:
+    """Half-open range with the largest sum of gains and of the gaps within, the first of equal ones; none: (0, 0).
+
+    What leads up to the first block of a range isn't part of it.
+    """
     best, top, start, run = (0, 0), -math.inf, 0, 0.0
-    for i, s in enumerate(scores):
-        if run <= 0:
-            start, run = i, 0.0
-        run += s
+    for i, (own, before) in enumerate(zip(gains, gaps)):
+        if i == 0 or run + before <= 0:
+            start, run = i, own
+        else:
+            run += before + own
         if run > top:
             top, best = run, (start, i + 1)
     return best
@@ -220,34 +237,77 @@ def extract(text: str | None, w: Weights) -> str:
     if not text:
         return ""
     page = parse(text)
-    el, blocks = page.elements, page.blocks
-    free = [not el[b[0]].excluded for b in blocks]
-    if not any(free):
-        return ""
-    a, b = best_region([block_score(x, not ok, w) for x, ok in zip(blocks, free)])
-    if not any(free[a:b]):
-        return ""
-    paths = [_path(el, blocks[i][0]) for i in range(a, b) if free[i]]
-    common = 0
-    while all(len(p) > common and p[common] == paths[0][common] for p in paths):
-        common += 1
-    root = paths[0][common - 1]
-    if common == len(paths[0]) and len(paths) == 1 and common > 1:
-        root = paths[0][common - 2]  # a single block: take its siblings too
-    for e in paths[0][:common]:
-        if el[e].tag in ("article", "main"):
-            root = e
-            if el[e].tag == "article":
-                break
-    if el[root].tag in ("html", "body"):
-        while a > 0 and free[a - 1]:
-            a -= 1
-        while b < len(blocks) and free[b]:
-            b += 1
-        chosen = range(a, b)
-    else:
-        chosen = [i for i in range(len(blocks)) if root in _path(el, blocks[i][0])]
-    return "\n\n".join(blocks[i][1] for i in chosen if free[i])
+    while True:
+        blocks = [page.blocks[i] for i in free_blocks(page)]
+        gains, gaps = [gain(x, w) for x in blocks], [gap(x, w) for x in blocks]
+        a, b = best_region(gains, gaps)
+        if sum(gains[a:b]) > 0 or not _lift(page):
+            break
+    return "\n\n".join(blocks[i][1] for i in _completed(page, blocks, gains, gaps, a, b))
+
+
+def _completed(page: Page, blocks, gains, gaps, a: int, b: int):
+    """The region's blocks and those that belong to it, in page order.
+
+    An article that holds most of the region's words is taken whole. Otherwise blocks of the region's common
+    container belong to it if their words outweigh their tags; right under the body, they must be elements of
+    a kind that the region has.
+    """
+    if a == b:
+        return []
+    el = page.elements
+    paths = [_path(el, x[0]) for x in blocks]
+    words: Counter = Counter()
+    for i in range(a, b):
+        for e in paths[i]:
+            if el[e].tag in ("article", "main"):
+                words[e] += blocks[i][2]
+    held = [e for e in words if 2 * words[e] > sum(x[2] for x in blocks[a:b])]
+    if held:
+        whole = max(held, key=lambda e: (el[e].tag == "article", -e))
+        return [i for i, path in enumerate(paths) if whole in path]
+    common = [e for e in paths[a] if all(e in paths[i] for i in range(a, b))]
+    root = common[-1] if b - a > 1 or len(common) == 1 else common[-2]
+    kinds = {el[blocks[i][0]].tag for i in range(a, b)} if el[root].tag in ("html", "body") else None
+    own = lambda i: gains[i] + gaps[i] > 0 and (kinds is None or el[blocks[i][0]].tag in kinds)
+    return [i for i, path in enumerate(paths) if a <= i < b or root in path and own(i)]
+
+
+def free_blocks(page: Page) -> list[int]:
+    """Numbers of the blocks outside every marked container.
+
+    A mark on a container that holds the page's only article is an error of its name, so it doesn't count.
+    """
+    el = page.elements
+    articles = [i for i, e in enumerate(el) if e.tag in ("article", "main")]
+    if articles and not any(_highest(el, i) == 0 for i in articles):
+        own = _most_words(page, [i for i in articles if _highest(el, i) == 1])
+        for i in _path(el, own) if own is not None else ():
+            el[i].mark = 0
+    return [i for i, b in enumerate(page.blocks) if _highest(el, b[0]) == 0]
+
+
+def _highest(el: list[Element], at: int) -> int:
+    return max(el[i].mark for i in _path(el, at))
+
+
+def _lift(page: Page) -> bool:
+    """Take the mark off the outermost container with the most words; False if there is none."""
+    el = page.elements
+    own = _most_words(page, [i for i, e in enumerate(el) if e.mark == 1 and (e.parent < 0 or _highest(el, e.parent) == 0)])
+    if own is not None:
+        el[own].mark = 0
+    return own is not None
+
+
+def _most_words(page: Page, among: list[int]) -> int | None:
+    """The element with the most unlinked words, the first of equal ones."""
+    words = dict.fromkeys(among, 0)
+    for at, _, n, linked, _ in page.blocks:
+        for i in _path(page.elements, at):
+            if i in words:
+                words[i] += n - linked
+    return max(words, key=lambda i: (words[i], -i), default=None)
 
 
 def _path(elements: list[Element], at: int) -> list[int]:
@@ -266,7 +326,7 @@ def _labelled_counts(text: str | None) -> Counter:
     page = parse(text)
     for el, _, words, linked, tags in page.blocks:
         inside = any(page.elements[e].tag in ("article", "main") for e in _path(page.elements, el))
-        inside = inside and not page.elements[el].excluded
+        inside = inside and _highest(page.elements, el) == 0
         out["word", inside] += words - linked
         out["linked", inside] += linked
         for t in tags:
@@ -306,13 +366,17 @@ def fit_weights(pages: DataFrame, html_col: str = "html", id_col: str = "page_id
         return Weights()
     odds = lambda k: math.log((n.get((k, True), 0) + 1) / (n.get((k, False), 0) + 1))
     base = max(0.25, min(4.0, odds("word")))
-    tags = {t: max(-4.0, min(-0.1, (odds(f"tag:{t}") - base) / base)) for t in sorted(WEIGHED) if (f"tag:{t}", True) in n or (f"tag:{t}", False) in n}
+    tags = {t: max(-1.0, min(-0.1, (odds(f"tag:{t}") - base) / base)) for t in sorted(WEIGHED) if (f"tag:{t}", True) in n or (f"tag:{t}", False) in n}
     linked = max(-2.0, min(0.5, odds("linked") / base))
     return Weights(1.0, linked, -0.3, tags)
 
 
 def extract_pages(pages: DataFrame, weights: Weights, html_col: str = "html", text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``pages`` with the main text as ``text_col`` (replaced if it is there)."""
+    """All rows and columns of ``pages`` with the main text as ``text_col`` (replaced if it is there).
+
+    Null, empty and wordless html gives the empty string. Each row is read by itself and whole, so null and
+    repeated ids and repeated rows make no difference; an empty table gives no rows.
+    """
 
     @F.pandas_udf("string")
     def main_text(column):
