@@ -30,7 +30,11 @@ class MixParams:
     ridge: float = 1e-6
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, p: FitParams = FitParams()) -> tuple[DataFrame, list[str]]:
+#: Domains differ in thousands of words; the clearest of them suffice.
+FIT = FitParams(min_z=8.0, l2=1e-3)
+
+
+def posteriors(docs: DataFrame, labels: DataFrame, p: FitParams = FIT) -> tuple[DataFrame, list[str]]:
     """((doc_id, n_tokens, p), domains) of every row of ``docs``, from ``labels(doc_id, label)``."""
     model = fit(docs, labels, None, p)
     return probabilities(docs, model), model.classes
@@ -121,7 +125,7 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     return [step], {"shares": dict(zip(domains, shares.tolist())), "targets": dict(zip(domains, want.tolist())), "steps": taken, "met": met}
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], p: MixParams = MixParams(), fit_params: FitParams = FitParams()) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], p: MixParams = MixParams(), fit_params: FitParams = FIT) -> DataFrame:
     """(doc_id, n_tokens, domain, posterior, rate, copies) of every row of ``docs``.
 
     ``domain`` is the likeliest, ``posterior`` maps domains to probabilities, ``rate`` is how often the

@@ -33,8 +33,8 @@ class FitParams:
     l2: float = 1e-4
     #: Weight of the squared score changes under counterfactual swaps.
     counterfactual: float = 1.0
-    #: The fit ends once its objective is proven to be this close to the least one.
-    tolerance: float = 1e-4
+    #: The fit ends once its objective, a mean log loss, is proven to be this close to the least one.
+    tolerance: float = 1e-3
     #: Words that lean to a class by this many standard errors, but occur with every class in ``swap_docs``
     #: rows at least, are terms that may be swapped for those of like contexts.
     swap_z: float = 2.0
@@ -352,7 +352,18 @@ def _entries(lists: pa.ChunkedArray, keep: np.ndarray) -> tuple[np.ndarray, np.n
     return np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), lists.flatten().to_numpy()
 
 
-_BLOCK = 512
+_BLOCK = 1024
+
+
+def _block(rows: np.ndarray, cols: np.ndarray, n: int, n_features: int):
+    """Products of a 0-1 matrix, and of its transpose, with matrices of few columns."""
+    if 16 * len(rows) < n * n_features:
+        times = lambda w: np.stack([np.bincount(rows, w[cols, k], n) for k in range(w.shape[1])], axis=1)
+        back = lambda e: np.stack([np.bincount(cols, e[rows, k], n_features) for k in range(e.shape[1])], axis=1)
+        return times, back
+    full = np.zeros((n, n_features), np.uint8)
+    full[rows, cols] = 1
+    return lambda w: (full.astype(np.float32) @ w.astype(np.float32)).astype(np.float64), lambda e: full.T.astype(np.float32) @ e.astype(np.float32)
 
 
 def _optimise(found: pa.Table, column: np.ndarray, n_classes: int, p: FitParams):
@@ -366,10 +377,8 @@ def _optimise(found: pa.Table, column: np.ndarray, n_classes: int, p: FitParams)
     y = found["y"].to_numpy()
     example, swap = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
     y, n, m = y[example], len(example), len(swap)
-    present = np.zeros((n, n_features), np.uint8)  # max_fit_rows bytes a feature, 20 KB with the default
-    for at in range(0, n, 1000):
-        rows, cols = _entries(found["plus"], example[at : at + 1000])
-        present[at + rows, cols] = 1
+    # Blocks of rows bound what a step holds besides. Sparse ones are entries, dense ones a byte a feature.
+    blocks = [_block(*_entries(found["plus"], example[at : at + _BLOCK]), min(_BLOCK, n - at), n_features) for at in range(0, n, _BLOCK)]
     parts = [_entries(found[c], swap) for c in ("plus", "minus")]
     s_rows, s_cols = (np.concatenate([q[i] for q in parts]) for i in range(2))
     s_cols, s_sign = column[s_cols], np.repeat([1.0, -1.0], [len(q[0]) for q in parts]) / scale[column[s_cols]]
@@ -378,10 +387,10 @@ def _optimise(found: pa.Table, column: np.ndarray, n_classes: int, p: FitParams)
     def value(x: np.ndarray) -> tuple[float, np.ndarray]:
         x = x.reshape(n_features + 1, n_classes)
         w, b = x[:-1], x[-1]
-        w32, g, loss = (w * scale[:, None]).astype(np.float32), p.l2 * (x - np.vstack([np.zeros_like(w), b0])), 0.0
-        for at in range(0, n, _BLOCK):
-            part, own = present[at : at + _BLOCK].astype(np.float32), y[at : at + _BLOCK]
-            z = (part @ w32).astype(np.float64) + b
+        own_scale, g, loss = w * scale[:, None], p.l2 * (x - np.vstack([np.zeros_like(w), b0])), 0.0
+        for (times, back), at in zip(blocks, range(0, n, _BLOCK)):
+            own = y[at : at + _BLOCK]
+            z = times(own_scale) + b
             z -= z.max(1, keepdims=True)
             e = np.exp(z)
             every = e.sum(1, keepdims=True)
@@ -389,7 +398,7 @@ def _optimise(found: pa.Table, column: np.ndarray, n_classes: int, p: FitParams)
             loss += (np.log(every[:, 0]) - z[each, own]).sum()
             e /= every
             e[each, own] -= 1
-            g[:-1] += scale[:, None] * (part.T @ e.astype(np.float32)) / n
+            g[:-1] += scale[:, None] * back(e) / n
             g[-1] += e.sum(0) / n
         loss = loss / n + 0.5 * p.l2 * (w * w).sum() + 0.5 * p.l2 * ((b - b0) ** 2).sum()
         for k in range(n_classes if m else 0):
