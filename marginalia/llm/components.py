@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import forget, saved
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round points every node at its smallest neighbour, follows those pointers twice and replaces the
     edges by edges between the targets. Minima are found by partially aggregated groupBys and pointers are
     followed by sort-merge joins that adaptive execution can split, so that a hub or a component with a
-    third of all nodes doesn't land in one task. Every table between rounds is written to the shared folder.
+    third of all nodes doesn't land in one task. Every table between rounds is written to the shared folder and
+    deleted once the tables made from it are written.
     Self loops, null ends and repeated edges have no effect; no edges give no rows.
     """
     # Materialised before the loop; each round reads a table, never the lineage of all earlier rounds.
@@ -25,11 +26,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
-        parent = saved(parent, "parents")
+        first = parent = saved(parent, "parents")
         for _ in range(2):
             hop = parent.select(F.col("node").alias("to"), F.col("to").alias("next"))
             parent = parent.join(hop, "to").select("node", F.col("next").alias("to"))
-        parent = saved(parent, "pointers")
+        parent, last, before = saved(parent, "pointers"), cur, assigned
+        forget(first)
         if assigned is None:
             assigned = parent.select("node", F.col("to").alias("component"))
         else:
@@ -44,6 +46,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             _canonical(cur.join(left, "a").join(right, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))),
             "edges",
         )
+        forget(parent, last, before)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     if assigned is None:

@@ -58,10 +58,9 @@ class Scanner:
         }
 
     def rank(self, block: list[bytes]) -> list[tuple[int, str]]:
-        """(bytes saved, template) of every template that makes the block smaller, largest saving first."""
+        """(bytes saved, template) of every template, largest saving first."""
         data = b" ".join(block)
-        saved = [(self.saving(data, k), k) for k in self.given]
-        return sorted(((s, k) for s, k in saved if s > 0), key=lambda x: (-x[0], x[1]))
+        return sorted(((self.saving(data, k), k) for k in self.given), key=lambda x: (-x[0], x[1]))
 
     def saving(self, data: bytes, name: str) -> int:
         return len(self.plain.compress(data)) - len(self.given[name].compress(data))
