@@ -13,13 +13,16 @@ STOP_WORDS = (
 CODE_STARTS = ("def ", "class ", "import ", "from ", "return ", "if ", "for ", "while ", "const ", "let ", "var ", "function ", "export ", "}")
 LICENSE = r"(?i)(^|[^A-Za-z0-9_])(license|copyright|SPDX)([^A-Za-z0-9_]|$)"
 TODO = r"(^|[^A-Za-z0-9_])(TODO|FIXME|HACK|XXX)([^A-Za-z0-9_]|$)"
+# The patterns of ticket references, numbers, quotes and units, as the evidence rules define them.
 TRACKER = r"@[A-Za-z0-9_]+|(^|[^A-Za-z0-9_])[A-Z]{2,}-[0-9]+([^A-Za-z0-9_]|$)|#[0-9]+|https?://"
-NUMBER = r"[0-9]+(\.[0-9]+)?"
+NUMBER = r"(?U)\b[0-9]+(?:\.[0-9]+)?"
+NUMBER_UNIT = r"((?U)\b[0-9]+(?:\.[0-9]+)?[A-Za-z]*)"
+QUOTED = r"""(?U)(?:^|[^\w"'])("[^"\n]+"|'[^'\n]+')"""
 UNIT_WORD = (
-    r"(?i)(^|[^A-Za-z0-9_])((milli|micro|nano)seconds?|seconds|msecs?|ms|minutes?|hours?|days?|(kilo|mega|giga)?bytes?|px|percent(age)?)"
-    r"([^A-Za-z0-9_]|$)"
+    r"(?U)(?i:\b(?:milli|micro|nano)seconds?\b|\bseconds\b|\bmsecs?\b|\bms\b|\bminutes?\b|\bhours?\b|\bdays?\b"
+    r"|\b(?:kilo|mega|giga)?bytes?\b|\bpx\b|\bpercent(?:age)?\b)|\b[KMGT]i?B\b|毫秒|秒|分钟|小时|天|字节"
 )
-UNIT_AFTER_NUMBER = r"(?i)[0-9]+\s*((s|secs?|second|mins?|h|hrs?)([^A-Za-z0-9_]|$)|%)"
+UNIT_AFTER_NUMBER = r"(?U)(?i:[0-9]+\s*(?:(?:s|secs?|second|mins?|h|hrs?)\b|%))"
 PY_LINE_ENDS = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 
 
@@ -60,7 +63,13 @@ def tokens(text: Column) -> Column:
 
 
 def numbers(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"([0-9]+(?:\.[0-9]+)?)"), 1))
+    """Numbers that begin a word, distinct, in first-seen order."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"({NUMBER})"), 1))
+
+
+def quoted(text: Column) -> Column:
+    """What stands between quotation marks that don't follow a word, in order."""
+    return F.transform(F.regexp_extract_all(text, F.lit(QUOTED), 1), lambda q: F.substring(q, F.lit(2), F.length(q) - 2))
 
 
 def mentions(text: Column) -> Column:
@@ -68,6 +77,7 @@ def mentions(text: Column) -> Column:
     ticked = F.regexp_extract_all(text, F.lit(r"`([^`\s]+)`"), 1)
     ident = F.regexp_extract_all(
         text,
+        # Fixed value: the pattern of an identifier in prose.
         F.lit(r"((?U)\b[A-Za-z_]\w*\(\)|\b[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+|\b[A-Za-z0-9]+(?:_[A-Za-z0-9]+)+\b|\b[a-z]+[A-Z]\w*)"),
         1,
     )
@@ -89,12 +99,9 @@ def signature_echo(a: Column, b: Column) -> Column:
 
 
 def unit_literal(comment: Column, code: Column) -> Column:
-    """What ties a unit in a comment to the code's first number, or null."""
-    word = F.regexp_extract(comment, UNIT_WORD, 2)
-    after = F.trim(F.regexp_replace(F.regexp_extract(comment, UNIT_AFTER_NUMBER, 0), r"[^A-Za-z0-9%]+$", ""))
-    cjk = F.regexp_extract(comment, "毫秒|秒|分钟|小时|天|字节", 0)
-    unit = F.when(word != "", word).when(cjk != "", cjk).when(after != "", after)
-    number = F.regexp_extract(code, NUMBER, 0)
+    """What ties the first unit in a comment to the code's first number, or null."""
+    word, after = F.regexp_extract(comment, UNIT_WORD, 0), F.trim(F.regexp_extract(comment, UNIT_AFTER_NUMBER, 0))
+    unit, number = F.when(word != "", word).when(after != "", after), F.regexp_extract(code, NUMBER, 0)
     return F.when(unit.isNotNull() & (number != ""), F.concat(F.lit("unit "), unit, F.lit(" next to literal "), number))
 
 

@@ -33,12 +33,15 @@ def _lookup(table: dict[str, str], key: Column, default: str) -> Column:
     return out.otherwise(default)
 
 
-def text_line() -> Column:
-    """path:a-b: verdict (kind, tier) message; name=v/t, ...; evidence"""
+def body() -> Column:
+    """message; name=v/t, ...; evidence"""
     checks = F.array_join(F.transform("checks", lambda c: F.format_string("%s=%.2f/%.2f", c["name"], c["value"], c["threshold"])), ", ")
-    tail = F.concat_ws("; ", F.lit(""), F.when(checks != "", checks), F.when(F.col("evidence") != "", F.col("evidence")))
-    head = F.format_string("%s:%d-%d: %s (%s, %s) %s", "path", "start_line", "end_line", "verdict", "kind", "tier", "message")
-    return F.concat(head, tail)
+    return F.concat_ws("; ", "message", F.when(checks != "", checks), F.when(F.col("evidence") != "", F.col("evidence")))
+
+
+def text_line() -> Column:
+    """path:a-b: verdict (kind, tier) and the body"""
+    return F.concat(F.format_string("%s:%d-%d: %s (%s, %s) ", "path", "start_line", "end_line", "verdict", "kind", "tier"), body())
 
 
 def json_row() -> Column:
@@ -61,8 +64,8 @@ def sarif(findings: DataFrame) -> DataFrame:
     region = F.struct(F.col("start_line").alias("startLine"), F.col("end_line").alias("endLine"))
     location = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
     result = F.struct(
-        F.concat(F.lit("comment/"), "verdict").alias("ruleId"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"),
-        F.array(location).alias("locations"),
+        F.concat(F.lit("comment/"), "verdict").alias("ruleId"), level.alias("level"), F.struct(body().alias("text")).alias("message"),
+        F.array(location).alias("locations"), F.struct("kind", "tier", "checks", "evidence").alias("properties"),
     )
     return findings.select("path", "start_line", F.to_json(result).alias("result"))
 
@@ -72,8 +75,26 @@ def rules(findings: DataFrame) -> DataFrame:
     return findings.select(F.concat(F.lit("comment/"), "verdict").alias("rule_id")).distinct().orderBy("rule_id")
 
 
+def sarif_log(findings: DataFrame, tool: str = "marginalia", most_results: int = 100_000) -> DataFrame:
+    """One row with a whole SARIF 2.1.0 log: rules with descriptions, results in order of path and line.
+
+    A log is one document, so it is made in one task; more than ``most_results`` findings are an error, and
+    are to be written by ``write_sarif``.
+    """
+    found = sarif(findings)
+    if found.limit(most_results + 1).count() > most_results:
+        raise ValueError(f"more than {most_results} findings for one log")
+    rows = found.agg(
+        F.array_sort(F.collect_set(F.get_json_object("result", "$.ruleId"))).alias("names"),
+        F.array_sort(F.collect_list(F.struct("path", "start_line", "result"))).alias("rows"),
+    )
+    rule = lambda r: F.concat(F.lit('{"id":"'), r, F.lit('","shortDescription":{"text":"'), F.regexp_replace(F.substring_index(r, "/", -1), "_", " "), F.lit('"}}'))
+    head = F.lit('{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":{"name":"' + tool + '","rules":[')
+    log = F.concat(head, F.array_join(F.transform("names", rule), ","), F.lit("]}},\"results\":["), F.array_join(F.col("rows")["result"], ","), F.lit("]}]}"))
+    return rows.select(log.alias("log"))
+
+
 def write_sarif(findings: DataFrame, path: str) -> None:
-    """A folder with the rules and the results as JSON lines; joining them to one document is left to the
-    reader, so that no task holds all findings."""
+    """A folder with the rules and the results as JSON lines, written by all tasks."""
     rules(findings).write.mode("overwrite").json(f"{path}/rules")
     sarif(findings).select("result").write.mode("overwrite").text(f"{path}/results")

@@ -65,11 +65,12 @@ def question_stats(rows: DataFrame) -> DataFrame:
 
 
 def percentile_index(values: DataFrame, by: list[str], col: str, q: float) -> DataFrame:
-    """The value at index min(int(q n), n - 1) of the sorted values: ranks over a window, no list of a group."""
-    w = Window.partitionBy(*by).orderBy(col)
-    whole = Window.partitionBy(*by)
-    ranked = values.where(F.col(col).isNotNull()).select(*by, col, (F.row_number().over(w) - 1).alias("i"), F.count("*").over(whole).alias("n"))
-    return ranked.where(F.col("i") == F.least(F.floor(F.col("n") * q), F.col("n") - 1)).select(*by, F.col(col).alias("value"))
+    """The value at index min(int(q n), n - 1) of the sorted values, from counts by value."""
+    per = values.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("k"))
+    whole = per.groupBy(*by).agg(F.sum("k").alias("n"))
+    upto = per.withColumn("upto", F.sum("k").over(Window.partitionBy(*by).orderBy(col))).join(whole, by)
+    past = upto.where(F.col("upto") > F.least(F.floor(F.col("n") * q), F.col("n") - 1))
+    return past.groupBy(*by).agg(F.min(col).alias("value"))
 
 
 def auc(scores: DataFrame, by: list[str]) -> DataFrame:

@@ -14,8 +14,12 @@ from ..functions import policy as P
 from ..functions import text as T
 from ..operators import blocks as B
 from ..operators import changes as C
+from ..operators import curation as CU
+from ..operators import evidence as E
 from ..operators import findings as FI
 from ..operators import metrics as M
+from ..operators import structural as S
+from ..operators import verify as V
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -133,18 +137,19 @@ def token_overlap(spark, sf):
     return _turn_pairs(spark, sf).select("conv_id", "turn", F.round(T.overlap(w, p), 6).alias("overlap"), T.signature_echo(w, p).alias("echo"))
 
 
-@query("""SELECT doc_id, len(list_filter(list_distinct(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?')), lambda x: NOT contains(coalesce(b, ''), x))) AS n_mismatch
+@query("""SELECT doc_id, len(list_filter(list_distinct(regexp_extract_all(text, '\\b[0-9]+(?:\\.[0-9]+)?')),
+    lambda x: NOT list_contains(regexp_extract_all(coalesce(b, ''), '\\b[0-9]+(?:\\.[0-9]+)?'), x))) AS n_mismatch
   FROM documents LEFT JOIN (SELECT item_id, text AS b FROM benchmark) ON item_id = doc_id % 40 WHERE regexp_matches(text, '[0-9]')""")
 def literal_mismatch(spark, sf):
     docs = t(spark, sf, "documents").where(F.col("text").rlike("[0-9]")).withColumn("item_id", F.col("doc_id") % 40)
     code = t(spark, sf, "benchmark").select("item_id", F.col("text").alias("b"))
-    bad = F.filter(T.numbers(F.col("text")), lambda x: ~F.contains(F.coalesce("b", F.lit("")), x))
+    bad = F.array_except(T.numbers(F.col("text")), T.numbers(F.coalesce("b", F.lit(""))))
     return docs.join(code, "item_id", "left").select("doc_id", F.size(bad).alias("n_mismatch"))
 
 
-@query("""SELECT page_id, unnest(regexp_extract_all(html, '<!--(.*?)-->', 1)) AS comment FROM pages""")
+@query("""SELECT page_id, unnest(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1)) AS comment FROM pages""")
 def page_comments(spark, sf):
-    return t(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<!--(.*?)-->"), 1)).alias("comment"))
+    return t(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("(?s)<!--(.*?)-->"), 1)).alias("comment"))
 
 
 @query("SELECT doc_id, quality FROM documents JOIN labels USING (doc_id)")
@@ -194,9 +199,23 @@ def interval_overlap(spark, sf):
     return C.overlap_join(_items(docs), _hunks(docs)).select("path", "item", "new_start", "new_count")
 
 
-@query()
+@query(f"""WITH {BLOCKS}, {HUNKS}, items AS (
+    SELECT doc_id AS path, block_no AS item, first_line AS lo, last_line AS hi, cls AS kind, cls || ':' || block_no AS text, greatest(first_line - 2, 1) AS s_lo, last_line + 2 AS s_hi FROM blocks),
+  olds AS (SELECT path, lo AS o_lo, hi AS o_hi, kind AS o_kind, text || CASE WHEN item % 3 = 0 THEN '!' ELSE '' END AS o_text FROM items),
+  side AS (SELECT i.*, h.*, o_lo, o_hi, o_kind, o_text, old_count > 0 AND o_lo <= old_start + old_count - 1 AND o_hi >= old_start AS cut
+    FROM items i JOIN hunks h ON h.doc_id = i.path LEFT JOIN olds o ON o.path = i.path AND o_kind = kind),
+  hunked AS (SELECT path, item, lo, hi, any_value(new_start) AS ns, any_value(new_count) AS nc,
+    CASE WHEN any_value(new_count) > 0 THEN lo <= any_value(new_start) + any_value(new_count) - 1 AND hi >= any_value(new_start)
+      ELSE coalesce(bool_or(cut AND (o_lo < old_start AND lo <= new_start AND hi >= new_start OR o_hi >= old_start + old_count AND lo <= new_start + 1 AND hi >= new_start + 1)), false) END AS relevant,
+    coalesce(bool_or(cut AND o_text = text), false) AS carried, coalesce(bool_or(o_text = text), false) AS moved,
+    coalesce(bool_or(cut AND greatest(o_lo - old_start, 0) = greatest(lo - new_start, 0)), false) AS in_place,
+    CASE WHEN any_value(new_count) > 0 THEN any_value(s_lo) <= any_value(new_start) + any_value(new_count) - 1 AND any_value(s_hi) >= any_value(new_start)
+      ELSE any_value(s_lo) <= any_value(new_start) + 1 AND any_value(s_hi) >= any_value(new_start) END AS scoped
+    FROM side GROUP BY path, item, lo, hi)
+  SELECT path, item, CASE WHEN relevant AND NOT carried THEN CASE WHEN greatest(0, least(hi, ns + nc - 1) - greatest(lo, ns) + 1) < hi - lo + 1 OR moved OR in_place THEN 'modified' ELSE 'added' END
+    WHEN scoped THEN 'scope_changed' ELSE 'untouched' END AS tier FROM hunked""")
 def change_tiers(spark, sf):
-    """Tiers of blocks against hunks and the blocks of the version before (rows only)."""
+    """Tiers of blocks against hunks and the blocks of the version before."""
     docs = t(spark, sf, "documents")
     items = _items(docs).withColumn("text", F.concat_ws(":", "kind", "item")).withColumn("scope_start", F.greatest(F.col("start_line") - 2, F.lit(1))).withColumn("scope_end", F.col("end_line") + 2)
     old = items.select("path", "start_line", "end_line", "kind", F.concat("text", F.when(F.col("item") % 3 == 0, "!").otherwise("")).alias("text"))
@@ -435,3 +454,154 @@ def unit_guard(spark, sf):
 @query()
 def fingerprint_keys(spark, sf):
     return t(spark, sf, "documents").select("doc_id", T.fingerprint(F.col("lang"), F.col("text")).alias("key"))
+
+
+def _quote(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+_LANGS = ("python", "javascript", "typescript", "tsx", "yaml", "rust")
+_RULES = " OR ".join(
+    (f"(lang IN ({', '.join(repr(x) for x in langs)}) AND " if langs else "(") + f"regexp_matches(line, '{_quote(p)}'))" for langs, p in S.RULES
+)
+
+
+@query(f"""WITH {LINES}, placed AS (SELECT doc_id, line_no, line, [{', '.join(repr(x) for x in _LANGS)}][doc_id % 6 + 1] AS lang FROM lines)
+  SELECT lang, sum((regexp_matches(line, '{S.TODO}') OR d)::INT)::BIGINT AS n_structural, sum(d::INT)::BIGINT AS n_directive FROM (SELECT *,
+    (lang IN ('python', 'yaml') AND line_no = 1 AND starts_with(line, '#!')) OR (lang = 'python' AND line_no <= 2 AND regexp_matches(line, '{_quote(S.CODING)}'))
+    OR (lang IN ('javascript', 'typescript', 'tsx') AND regexp_matches(line, '^/\\*[*!]')) OR regexp_matches(line, '{T.LICENSE}') OR {_RULES} AS d FROM placed) GROUP BY lang""")
+def structural_lines(spark, sf):
+    """Lines of documents as comments of a language: what must stay as a directive, license or todo."""
+    rows = B.lines(t(spark, sf, "documents")).withColumn("lang", F.element_at(F.array(*[F.lit(x) for x in _LANGS]), (F.col("doc_id") % 6 + 1).cast("int")))
+    place = (F.col("lang"), F.col("line_no") - 1, F.col("line_no") - 1, F.lit(True), F.lit(False))
+    return rows.groupBy("lang").agg(
+        F.count_if(S.is_structural(F.col("line"), *place)).alias("n_structural"), F.count_if(S.is_directive(F.col("line"), *place)).alias("n_directive")
+    )
+
+
+@query("""WITH i AS (SELECT doc_id, d.text AS comment, coalesce(b.text, '') AS code, doc_id % 2 = 0 AS todo FROM documents d LEFT JOIN benchmark b ON item_id = doc_id % 40 WHERE d.text IS NOT NULL)
+  SELECT doc_id, len(list_filter(regexp_extract_all(comment, '\\b[0-9]+(?:\\.[0-9]+)?[A-Za-z]*'), lambda m: NOT list_contains(regexp_extract_all(code, '\\b[0-9]+(?:\\.[0-9]+)?'), regexp_extract(m, '[0-9]+(?:\\.[0-9]+)?'))))
+    + len(list_filter(regexp_extract_all(comment, '(?:^|[^\\w"''])("[^"\\n]+"|''[^''\\n]+'')', 1), lambda q: NOT contains(code, q[2:-2]))) AS n_mismatch,
+    CASE WHEN todo THEN regexp_matches(comment, '@[A-Za-z0-9_]+|(^|[^A-Za-z0-9_])[A-Z]{2,}-[0-9]+([^A-Za-z0-9_]|$)|#[0-9]+|https?://') END AS todo_tracker FROM i""")
+def comment_evidence(spark, sf):
+    """Documents as comments on benchmark passages: literals that the passage lacks, and trackers of todos."""
+    docs = t(spark, sf, "documents").where("text is not null").withColumn("item_id", F.col("doc_id") % 40).withColumnRenamed("text", "comment")
+    code = t(spark, sf, "benchmark").select("item_id", F.col("text").alias("code"))
+    items = docs.join(code, "item_id", "left").select(
+        "doc_id", "comment", F.coalesce("code", F.lit("")).alias("code"), F.lit("").alias("source"), F.lit(0).alias("start"), F.lit(0).alias("stop"),
+        F.when(F.col("doc_id") % 2 == 0, "todo").otherwise("inline").alias("kind"),
+    )
+    return E.text_evidence(items).select("doc_id", F.size("literal_mismatch").alias("n_mismatch"), "todo_tracker")
+
+
+_SCORED = """scored AS (SELECT doc_id, ['gold', 'drop', 'invent', 'gold'][doc_id % 4 + 1] AS variant, quality = 1 AS good,
+  doc_id * 7 % 100 / 100 AS preserves, CASE WHEN doc_id % 9 > 0 THEN doc_id * 13 % 100 / 100 END AS adds, doc_id * 29 % 100 / 100 AS g1_candidate FROM labels WHERE quality IS NOT NULL)"""
+_RATES = f"""{_SCORED}, kept AS (SELECT * FROM scored WHERE good OR variant IN ('drop', 'invent')),
+grid AS (SELECT * FROM (SELECT unnest({list(V.GRID_PRESERVES)})::DOUBLE AS th_preserves), (SELECT unnest({list(V.GRID_BELOW)})::DOUBLE AS th_adds), (SELECT unnest({list(V.GRID_BELOW)})::DOUBLE AS th_g1)),
+rates AS (SELECT th_preserves, th_adds, th_g1, (count(*) FILTER (ok AND variant = 'gold')) AS gold_accepted, (count(*) FILTER (variant = 'gold')) AS gold_total,
+  (count(*) FILTER (ok AND variant <> 'gold')) AS bad_accepted, (count(*) FILTER (variant <> 'gold')) AS bad_total,
+  (count(*) FILTER (ok AND variant = 'drop')) AS drop_accepted, (count(*) FILTER (ok AND variant = 'invent')) AS invent_accepted
+  FROM (SELECT *, coalesce(preserves, 0) > th_preserves AND coalesce(adds, 1) < th_adds AND coalesce(g1_candidate, 1) < th_g1 AS ok FROM kept, grid) GROUP BY ALL)"""
+
+
+def _scored(spark, sf):
+    d = F.col("doc_id")
+    variant = F.element_at(F.array(*[F.lit(x) for x in ("gold", "drop", "invent", "gold")]), (d % 4 + 1).cast("int"))
+    return t(spark, sf, "labels").where("quality is not null").select(
+        "doc_id", variant.alias("variant"), (F.col("quality") == 1).alias("good"), (d * 7 % 100 / 100).alias("preserves"),
+        F.when(d % 9 > 0, d * 13 % 100 / 100).alias("adds"), (d * 29 % 100 / 100).alias("g1_candidate"),
+    )
+
+
+def _grid(spark):
+    from itertools import product
+
+    return spark.createDataFrame(list(product(V.GRID_PRESERVES, V.GRID_BELOW, V.GRID_BELOW)), "th_preserves double, th_adds double, th_g1 double")
+
+
+@query(f"WITH {_RATES} SELECT * FROM rates")
+def verify_rates(spark, sf):
+    return V.accept_rates(_scored(spark, sf), _grid(spark))
+
+
+@query(f"WITH {_RATES} SELECT * FROM rates WHERE bad_accepted <= 5 ORDER BY gold_accepted DESC, th_preserves DESC, th_adds, th_g1 LIMIT 1")
+def verify_grid(spark, sf):
+    return V.tune(V.accept_rates(_scored(spark, sf), _grid(spark)), 5)
+
+
+@query(f"""WITH {_SCORED}, r AS (SELECT variant, unnest(['preserves', 'adds', 'g1_candidate']) AS question, unnest([preserves, adds, g1_candidate]) AS p, good AS positive FROM scored),
+  known AS (SELECT * FROM r WHERE p IS NOT NULL),
+  a AS (SELECT x.question, sum(CASE WHEN x.p > y.p THEN 1 WHEN x.p = y.p THEN 0.5 ELSE 0 END) / count(*) AS auc FROM known x JOIN known y ON x.question = y.question AND x.positive AND NOT y.positive GROUP BY x.question)
+  SELECT question, count(*) AS n, count(*) FILTER (positive) AS positives, round(avg(((p > 0.5) = positive)::INT), 6) AS acc, round(any_value(auc), 6)::DOUBLE AS auc,
+    round(coalesce(avg(p) FILTER (variant = 'gold'), 0), 6) AS mean_gold, round(coalesce(avg(p) FILTER (variant <> 'gold'), 0), 6) AS mean_other FROM known JOIN a USING (question) GROUP BY question""")
+def verify_questions(spark, sf):
+    names = V.QUESTIONS
+    both = lambda f: F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[f(n) for n in names]))
+    rows = _scored(spark, sf).select("variant", both(lambda n: F.col("good")).alias("labels"), F.map_filter(both(F.col), lambda k, v: v.isNotNull()).alias("answers"))
+    report = V.question_report(rows)
+    return report.select("question", "n", "positives", *[F.round(c, 6).alias(c) for c in ("acc", "auc", "mean_gold", "mean_other")])
+
+
+_PULLS = """pulls AS (SELECT o_orderkey AS id, o_custkey AS repo_id, o_orderpriority AS agent, CASE WHEN o_orderstatus <> 'O' THEN o_orderdate END AS merged_at FROM orders),
+repos AS (SELECT c_custkey AS id, c_mktsegment AS language, c_nationkey::VARCHAR AS license, c_acctbal AS stars, c_custkey % 5 = 0 AS is_forked FROM customer),
+details AS (SELECT l_orderkey AS pr_id, 'f' || l_partkey || CASE WHEN l_linenumber % 3 = 0 THEN '.md' ELSE '.py' END AS filename, repeat('+ # note' || chr(10) || '+x = 1' || chr(10), l_linenumber) AS patch FROM lineitem)"""
+
+
+@query(f"""WITH {_PULLS}, n AS (SELECT pr_id, sum(len(regexp_extract_all(patch, '(?m)^\\+\\s*(#|//|/\\*|\\*)')))::BIGINT AS n_lines FROM details WHERE regexp_matches(filename, '\\.(py|js)$') GROUP BY pr_id)
+  SELECT p.id, repo_id, agent, language, n_lines FROM pulls p JOIN repos r ON r.id = p.repo_id JOIN n ON n.pr_id = p.id
+  WHERE merged_at IS NOT NULL AND agent IN ('1-URGENT', '2-HIGH') AND language IN ('BUILDING', 'MACHINERY') AND license IN ('1', '2', '3', '4', '5', '6', '7', '8', '9') AND stars > 50 AND NOT is_forked AND n_lines >= 3""")
+def mined_pulls(spark, sf):
+    o, c, li = (t(spark, sf, x) for x in ("orders", "customer", "lineitem"))
+    pulls = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("repo_id"), F.col("o_orderpriority").alias("agent"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate")).alias("merged_at"))
+    repos = c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("language"), F.col("c_nationkey").cast("string").alias("license"), F.col("c_acctbal").alias("stars"), (F.col("c_custkey") % 5 == 0).alias("is_forked"))
+    name = F.concat(F.lit("f"), "l_partkey", F.when(F.col("l_linenumber") % 3 == 0, ".md").otherwise(".py"))
+    details = li.select(F.col("l_orderkey").alias("pr_id"), name.alias("filename"), F.repeat(F.lit("+ # note\n+x = 1\n"), F.col("l_linenumber")).alias("patch"))
+    return CU.mine(pulls, repos, details, ("1-URGENT", "2-HIGH"), ("BUILDING", "MACHINERY"), tuple("123456789"), r"\.(py|js)$")
+
+
+@query("""WITH i AS (SELECT event_id AS key, CASE event_type WHEN 'click' THEN 'untouched' WHEN 'error' THEN 'scope_changed' ELSE 'added' END AS tier,
+    CASE WHEN user_id % 3 > 0 THEN 'python' ELSE 'rust' END AS language, event_id * 37 % 6000 AS n_tokens, event_id % 10 > 0 AS classified FROM events),
+  c AS (SELECT event_id AS key FROM events WHERE value > 50)
+  SELECT i.key, CASE WHEN tier = 'untouched' THEN 'untouched' WHEN language <> 'python' OR tier = 'scope_changed' THEN 'direct' WHEN c.key IS NOT NULL THEN 'cached'
+    WHEN n_tokens > 4096 THEN 'direct' WHEN classified THEN 'classified' ELSE 'error' END AS path FROM i LEFT JOIN c ON i.key = c.key""")
+def screening_paths(spark, sf):
+    e, key = t(spark, sf, "events"), F.col("event_id")
+    items = e.select(
+        key.alias("key"), F.when(F.col("event_type") == "click", "untouched").when(F.col("event_type") == "error", "scope_changed").otherwise("added").alias("tier"),
+        F.when(F.col("user_id") % 3 > 0, "python").otherwise("rust").alias("language"), (key * 37 % 6000).alias("n_tokens"), (key % 10 > 0).alias("classified"),
+    )
+    return CU.screened(items, e.where("value > 50").select(key.alias("key"))).select("key", "path")
+
+
+@query("""SELECT a.event_id AS key, CASE WHEN a.event_type = 'view' THEN coalesce(b.event_type, 'review') ELSE a.event_type END AS verdict
+  FROM events a LEFT JOIN events b ON a.event_id = b.event_id AND b.event_id % 2 = 0 AND b.user_id % 2 = 0""")
+def escalated_verdicts(spark, sf):
+    e = t(spark, sf, "events").select(F.col("event_id").alias("key"), "event_type", "user_id")
+    first = e.select("key", F.when(F.col("event_type") == "view", "review").otherwise(F.col("event_type")).alias("verdict"))
+    return CU.escalated(first, e.where("key % 2 = 0 and user_id % 2 = 0").select("key", F.col("event_type").alias("verdict")))
+
+
+_VERDICT = "['keep', 'rewrite_shorter', 'delete', 'rename_instead', 'fix_wrong_claim', 'other'][doc_id % 6 + 1]"
+
+
+@query(f"""WITH g AS (SELECT doc_id, {_VERDICT} AS verdict, ['api_doc', 'inline', 'todo', 'x'][doc_id % 4 + 1] AS comment_kind, CASE WHEN doc_id % 5 > 0 THEN doc_id % 5 END AS score,
+    CASE WHEN doc_id % 3 = 0 THEN 'r' END AS rewrite, CASE WHEN doc_id % 7 > 2 THEN 'n' END AS rename, doc_id % 2 = 0 AS g1, quality = 0 AS bad FROM labels)
+  SELECT doc_id, (comment_kind = 'x')::INT + (verdict = 'other')::INT + 3 * (NOT coalesce(score BETWEEN 0 AND 3, false))::INT
+    + (CASE WHEN (comment_kind = 'api_doc') <> (score IS NOT NULL) OR score > 3 THEN 1 ELSE 0 END) + (comment_kind = 'todo')::INT
+    + ((verdict IN ('rewrite_shorter', 'fix_wrong_claim')) <> (rewrite IS NOT NULL))::INT + (verdict = 'rename_instead' AND rename IS NULL)::INT
+    + (g1 <> bad)::INT + (g1 AND verdict NOT IN ('fix_wrong_claim', 'delete'))::INT AS n_errors
+  FROM g WHERE bad IS NOT NULL""")
+def gold_validation(spark, sf):
+    """Faults by gold row, rows made of labels and arithmetic on ids."""
+    d, pick = F.col("doc_id"), lambda *x: F.element_at(F.array(*[F.lit(v) for v in x]), (F.col("doc_id") % len(x) + 1).cast("int"))
+    score, null = F.when(d % 5 > 0, (d % 5).cast("int")), F.lit(None)
+    labels = F.struct(
+        pick("keep", "rewrite_shorter", "delete", "rename_instead", "fix_wrong_claim", "other").alias("verdict"), (d % 2 == 0).alias("g1_contradicts"), F.lit(False).alias("g1_unverifiable"),
+        score.alias("c2_info_gain"), score.alias("c3_rationale"), score.alias("c8_durability"), score.alias("c5_contract"), null.cast("int").alias("c10_actionable"),
+        F.when(d % 3 == 0, "r").alias("rewrite"), null.cast("string").alias("c9_replaceable"), F.when(d % 7 > 2, "n").alias("rename_suggestion"),
+    )
+    rows = t(spark, sf, "labels").where("quality is not null").select(
+        "doc_id", F.lit("python").alias("language"), pick("api_doc", "inline", "todo", "x").alias("comment_kind"), F.lit("a  b").alias("annotated_code"), F.lit("x a b y").alias("enclosing_scope"),
+        F.array(F.when(F.col("quality") == 0, "contradicted").otherwise("confirmed")).alias("claims"), labels.alias("labels"),
+    )
+    return rows.select("doc_id", F.size(CU.gold_errors()).alias("n_errors"))
