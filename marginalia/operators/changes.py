@@ -55,7 +55,7 @@ def tiers(items: DataFrame, hunks: DataFrame, old: DataFrame) -> DataFrame:
     per_hunk = side.groupBy(*key, *hunk, "start_line", "end_line", "scoped").agg(
         flag(F.when(count > 0, intersects(lo, hi, start, count)).otherwise(before | behind)).alias("relevant"),
         flag(F.col("o_text") == F.col("text")).alias("carried"),
-        flag(shift("o_start_line", "old_start") == shift("start_line", "new_start")).alias("in_place"),
+        flag(F.col("o_start_line").isNotNull() & (shift("o_start_line", "old_start") == shift("start_line", "new_start"))).alias("in_place"),
     )
     covered = F.when(F.col("relevant"), F.greatest(F.lit(0), F.least("end_line", start + count - 1) - F.greatest("start_line", "new_start") + 1)).otherwise(0)
     per_item = per_hunk.groupBy(*key).agg(

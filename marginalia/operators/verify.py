@@ -28,9 +28,9 @@ def accept_rates(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
     """
     kept = scored.where(F.col("good") | F.col("variant").isin("drop", "invent"))
     per = kept.groupBy("variant", *QUESTIONS).agg(F.count("*").alias("k"))
-    grid = thresholds.select(F.collect_list(F.struct("th_preserves", "th_adds", "th_g1")).alias("grid")).first()[0]
-    cases = F.array(*[F.struct(*[F.lit(float(x)).alias(c) for x, c in zip(row, ("th_preserves", "th_adds", "th_g1"))]) for row in grid])
-    each = per.withColumn("th", F.explode(cases)).select("variant", *QUESTIONS, "k", "th.*")
+    # The grid becomes one array literal in every row: a broadcast of one row, whatever there is to score.
+    grid = thresholds.agg(F.collect_list(F.struct("th_preserves", "th_adds", "th_g1")).alias("grid"))
+    each = per.join(F.broadcast(grid), F.lit(True)).select("variant", *QUESTIONS, "k", F.explode("grid").alias("th")).select("variant", *QUESTIONS, "k", "th.*")
     ok = accepts(F.col("th_preserves"), F.col("th_adds"), F.col("th_g1"))
     total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("k"))), F.lit(0))
     gold, bad = F.col("variant") == "gold", F.col("variant") != "gold"
