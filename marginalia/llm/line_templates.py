@@ -103,7 +103,8 @@ def drop_recurring_lines(
     Columns of these three names are replaced.
     """
     found = recurring_lines(docs, text_col, p).groupBy("tid", "size").agg(F.collect_set(F.struct("pos", "n_tok")).alias("__found"))
-    found = found.select(F.col("tid").alias("__tid"), F.col("size").alias("__size"), "__found")
+    # Written first, so that the join below is one of two exchanges, of which a skewed side can be split.
+    found = saved(found.select(F.col("tid").alias("__tid"), F.col("size").alias("__size"), "__found"), "lines-to-drop")
     tid, size = _text_key(text_col)
     joined = docs.join(found, (tid == F.col("__tid")) & (size == F.col("__size")) & F.col(text_col).isNotNull(), "left")
     lines = F.split(text_col, "\n")
