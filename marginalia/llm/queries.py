@@ -18,16 +18,19 @@ def domain_labels(labels: DataFrame) -> DataFrame:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each license notice in whole ``documents`` texts; texts without one give none."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every row of ``pages``; null, empty and wordless html: the empty string."""
     pages = table(spark, sf_dir, "pages")
     found = html_extract.extract_pages(pages, html_extract.fit_weights(pages))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every row of ``pages``; a null url has an empty host and path."""
     labels = table(spark, sf_dir, "labels")
     good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
     outcomes = labels.select(F.col("doc_id").alias("page_id"), good.alias("good"))
@@ -36,11 +39,13 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every row of ``documents``; null and wordless texts have fingerprint zero."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``pages`` written to archives and read back; null html is an empty payload, null ids have records."""
     pages = table(spark, sf_dir, "pages")
     folder = shared_path(spark, "warc")
     dictionary = warc.train_dictionary(warc.sample_records(pages))
@@ -50,27 +55,32 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, dropped and spared lines and a digest of what is left, for every row of ``documents``."""
     found = line_templates.drop_recurring_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", "n_spared", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every row of ``documents``; null and empty texts get that of no features, without labels all are 0."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model)
+    return toxicity.score_toxicity(docs, model).withColumn("swapped_rows", F.lit(model.swapped_rows))
 
 
 def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain, rate and copies of every row of ``documents``; without labels every rate is 1."""
     found = mixing.mix(table(spark, sf_dir, "documents"), domain_labels(table(spark, sf_dir, "labels")), TARGETS)
     return found.select("doc_id", "n_tokens", "domain", F.round("rate", 6).alias("rate"), "copies")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit words and items of every row of ``documents``; null and wordless texts have none."""
     leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.report(leaks)
 
 
 def op10_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements, failure bits and verdicts of every row of ``documents``; null texts measure 0."""
     rows = quality.ledger(table(spark, sf_dir, "documents"))
     rows = rows.withColumn("base_failed", ~quality.passes("base")).withColumn("kept", quality.passes("v2"))
     return rows.select(
@@ -78,10 +88,15 @@ def op10_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy costs, from the ledger of all ``documents``."""
+    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_html_extract, op3_url_filter, op4_simhash, op5_warc, op6_line_templates,
-        op7_toxicity, op8_soft_mixing, op9_decontaminate, op10_quality_ledger,
+        op7_toxicity, op8_soft_mixing, op9_decontaminate, op10_quality_ledger, quality_ablations,
     )
 }
