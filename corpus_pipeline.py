@@ -1,7 +1,9 @@
 """The corpus pipeline: toxicity, line dedup, near-dedup, benchmark decontamination, mixing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is written as Parquet and
-read again as the next stage's ``docs``.
+read again as the next stage's ``docs``. Every stage judges rows by their texts: null and empty texts are kept
+(near-dedup takes all wordless texts for copies of each other), repeated ids stay rows of their own, and an empty
+table gives an empty one. Near-dedup leaves out rows with a null id, which no other stage does.
 """
 
 from __future__ import annotations
@@ -50,7 +52,7 @@ STAGES = [
     ("mixing", mix_to_targets),
 ]
 
-#: Fitted models and fingerprints have no SQL form; tests hold each stage against brute force.
+#: Fitted models and fingerprints have no SQL form; the operators behind the stages are tested against brute force.
 ORACLE_SQL = None
 
 
