@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,14 +33,17 @@ def is_separator(line: Column) -> Column:
     return F.trim(line).rlike(r"^[-=*#~_+/|.]{3,}$")
 
 
+def names_license(line: Column) -> Column:
+    """A word of a license notice; few lines hold one at all, and only those meet the pattern."""
+    low = F.lower(line)
+    return (F.contains(low, F.lit("license")) | F.contains(low, F.lit("copyright")) | F.contains(low, F.lit("spdx"))) & line.rlike(LICENSE)
+
+
 def is_code_like(line: Column) -> Column:
     t = F.trim(line)
-    starts = F.lit(False)
-    for s in CODE_STARTS:
-        starts = starts | F.startswith(t, F.lit(s))
-    punct = F.length(F.regexp_replace(t, r"[\p{L}\p{N}\s]", ""))
+    punct = F.length(F.regexp_replace(t, r"[\p{L}\p{N}\s]+", ""))
     return F.when(t == "", False).otherwise(
-        t.rlike(r"[;{}]$") | starts | t.rlike(r"=>|->|\);") | t.rlike(r" = .*\(") | (punct / F.length(t) > 0.35)
+        t.rlike(r"^(?:" + "|".join(map(re.escape, CODE_STARTS)) + r")|[;{}]$|=>|->|\);| = .*\(") | (punct / F.length(t) > 0.35)
     )
 
 

@@ -17,7 +17,7 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def line_class(line: Column) -> Column:
     """structural (a license notice), noisy (mostly code or symbols), short or prose."""
-    return F.when(line.rlike(T.LICENSE), "structural").when(T.is_code_like(line), "noisy").when(F.length(line) < 40, "short").otherwise("prose")
+    return F.when(T.names_license(line), "structural").when(T.is_code_like(line), "noisy").when(F.length(line) < 40, "short").otherwise("prose")
 
 
 def islands(rows: DataFrame, by: list[str], order: str, same: list[str]) -> DataFrame:
@@ -48,8 +48,16 @@ def comment_blocks(tokens: DataFrame) -> DataFrame:
 
 
 def document_blocks(docs: DataFrame) -> DataFrame:
-    """(doc_id, block_no, cls, first_line, last_line, n_lines) of lines of equal class."""
-    classed = lines(docs).withColumn("cls", line_class(F.col("line")))
-    return islands(classed, ["doc_id"], "line_no", ["cls"]).groupBy("doc_id", "block_no").agg(
-        F.first("cls").alias("cls"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.count("*").alias("n_lines")
-    )
+    """(doc_id, block_no, cls, first_line, last_line, n_lines) of lines of equal class.
+
+    A document is one row, so its lines are classed and its blocks cut within it: nothing is shuffled or sorted.
+    """
+    classed = docs.where("text is not null").select("doc_id", F.transform(F.split("text", "\n"), line_class).alias("cls"))
+    new = lambda i: (i == 0) | (F.get("cls", i) != F.get("cls", i - 1))
+    cut = classed.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("cls") - 1), new))
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("cls")))
+    block = lambda at, i: F.struct(
+        (i + 1).cast("long").alias("block_no"), F.get("cls", at).alias("cls"), (at + 1).alias("first_line"), F.get("ends", i).alias("last_line"),
+        (F.get("ends", i) - at).cast("long").alias("n_lines"),
+    )
+    return cut.withColumn("ends", ends).select("doc_id", F.inline(F.transform("starts", block)))

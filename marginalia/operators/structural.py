@@ -37,7 +37,7 @@ def is_directive(comment: Column, language: Column, line: Column, offset: Column
     found = (language.isin("python", "yaml") & (offset == 0) & F.startswith(comment, F.lit("#!"))) | (
         (language == "python") & (line <= 1) & comment.rlike(CODING)
     )
-    found = found | (language.isin(*SCRIPTS) & is_block & comment.rlike(r"^/\*[*!]")) | is_doc | comment.rlike(T.LICENSE)
+    found = found | (language.isin(*SCRIPTS) & is_block & comment.rlike(r"^/\*[*!]")) | is_doc | T.names_license(comment)
     for languages, pattern in RULES:
         hit = comment.rlike(pattern)
         found = found | (language.isin(*languages) & hit if languages else hit)
