@@ -300,13 +300,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return fps.select("id", "text_key").join(named, "text_key").select("id", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: CopyParams = CopyParams()) -> DataFrame:
+def keep_first(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: CopyParams = CopyParams(), null_ids: bool = False
+) -> DataFrame:
     """One document of each group of near copies: that with the smallest id, once; its columns unchanged.
 
-    Rows that repeat an id with another text are documents of their own. Rows with a null id are left out.
+    Rows that repeat an id with another text are documents of their own. Rows with a null id are left out, or
+    with ``null_ids`` come after all others: one stays only if no document of its group has an id.
     """
-    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
-    keyed = docs.withColumn("__key", F.when(F.col(id_col).isNotNull(), key))
+    # Nulls come first in an order, so rows without an id are told apart by a field of their own.
+    key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+    keyed = docs.withColumn("__key", key if null_ids else F.when(F.col(id_col).isNotNull(), key))
     found = near_copies(keyed, "__key", text_col, p)
     keep = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("__id")).distinct()
     kept = keyed.join(keep, F.col("__key") == F.col("__id"), "left_semi")

@@ -23,7 +23,10 @@ def empty(spark):
 def test_simhash(docs, empty):
     got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
     assert {(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)} <= got
+    copies = docs.union(docs.where("doc_id is null")).union(docs.where("doc_id = 6").withColumn("doc_id", F.lit(None).cast("long")))
+    assert sorted(r.doc_id or 0 for r in simhash.keep_first(copies, null_ids=True).collect()) == [0, 1, 4, 5]
     assert sorted(r.doc_id for r in simhash.keep_first(docs.where("doc_id is not null")).collect()) == [1, 4, 5]
+    assert simhash.keep_first(empty).count() == 0
     assert simhash.near_duplicates(empty).count() == 0
 
 
