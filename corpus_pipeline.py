@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is written as Parquet and
 read again as the next stage's ``docs``. Every stage judges rows by their texts: null and empty texts are kept
 (near-dedup takes all wordless texts for copies of each other), repeated ids stay rows of their own, and an empty
-table gives an empty one. Near-dedup leaves out rows with a null id, which no other stage does.
+table gives an empty one. Rows with a null id are documents like others; in near-dedup they come last in a group.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ def remove_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the smallest id."""
-    return simhash.keep_first(docs).select(*COLUMNS)
+    return simhash.keep_first(docs, null_ids=True).select(*COLUMNS)
 
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
