@@ -223,6 +223,7 @@ def test_pipeline_stages(spark, tmp_path):
     for name, stage in cp.STAGES:
         out = stage(spark, docs, str(tmp_path)).collect()
         kept[name] = sorted(r.doc_id for r in out if r.doc_id is not None)
+        assert [r.doc_id for r in out].count(None) == 1, name
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
         if name != "mixing":
             assert out[0].__fields__ == cp.COLUMNS
