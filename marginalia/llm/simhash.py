@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, space_words
+from .common import forget, saved, space_words
 from .components import connected_components
 
 _CHUNK = 65536
@@ -240,6 +240,8 @@ def _central_pairs(groups: DataFrame, prefixes: DataFrame, p: CopyParams) -> Dat
     """
     rows = groups.join(prefixes.select("node", "n", "common"), "node")
     heads = rows.groupBy("t", "fp").agg(F.max(F.struct("common", "node", "n")).alias("h")).select("t", "fp", "h.node", "h.n")
+    # Written first, so that a large group isn't bound to the task that found its head: the join can split it.
+    heads = saved(heads, "copy-heads")
     both = rows.drop("common").join(heads.select("t", "fp", F.col("node").alias("b"), F.col("n").alias("nb")), ["t", "fp"])
     both = both.where((F.col("node") != F.col("b")) & _sizes_allow(F.col("n"), F.col("nb"), p))
     return both.select(F.col("node").alias("a"), "b", F.col("n").alias("na"), "nb").distinct()
@@ -291,9 +293,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups, met = _meetings(usable.where("n > 0"), p)
     sets = _shingle_sets(met, usable, docs, id_col, text_col, p)
     prefixes = _prefixes(sets, p)
-    near = saved(_verified(saved(_central_pairs(groups, prefixes, p), "copy-central"), sets, p), "copy-links")
+    central = saved(_central_pairs(groups, prefixes, p), "copy-central")
+    forget(groups, met)
+    near = saved(_verified(central, sets, p), "copy-links")
     found = connected_components(near)
-    more = saved(_verified(saved(_remaining_pairs(prefixes, found, p), "copy-remaining"), sets, p), "copy-links")
+    remaining = saved(_remaining_pairs(prefixes, found, p), "copy-remaining")
+    more = saved(_verified(remaining, sets, p), "copy-links")
+    forget(central, remaining, prefixes, sets)
     if not more.isEmpty():
         found = connected_components(near.unionByName(more))
     named = texts.join(found, "node", "left").select("text_key", F.coalesce("component", "node").alias("component_id"))
