@@ -69,18 +69,20 @@ def ball(radius: int) -> list[int]:
 def links(nodes: DataFrame, radius: int = 2, by: Sequence[str] = ()) -> DataFrame:
     """Edges (a, b) that connect all ``nodes(fp, node)``, fp distinct, within ``radius`` differing bits.
 
-    Nodes meet only where they agree in the columns ``by``.
+    Nodes meet only where they agree in the columns ``by``. Without a column ``node``, edges join fingerprints.
     """
     if radius < 0 or radius % 2:
         raise ValueError("radius must be even: balls of half the radius meet in the middle")
     masks = F.array(*[F.lit(m).cast("long") for m in ball(radius // 2)])
-    variants = nodes.select(*by, "fp", "node", F.explode(masks).alias("mask")).select(
-        *by, "fp", "node", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant")
+    node = "node" if "node" in nodes.columns else "fp"
+    held = [*by, *dict.fromkeys(["fp", node])]
+    variants = nodes.select(*held, F.explode(masks).alias("mask")).select(
+        *held, F.col("fp").bitwiseXOR(F.col("mask")).alias("variant")
     )
     met = Window.partitionBy(*by, "variant").orderBy("fp")
-    pairs = variants.select("node", "fp", F.lag("node").over(met).alias("other"), F.lag("fp").over(met).alias("ofp"))
+    pairs = variants.select(F.col(node).alias("a"), "fp", F.lag(node).over(met).alias("b"), F.lag("fp").over(met).alias("ofp"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("ofp"))) <= radius
-    return pairs.where(F.col("other").isNotNull() & near).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    return pairs.where(F.col("b").isNotNull() & near).select("a", "b")
 
 
 def near_duplicates(
@@ -190,7 +192,10 @@ def _meetings(texts: DataFrame, p: CopyParams) -> tuple[DataFrame, DataFrame]:
     held = texts.select("node", F.explode(keys).alias("k")).select("node", "k.t", "k.fp")
     nodes = saved(held.groupBy("t", "fp").agg(F.min("node").alias("node"), F.count("*").alias("held")), "copy-nodes")
     groups = saved(held.join(nodes.where("held > 1").select("t", "fp"), ["t", "fp"]), "copy-groups")
-    balls = links(nodes.where(F.col("t") < p.tables), p.radius, ["t"]).select(F.explode(F.array("a", "b")).alias("node"))
+    # The widest shuffle of all: it carries fingerprints alone, their texts are looked up after.
+    alone = nodes.where(F.col("t") < p.tables)
+    near = links(alone.select("t", "fp"), p.radius, ["t"]).select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    balls = alone.join(near, "fp", "left_semi").select("node")
     return groups, saved(groups.select("node").unionByName(balls).distinct(), "copy-met")
 
 
