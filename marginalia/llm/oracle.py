@@ -89,4 +89,34 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'al
 FROM ruled
 """
 
-SQL: dict[str, str] = {"op3_url_filter": _URLS, "op6_line_templates": _LINES}
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: CRC-32 by its byte table, over the distinct words.
+_RESAMPLE = f"""
+WITH bytes AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+    FROM range(256) r(i))),
+words AS (
+  SELECT doc_id, 0 AS aim, unnest(regexp_extract_all(translate(text, '{_UP}', '{_LOW}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM documents
+  UNION ALL
+  SELECT NULL, 1, unnest(regexp_extract_all(translate(text, '{_UP}', '{_LOW}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) FROM benchmark),
+hexed AS (SELECT DISTINCT w, hex(encode(w)) AS h FROM words),
+coded AS (
+  SELECT w, list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i: (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 1)) AS b FROM hexed),
+hashed AS (
+  SELECT w, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM coded, bytes),
+counts AS (SELECT bucket, count(*) FILTER (aim = 0) AS s, count(*) FILTER (aim = 1) AS t FROM words JOIN hashed USING (w) GROUP BY bucket),
+total AS (SELECT sum(s)::BIGINT AS s, sum(t)::BIGINT AS t FROM counts),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((c.t + 1)::DOUBLE * (total.s + 10000)::DOUBLE) / ((c.s + 1)::DOUBLE * (total.t + 10000)::DOUBLE)))::BIGINT AS gain FROM counts c, total),
+sums AS (SELECT doc_id, count(*) AS n, sum(gain)::BIGINT AS g FROM words JOIN hashed USING (w) JOIN gains USING (bucket) WHERE aim = 0 GROUP BY doc_id),
+noise AS (SELECT doc_id, (('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE AS u FROM documents),
+scored AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce((g - ((g % n) + n) % n) // n, 0)::BIGINT AS weight, u FROM noise LEFT JOIN sums USING (doc_id)),
+final AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln(u)))::BIGINT AS score FROM scored),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS able FROM final WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * able // 100 THEN rank END AS rank FROM final LEFT JOIN placed USING (doc_id)
+"""
+
+SQL: dict[str, str] = {"op3_url_filter": _URLS, "op6_line_templates": _LINES, "op11_importance_resampling": _RESAMPLE}

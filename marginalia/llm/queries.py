@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, licenses, line_templates, mixing, quality, simhash, toxicity, url_filter, warc
+from . import decontaminate, html_extract, licenses, line_templates, mixing, quality, resample, simhash, toxicity, url_filter, warc
 from .common import saved, shared_path, table
 
 #: Target shares of tokens by domain; a document's domain is what `labels` says of it.
@@ -88,6 +88,12 @@ def op10_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features, weight, score and rank of every row of ``documents``, towards ``benchmark``; null texts weigh 0."""
+    found = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of each policy costs, from the ledger of all ``documents``."""
     return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")))
@@ -97,6 +103,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_html_extract, op3_url_filter, op4_simhash, op5_warc, op6_line_templates,
-        op7_toxicity, op8_soft_mixing, op9_decontaminate, op10_quality_ledger, quality_ablations,
+        op7_toxicity, op8_soft_mixing, op9_decontaminate, op10_quality_ledger, op11_importance_resampling,
+        quality_ablations,
     )
 }
