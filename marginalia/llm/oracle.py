@@ -119,4 +119,20 @@ placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS ran
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * able // 100 THEN rank END AS rank FROM final LEFT JOIN placed USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op3_url_filter": _URLS, "op6_line_templates": _LINES, "op11_importance_resampling": _RESAMPLE}
+_TERMS = "regexp_extract_all(translate(text, '{up}', '{low}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')".format(up=_UP, low=_LOW)
+_SEARCH = f"""
+WITH words AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+postings AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM postings GROUP BY doc_id),
+total AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM sizes),
+weights AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM postings, total GROUP BY term, big_n),
+asked AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark)),
+impacts AS (
+  SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l)) AS impact FROM postings JOIN sizes USING (doc_id), total),
+scores AS (
+  SELECT item_id, doc_id, sum(w * impact)::BIGINT AS score FROM asked JOIN impacts USING (term) JOIN weights USING (term) GROUP BY item_id, doc_id),
+placed AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT * FROM placed WHERE rank <= 10
+"""
+
+SQL: dict[str, str] = {"op3_url_filter": _URLS, "op6_line_templates": _LINES, "op11_importance_resampling": _RESAMPLE, "op12_lexical_search": _SEARCH}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, licenses, line_templates, mixing, quality, resample, simhash, toxicity, url_filter, warc
+from . import decontaminate, html_extract, licenses, line_templates, mixing, quality, resample, search, simhash, toxicity, url_filter, warc
 from .common import saved, shared_path, table
 
 #: Target shares of tokens by domain; a document's domain is what `labels` says of it.
@@ -94,6 +94,13 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best ``documents`` of every ``benchmark`` item; items that meet no document give no rows."""
+    index = search.build_index(table(spark, sf_dir, "documents"))
+    found = search.search(index, table(spark, sf_dir, "benchmark"), 10)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of each policy costs, from the ledger of all ``documents``."""
     return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")))
@@ -104,6 +111,6 @@ QUERIES = {
     for f in (
         op1_license_scan, op2_html_extract, op3_url_filter, op4_simhash, op5_warc, op6_line_templates,
         op7_toxicity, op8_soft_mixing, op9_decontaminate, op10_quality_ledger, op11_importance_resampling,
-        quality_ablations,
+        op12_lexical_search, quality_ablations,
     )
 }
