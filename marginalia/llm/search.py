@@ -84,9 +84,8 @@ class _Shard:
         self.impacts.append(impact.of(tf, len(words), n_docs, n_terms))
         self.postings += len(term)
 
-    @property
-    def full(self) -> bool:
-        return len(self.ids) >= SHARD_DOCS or self.postings >= SHARD_POSTINGS
+    def full(self, docs: int, postings: int) -> bool:
+        return len(self.ids) >= docs or self.postings >= postings
 
     def row(self) -> tuple[list, bytes, bytes, bytes, bytes]:
         term = np.concatenate(self.terms)
@@ -114,7 +113,14 @@ def corpus_totals(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     return int(row.n or 0), int(row.total or 0)
 
 
-def build_index(docs: DataFrame, impact: Impact = Impact(), id_col: str = "doc_id", text_col: str = "text") -> Index:
+def build_index(
+    docs: DataFrame,
+    impact: Impact = Impact(),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shard_docs: int = SHARD_DOCS,
+    shard_postings: int = SHARD_POSTINGS,
+) -> Index:
     """Two scans of ``docs``, no shuffle; the shards are written to the shared folder."""
     n_docs, n_terms = corpus_totals(docs, text_col)
     field = docs.schema[id_col]
@@ -127,7 +133,7 @@ def build_index(docs: DataFrame, impact: Impact = Impact(), id_col: str = "doc_i
                 words = alnum_words(text.as_py())
                 if words:
                     shard.add(doc, words, impact, n_docs, n_terms)
-                    if shard.full:
+                    if shard.full(shard_docs, shard_postings):
                         yield _batch(shard, kind)
                         shard = _Shard()
         if shard.ids:

@@ -46,11 +46,10 @@ ITEMS = [(1, "alpha W2"), (2, "SAME text"), (3, None), (4, "nothing_known zzz"),
 
 
 @pytest.mark.parametrize("shard_docs,postings,block", [(4096, 262_144, 500_000), (7, 20, 500_000), (3, 5, 2)])
-def test_against_brute_force(spark, monkeypatch, shard_docs, postings, block):
-    monkeypatch.setattr(search._Shard, "full", property(lambda s: len(s.ids) >= shard_docs or s.postings >= postings))
+def test_against_brute_force(spark, shard_docs, postings, block):
     docs = spark.createDataFrame([(d, t, 1, "r") for d, t in DOCS], "doc_id long, text string, score int, item string").repartition(3)
     items = spark.createDataFrame([(i, t, 1) for i, t in ITEMS], "item_id long, text string, rank int")
-    index = search.build_index(docs)
+    index = search.build_index(docs, shard_docs=shard_docs, shard_postings=postings)
     assert (index.n_docs, index.n_terms) == (sum(bool(words(t)) for _, t in DOCS), sum(len(words(t)) for _, t in DOCS))
     for k in (1, 10):
         found = search.search(index, items, k, block_terms=block)
