@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, licenses, line_templates, mixing, quality, resample, search, simhash, toxicity, url_filter, warc
+from . import decontaminate, html_extract, licenses, line_templates, mixing, pii, quality, resample, search, simhash, toxicity, url_filter, warc
 from .common import saved, shared_path, table
 
 #: Target shares of tokens by domain; a document's domain is what `labels` says of it.
@@ -101,6 +101,12 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every row of ``documents``: base counts and digest, and all spans; null texts have none."""
+    docs = table(spark, sf_dir, "documents")
+    return pii.report(pii.find_pii(docs, pii.fit_corpus(docs)))
+
+
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of each policy costs, from the ledger of all ``documents``."""
     return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")))
@@ -111,6 +117,6 @@ QUERIES = {
     for f in (
         op1_license_scan, op2_html_extract, op3_url_filter, op4_simhash, op5_warc, op6_line_templates,
         op7_toxicity, op8_soft_mixing, op9_decontaminate, op10_quality_ledger, op11_importance_resampling,
-        op12_lexical_search, quality_ablations,
+        op12_lexical_search, op13_pii, quality_ablations,
     )
 }
