@@ -5,9 +5,8 @@ is one, and by whether it touches the token before; so are its neighbours up to
 The field is fitted to a small labelled table, with lines of the corpus beside it that carry base matches as labels
 and are plain otherwise. Tokens and features are numpy arrays over many texts at once.
 
-Decoding is exact. A token whose plain label is ahead of each other label by more than any two transitions can give
-back is plain on the best path whatever stands around it, so Viterbi runs over the stretches in between, many at a
-time. Line ends are plain.
+Decoding is exact. A token that no stretch of marked tokens can hold with a gain over plain ones is plain on the best
+path, so Viterbi runs over what is left in between, many stretches at a time. Line ends are plain.
 
 Null and empty texts have no spans. Rows stay rows, whatever their ids; other columns are ignored. Memory is that of
 CHUNK characters, or of the longest line where that is longer.
@@ -248,14 +247,29 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.nd
 _CELLS = 200_000
 
 
+def _may_be_marked(emit: np.ndarray, line: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """False where a token is surely plain on the best path.
+
+    A stretch of marked tokens between plain ones gains at most what its first token gains on entry, the others
+    inside, and the exit, each with its most favourable label, over the same stretch all plain. Running sums and
+    running maxima give, for each token, the best such bound of all stretches that hold it.
+    """
+    rest = trans - trans[0, 0]
+    over = emit[:, 1:] - emit[:, :1]
+    inside = (over + rest[1:, 1:].max(0).astype(np.float32)).max(1).astype(np.float64)
+    entry = (over + rest[0, 1:].astype(np.float32)).max(1).astype(np.float64)
+    inside[line] = entry[line] = -1e4
+    total = np.cumsum(inside)
+    begun = np.maximum.accumulate(entry - total)
+    ended = np.maximum.accumulate(total[::-1])[::-1]
+    return (begun + ended + rest[1:, 0].max() > -1e-3) & ~line
+
+
 def decode(model: Model, tokens: Tokens) -> np.ndarray:
     """The best label of every token but the padding's."""
     emit = emissions(model, model.features(tokens))
     line, trans = tokens.line[REACH : len(tokens) - REACH], model.trans
-    # The most that the transitions on both sides can favour a label over plain.
-    swing = (trans - trans[:, :1]).max(0) + (trans - trans[:1]).max(1)
-    lead = emit[:, :1] - emit[:, 1:]
-    open_ = (lead <= swing[1:]).any(1) & ~line
+    open_ = _may_be_marked(emit, line, trans)
     out = np.zeros(len(emit), np.int8)
     edge = np.flatnonzero(np.diff(np.concatenate(([0], open_.astype(np.int8), [0]))))
     starts, lengths = edge[::2], edge[1::2] - edge[::2]
@@ -489,9 +503,11 @@ def fit(rows: list[tuple[str, list[Span]]], cues: list[str], params: FitParams =
 def background_rows(docs: DataFrame, params: FitParams = FitParams(), text_col: str = "text") -> list[tuple[str, list[Span]]]:
     """Lines of a bounded sample of documents (those of the smallest hashes), labelled by the base rules."""
     short = F.col(text_col).isNotNull() & (F.length(text_col) <= 100 * params.line_tokens)
-    sample = docs.where(short).select(F.col(text_col).alias("t")).distinct().orderBy(F.xxhash64("t"), "t").limit(params.background_docs)
+    texts = docs.where(short).select(F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h"))
+    least = [r.h for r in texts.select("h").distinct().orderBy("h").limit(params.background_docs).collect()]
+    sample = texts.where(F.col("h").isin(least)).groupBy("h").agg(F.min("t").alias("t"))
     rows = []
-    for r in sample.collect():
+    for r in sorted(sample.collect()):
         for line in r.t.split("\n"):
             if line.strip() and len(rows) < params.background_lines and len(tokenize(line)) <= params.line_tokens + 2 * REACH:
                 rows.append((line, base_spans(line)))
