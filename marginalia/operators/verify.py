@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics as M
+from .tuning import cumulate, dense
 
 # The thresholds that are tried.
 GRID_PRESERVES = (0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99)
@@ -19,24 +22,36 @@ def accepts(preserves: Column, adds: Column, g1: Column) -> Column:
     return (p > preserves) & (a < adds) & (g < g1)
 
 
-def accept_rates(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """For each row of ``thresholds(th_preserves, th_adds, th_g1)``: accepted and all candidates by variant.
+def accept_rates(scored: DataFrame, preserves=GRID_PRESERVES, adds=GRID_BELOW, g1=GRID_BELOW) -> DataFrame:
+    """Accepted and all candidates by variant at every point of the three axes (ascending values).
 
-    ``scored(variant, good, preserves, adds, g1_candidate)``: gold candidates count where they are good.
-    Answers are counted by value first and thresholds are a broadcast table of a few thousand rows at most,
-    so the product is over distinct answers.
+    ``scored(variant, good, preserves, adds, g1_candidate)``: gold candidates count where they are good, false
+    accepts are those of ``drop`` and ``invent``, other variants don't count. Each candidate is counted once, in the
+    cell of the strictest axis values that accept it; sums along the axes give every point (see tuning.cumulate).
     """
-    kept = scored.where(F.col("good") | F.col("variant").isin("drop", "invent"))
-    per = kept.groupBy("variant", *QUESTIONS).agg(F.count("*").alias("k"))
-    # The grid becomes one array literal in every row: a broadcast of one row, whatever there is to score.
-    grid = thresholds.agg(F.collect_list(F.struct("th_preserves", "th_adds", "th_g1")).alias("grid"))
-    each = per.join(F.broadcast(grid), F.lit(True)).select("variant", *QUESTIONS, "k", F.explode("grid").alias("th")).select("variant", *QUESTIONS, "k", "th.*")
-    ok = accepts(F.col("th_preserves"), F.col("th_adds"), F.col("th_g1"))
-    total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("k"))), F.lit(0))
-    gold, bad = F.col("variant") == "gold", F.col("variant") != "gold"
-    return each.groupBy("th_preserves", "th_adds", "th_g1").agg(
-        total(ok & gold).alias("gold_accepted"), total(gold).alias("gold_total"), total(ok & bad).alias("bad_accepted"), total(bad).alias("bad_total"),
-        *[total(ok & (F.col("variant") == v)).alias(f"{v}_accepted") for v in ("drop", "invent")],
+    gold, bad = (F.col("variant") == "gold") & F.col("good"), F.col("variant").isin("drop", "invent")
+    p, a, g = (F.coalesce(F.col(q), F.lit(d)) for q, d in zip(QUESTIONS, (0.0, 1.0, 1.0)))
+    met = lambda conditions: reduce(lambda x, y: x + y, [c.cast("int") for c in conditions])
+    cells = scored.where(gold | bad).select(
+        "variant",
+        (F.lit(len(preserves)) - met([p > x for x in preserves])).alias("p0"),  # first values accept: counted from the end
+        (F.lit(len(adds)) - met([a < x for x in adds])).alias("p1"),
+        (F.lit(len(g1)) - met([g < x for x in g1])).alias("p2"),
+    )
+    kinds = ("gold", "drop", "invent")
+    counted = cells.groupBy("p0", "p1", "p2").agg(*[F.count_if(F.col("variant") == v).alias(v) for v in kinds])
+    # One place more on each axis holds what no point accepts, so the far corner has the totals.
+    shape = [len(preserves) + 1, len(adds) + 1, len(g1) + 1]
+    full = dense(scored.sparkSession, {"": shape}, ["p0", "p1", "p2"]).drop("leaf").join(counted, ["p0", "p1", "p2"], "left").na.fill(0, kinds)
+    sums = cumulate(full, [], ["p0", "p1", "p2"], kinds)
+    corner = reduce(lambda x, y: x & y, [F.col(f"p{i}") == n - 1 for i, n in enumerate(shape)])
+    totals = sums.where(corner).select(F.col("gold").alias("gold_total"), (F.col("drop") + F.col("invent")).alias("bad_total"))
+    at = lambda values, i: F.get(F.array(*[F.lit(float(v)) for v in values]), i)
+    inside = sums.where((F.col("p0") < len(preserves)) & (F.col("p1") < len(adds)) & (F.col("p2") < len(g1)))
+    return inside.join(F.broadcast(totals), F.lit(True)).select(
+        at(preserves, F.lit(len(preserves) - 1) - F.col("p0")).alias("th_preserves"), at(adds, F.col("p1")).alias("th_adds"), at(g1, F.col("p2")).alias("th_g1"),
+        F.col("gold").alias("gold_accepted"), "gold_total", (F.col("drop") + F.col("invent")).alias("bad_accepted"), "bad_total",
+        F.col("drop").alias("drop_accepted"), F.col("invent").alias("invent_accepted"),
     )
 
 

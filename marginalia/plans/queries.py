@@ -494,9 +494,9 @@ def comment_evidence(spark, sf):
     return E.text_evidence(items).select("doc_id", F.size("literal_mismatch").alias("n_mismatch"), "todo_tracker")
 
 
-_SCORED = """scored AS (SELECT doc_id, ['gold', 'drop', 'invent', 'gold'][doc_id % 4 + 1] AS variant, quality = 1 AS good,
+_SCORED = """scored AS (SELECT doc_id, ['gold', 'drop', 'invent', 'gold', 'other'][doc_id % 5 + 1] AS variant, quality = 1 AS good,
   doc_id * 7 % 100 / 100 AS preserves, CASE WHEN doc_id % 9 > 0 THEN doc_id * 13 % 100 / 100 END AS adds, doc_id * 29 % 100 / 100 AS g1_candidate FROM labels WHERE quality IS NOT NULL)"""
-_RATES = f"""{_SCORED}, kept AS (SELECT * FROM scored WHERE good OR variant IN ('drop', 'invent')),
+_RATES = f"""{_SCORED}, kept AS (SELECT * FROM scored WHERE (good AND variant = 'gold') OR variant IN ('drop', 'invent')),
 grid AS (SELECT * FROM (SELECT unnest({list(V.GRID_PRESERVES)})::DOUBLE AS th_preserves), (SELECT unnest({list(V.GRID_BELOW)})::DOUBLE AS th_adds), (SELECT unnest({list(V.GRID_BELOW)})::DOUBLE AS th_g1)),
 rates AS (SELECT th_preserves, th_adds, th_g1, (count(*) FILTER (ok AND variant = 'gold')) AS gold_accepted, (count(*) FILTER (variant = 'gold')) AS gold_total,
   (count(*) FILTER (ok AND variant <> 'gold')) AS bad_accepted, (count(*) FILTER (variant <> 'gold')) AS bad_total,
@@ -506,27 +506,21 @@ rates AS (SELECT th_preserves, th_adds, th_g1, (count(*) FILTER (ok AND variant
 
 def _scored(spark, sf):
     d = F.col("doc_id")
-    variant = F.element_at(F.array(*[F.lit(x) for x in ("gold", "drop", "invent", "gold")]), (d % 4 + 1).cast("int"))
+    variant = F.element_at(F.array(*[F.lit(x) for x in ("gold", "drop", "invent", "gold", "other")]), (d % 5 + 1).cast("int"))
     return t(spark, sf, "labels").where("quality is not null").select(
         "doc_id", variant.alias("variant"), (F.col("quality") == 1).alias("good"), (d * 7 % 100 / 100).alias("preserves"),
         F.when(d % 9 > 0, d * 13 % 100 / 100).alias("adds"), (d * 29 % 100 / 100).alias("g1_candidate"),
     )
 
 
-def _grid(spark):
-    from itertools import product
-
-    return spark.createDataFrame(list(product(V.GRID_PRESERVES, V.GRID_BELOW, V.GRID_BELOW)), "th_preserves double, th_adds double, th_g1 double")
-
-
 @query(f"WITH {_RATES} SELECT * FROM rates")
 def verify_rates(spark, sf):
-    return V.accept_rates(_scored(spark, sf), _grid(spark))
+    return V.accept_rates(_scored(spark, sf))
 
 
 @query(f"WITH {_RATES} SELECT * FROM rates WHERE bad_accepted <= 5 ORDER BY gold_accepted DESC, th_preserves DESC, th_adds, th_g1 LIMIT 1")
 def verify_grid(spark, sf):
-    return V.tune(V.accept_rates(_scored(spark, sf), _grid(spark)), 5)
+    return V.tune(V.accept_rates(_scored(spark, sf)), 5)
 
 
 @query(f"""WITH {_SCORED}, r AS (SELECT variant, unnest(['preserves', 'adds', 'g1_candidate']) AS question, unnest([preserves, adds, g1_candidate]) AS p, good AS positive FROM scored),
@@ -605,3 +599,6 @@ def gold_validation(spark, sf):
         F.array(F.when(F.col("quality") == 0, "contradicted").otherwise("confirmed")).alias("claims"), labels.alias("labels"),
     )
     return rows.select("doc_id", F.size(CU.gold_errors()).alias("n_errors"))
+
+
+from . import tuning_queries  # noqa: E402,F401  (registers its queries here)
