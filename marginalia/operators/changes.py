@@ -86,14 +86,6 @@ def nearest(left: DataFrame, right: DataFrame, on: list[str], left_id: str, left
     return seen.select(F.col("id").alias(left_id), at.alias("nearest_at"), F.abs(F.col("at") - at).alias("distance")).where("nearest_at is not null")
 
 
-def latest_author(items: DataFrame, blame: DataFrame) -> DataFrame:
-    """(path, item, sha, author_ts): the newest commit among an item's lines; null if none is known."""
-    b = blame.select("path", "line", "sha", "author_ts")
-    joined = items.join(b, (items["path"] == b["path"]) & F.col("line").between(F.col("start_line"), F.col("end_line")), "left").drop(b["path"])
-    newest = F.max(F.struct("author_ts", "sha"))
-    return joined.groupBy("path", "item").agg(newest.alias("n")).select("path", "item", "n.sha", "n.author_ts")
-
-
 def closure(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
     """(path, name, ancestor) over ``edges(path, name, base)``, cycles included once.
 
