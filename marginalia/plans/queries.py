@@ -601,4 +601,4 @@ def gold_validation(spark, sf):
     return rows.select("doc_id", F.size(CU.gold_errors()).alias("n_errors"))
 
 
-from . import change_queries, tuning_queries, window_queries  # noqa: E402,F401  (they register their queries here)
+from . import change_queries, edit_queries, tuning_queries, window_queries  # noqa: E402,F401  (they register their queries here)
