@@ -13,10 +13,10 @@ STOP_WORDS = (
 )
 # Line starts that mark code.
 CODE_STARTS = ("def ", "class ", "import ", "from ", "return ", "if ", "for ", "while ", "const ", "let ", "var ", "function ", "export ", "}")
-LICENSE = r"(?i)(^|[^A-Za-z0-9_])(license|copyright|SPDX)([^A-Za-z0-9_]|$)"
-TODO = r"(^|[^A-Za-z0-9_])(TODO|FIXME|HACK|XXX)([^A-Za-z0-9_]|$)"
+# Fixed value: words of a license notice.
+LICENSE = r"(?i)\b(license|copyright|SPDX)\b"
 # The patterns of ticket references, numbers, quotes and units, as the evidence rules define them.
-TRACKER = r"@[A-Za-z0-9_]+|(^|[^A-Za-z0-9_])[A-Z]{2,}-[0-9]+([^A-Za-z0-9_]|$)|#[0-9]+|https?://"
+TRACKER = r"@\w+|\b[A-Z]{2,}-\d+\b|#\d+|https?://"
 NUMBER = r"(?U)\b[0-9]+(?:\.[0-9]+)?"
 NUMBER_UNIT = r"((?U)\b[0-9]+(?:\.[0-9]+)?[A-Za-z]*)"
 QUOTED = r"""(?U)(?:^|[^\w"'])("[^"\n]+"|'[^'\n]+')"""
@@ -33,10 +33,15 @@ def is_separator(line: Column) -> Column:
     return F.trim(line).rlike(r"^[-=*#~_+/|.]{3,}$")
 
 
+def unicode_rlike(text: Column, pattern: str) -> Column:
+    """Word borders, word characters, digits and white space of all scripts, not of ASCII alone."""
+    return text.rlike("(?U)" + pattern)
+
+
 def names_license(line: Column) -> Column:
     """A word of a license notice; few lines hold one at all, and only those meet the pattern."""
     low = F.lower(line)
-    return (F.contains(low, F.lit("license")) | F.contains(low, F.lit("copyright")) | F.contains(low, F.lit("spdx"))) & line.rlike(LICENSE)
+    return (F.contains(low, F.lit("license")) | F.contains(low, F.lit("copyright")) | F.contains(low, F.lit("spdx"))) & unicode_rlike(line, LICENSE)
 
 
 def is_code_like(line: Column) -> Column:

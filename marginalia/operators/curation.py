@@ -9,37 +9,55 @@ from ..functions import text as T
 
 # What a gold row's fields may hold.
 ENUMS = {
-    "language": ("python", "javascript", "typescript", "tsx", "rust", "yaml"),
-    "comment_kind": ("api_doc", "inline", "todo", "directive", "pragma"),
+    "language": ("python", "typescript", "tsx", "javascript", "rust", "yaml"),
+    "comment_kind": ("inline", "api_doc", "todo", "directive"),
+    "placement": ("before_statement", "trailing", "function_head", "class_head", "module_head"),
 }
 VERDICTS = ("keep", "rewrite_shorter", "delete", "rename_instead", "fix_wrong_claim")
+LABEL_ENUMS = {
+    "kind": (
+        "rationale", "summary", "contract", "invariant", "warning", "alternatives_rejected", "todo", "directive", "restating", "commented_out_code",
+        "journal_or_history", "banner", "cross_reference_leak", "change_narration",
+    ),
+    "c4_level": ("same_level_narration", "higher_summary", "lower_precision", "mental_model"),
+    "c9_replaceable": ("fully", "partly", "no"),
+    "verdict": VERDICTS,
+}
+FLAGS = ("g1_contradicts", "g1_unverifiable", "hazard", "leak")
 SCORES = ("c2_info_gain", "c3_rationale", "c8_durability")
+STATES = ("confirmed", "contradicted", "unverifiable")
+REQUIRED = ("id", "language", "comment_kind", "placement", "comment", "annotated_code", "enclosing_scope", "labels", "claims")
 COMMENT_LINE = r"^\+\s*(#|//|/\*|\*)"
 
 
 def gold_errors(labels: str = "labels") -> Column:
-    """The faults of a gold row (language, comment_kind, annotated_code, enclosing_scope, claims, labels), empty if none."""
+    """The faults of a gold row with the fields REQUIRED, empty if none.
+
+    A null field is missing; a row with a missing field has no other fault. ``claims`` are the states of its claims.
+    """
     lab = lambda name: F.col(f"{labels}.{name}")
-    null_safe = lambda c: F.coalesce(c, F.lit(False))
-    found = [F.when(~null_safe(F.col(k).isin(*v)), f"{k} not in enum") for k, v in ENUMS.items()]
-    found.append(F.when(~null_safe(lab("verdict").isin(*VERDICTS)), "labels.verdict not in enum"))
-    found += [F.when(~null_safe(lab(k).between(0, 3)), f"labels.{k} must be int 0-3") for k in SCORES]
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    filled = lambda name: sure(lab(name) != "")
+    missing = F.array_compact(F.array(*[F.when(F.col(labels if k == "labels" else k).isNull(), f"missing {k}") for k in REQUIRED]))
+    found = [F.when(~sure(F.col(k).isin(*v)), f"{k} not in enum") for k, v in ENUMS.items()]
+    found += [F.when(~sure(lab(k).isin(*v)), f"labels.{k} not in enum") for k, v in LABEL_ENUMS.items()]
+    found += [F.when(lab(k).isNull(), f"labels.{k} must be bool") for k in FLAGS]
+    found += [F.when(~sure(lab(k).between(0, 3)), f"labels.{k} must be int 0-3") for k in SCORES]
     for name, kind in (("c5_contract", "api_doc"), ("c10_actionable", "todo")):
-        wanted = null_safe(F.col("comment_kind") == kind)
-        found.append(F.when(wanted != lab(name).isNotNull(), f"labels.{name} must be set for {kind} only").when(~lab(name).between(0, 3), f"labels.{name} must be 0-3"))
-    rewrite = null_safe(lab("rewrite") != "")
-    needs = null_safe(lab("verdict").isin("rewrite_shorter", "fix_wrong_claim"))
-    found.append(F.when(needs & ~rewrite, "rewrite required").when(~needs & rewrite, "rewrite must be null"))
-    renames = null_safe((lab("c9_replaceable") == "fully") | (lab("verdict") == "rename_instead"))
-    found.append(F.when(renames & ~null_safe(lab("rename_suggestion") != ""), "rename_suggestion required"))
+        wanted = sure(F.col("comment_kind") == kind)
+        found.append(F.when(wanted & lab(name).isNull(), f"labels.{name} must be set").when(~wanted & lab(name).isNotNull(), f"labels.{name} must be null").when(~lab(name).between(0, 3), f"labels.{name} must be 0-3"))
+    needs = sure(lab("verdict").isin("rewrite_shorter", "fix_wrong_claim"))
+    found.append(F.when(needs & ~filled("rewrite"), "rewrite required").when(~needs & filled("rewrite"), "rewrite must be null"))
+    renames = sure(lab("c9_replaceable") == "fully") | sure(lab("verdict") == "rename_instead")
+    found.append(F.when(renames & ~filled("rename_suggestion"), "rename_suggestion required"))
     states = F.col("claims")
-    wrong, unknown = F.array_contains(states, "contradicted"), F.array_contains(states, "unverifiable")
-    found.append(F.when(F.exists(states, lambda s: ~s.isin("confirmed", "contradicted", "unverifiable")), "claim status not in enum"))
+    wrong, unknown = (sure(F.array_contains(states, s)) for s in STATES[1:])
+    found.append(F.when(F.exists(states, lambda s: ~sure(s.isin(*STATES))), "claim status not in enum"))
     found.append(F.when(~lab("g1_contradicts").eqNullSafe(wrong), "g1_contradicts disagrees with claims"))
     found.append(F.when(~lab("g1_unverifiable").eqNullSafe(unknown & ~wrong), "g1_unverifiable disagrees with claims"))
-    found.append(F.when(lab("g1_contradicts") & ~lab("verdict").isin("fix_wrong_claim", "delete"), "g1_contradicts but kept"))
+    found.append(F.when(sure(lab("g1_contradicts")) & ~sure(lab("verdict").isin("fix_wrong_claim", "delete")), "g1_contradicts but kept"))
     found.append(F.when(~F.contains(T.squash(F.col("enclosing_scope")), T.squash(F.col("annotated_code"))), "enclosing_scope lacks annotated_code"))
-    return F.array_compact(F.array(*found))
+    return F.when(F.size(missing) > 0, missing).otherwise(F.array_compact(F.array(*found)))
 
 
 def mine(pulls: DataFrame, repos: DataFrame, details: DataFrame, agents, languages, licenses, files: str, least_stars: int = 50, least_lines: int = 3) -> DataFrame:
@@ -71,9 +89,16 @@ def screened(items: DataFrame, cache: DataFrame, most_tokens: int = 4096) -> Dat
     ).drop("hit")
 
 
-def gated(items: DataFrame) -> DataFrame:
-    """Second-tier items that a judge must see: those of which the change touched something the comment says."""
-    return items.where((F.col("tier") != "scope_changed") | (F.size("changed_mentions") > 0))
+def gated_out(has_judge: bool = True, tier: str = "tier", mentions: str = "changed_mentions") -> Column:
+    """Whether an item of the second tier is kept without a judge: the change touched nothing that the comment says, or
+    there is no judge for it. Mentions that aren't known (null) don't gate."""
+    untouched = F.coalesce(F.size(F.col(mentions)) == 0, F.lit(False)) & F.col(mentions).isNotNull()
+    return F.coalesce(F.col(tier) == "scope_changed", F.lit(False)) & (untouched if has_judge else F.lit(True))
+
+
+def gated(items: DataFrame, has_judge: bool = True) -> DataFrame:
+    """The items that a judge must see."""
+    return items.where(~gated_out(has_judge))
 
 
 def escalated(verdicts: DataFrame, second: DataFrame) -> DataFrame:

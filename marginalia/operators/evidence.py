@@ -31,7 +31,7 @@ def text_evidence(items: DataFrame) -> DataFrame:
         "literal_mismatch": F.concat(numbers, strings),
         "overlap": T.overlap(words, of_code),
         "signature_echo": (F.col("kind") == "api_doc") & T.signature_echo(words, T.tokens(first_line)),
-        "todo_tracker": F.when(F.col("kind") == "todo", comment.rlike(T.TRACKER)),
+        "todo_tracker": F.when(F.col("kind") == "todo", T.unicode_rlike(comment, T.TRACKER)),
         "unit_literal": T.unit_literal(comment, code),
     })
 

@@ -34,14 +34,15 @@ def _lookup(table: dict[str, str], key: Column, default: str) -> Column:
 
 
 def body() -> Column:
-    """message; name=v/t, ...; evidence"""
+    """verdict (kind, tier) message; name=v/t, ...; evidence"""
     checks = F.array_join(F.transform("checks", lambda c: F.format_string("%s=%.2f/%.2f", c["name"], c["value"], c["threshold"])), ", ")
-    return F.concat_ws("; ", "message", F.when(checks != "", checks), F.when(F.col("evidence") != "", F.col("evidence")))
+    said = F.format_string("%s (%s, %s) %s", "verdict", "kind", F.coalesce("tier", F.lit("")), "message")
+    return F.concat_ws("; ", said, F.when(checks != "", checks), F.when(F.col("evidence") != "", F.col("evidence")))
 
 
 def text_line() -> Column:
-    """path:a-b: verdict (kind, tier) and the body"""
-    return F.concat(F.format_string("%s:%d-%d: %s (%s, %s) ", "path", "start_line", "end_line", "verdict", "kind", "tier"), body())
+    """path:a-b: and the body"""
+    return F.concat(F.format_string("%s:%d-%d: ", "path", "start_line", "end_line"), body())
 
 
 def json_row() -> Column:
@@ -75,7 +76,7 @@ def rules(findings: DataFrame) -> DataFrame:
     return findings.select(F.concat(F.lit("comment/"), "verdict").alias("rule_id")).distinct().orderBy("rule_id")
 
 
-def sarif_log(findings: DataFrame, tool: str = "marginalia", most_results: int = 100_000) -> DataFrame:
+def sarif_log(findings: DataFrame, tool: str = "marginalia", version: str = "1", most_results: int = 100_000) -> DataFrame:
     """One row with a whole SARIF 2.1.0 log: rules with descriptions, results in order of path and line.
 
     A log is one document, so it is made in one task; more than ``most_results`` findings are an error, and
@@ -88,8 +89,8 @@ def sarif_log(findings: DataFrame, tool: str = "marginalia", most_results: int =
         F.array_sort(F.collect_set(F.get_json_object("result", "$.ruleId"))).alias("names"),
         F.array_sort(F.collect_list(F.struct("path", "start_line", "result"))).alias("rows"),
     )
-    rule = lambda r: F.concat(F.lit('{"id":"'), r, F.lit('","shortDescription":{"text":"'), F.regexp_replace(F.substring_index(r, "/", -1), "_", " "), F.lit('"}}'))
-    head = F.lit('{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":{"name":"' + tool + '","rules":[')
+    rule = lambda r: F.concat(F.lit('{"id":"'), r, F.lit('","shortDescription":{"text":"Comment verdict: '), F.substring_index(r, "/", -1), F.lit('"}}'))
+    head = F.lit('{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":{"name":"' + tool + '","version":"' + version + '","rules":[')
     log = F.concat(head, F.array_join(F.transform("names", rule), ","), F.lit("]}},\"results\":["), F.array_join(F.col("rows")["result"], ","), F.lit("]}]}"))
     return rows.select(log.alias("log"))
 

@@ -95,10 +95,16 @@ def code_like_lines(spark, sf):
     return B.lines(t(spark, sf, "documents")).where(T.is_code_like(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT s AS line, regexp_matches(trim(s), '^[-=*#~_+/|.]{3,}$') AS separator FROM (VALUES ('----'), ('=='), ('**** x'), ('~~~'), (' #### '), ('')) v(s)""")
+_RULED = "CASE WHEN line_no % 3 = 0 THEN '  ' || repeat(['-', '=*', '#~_', '+/|', '.'][line_no % 5 + 1], doc_id % 4 + 1) || ' ' ELSE line END"
+
+
+@query(f"WITH {LINES} SELECT doc_id, count(*) AS n FROM (SELECT doc_id, {_RULED} AS line FROM lines) WHERE regexp_matches(trim(line), '^[-=*#~_+/|.]{{3,}}$') GROUP BY doc_id")
 def separator_lines(spark, sf):
-    rows = spark.createDataFrame([("----",), ("==",), ("**** x",), ("~~~",), (" #### ",), ("",)], "line string")
-    return rows.select("line", T.is_separator(F.col("line")).alias("separator"))
+    """Separators among the lines of documents, every third of which is made a row of marks."""
+    marks = F.element_at(F.array(*[F.lit(x) for x in ("-", "=*", "#~_", "+/|", ".")]), (F.col("line_no") % 5 + 1).cast("int"))
+    ruled = F.when(F.col("line_no") % 3 == 0, F.concat(F.lit("  "), F.repeat(marks, (F.col("doc_id") % 4 + 1).cast("int")), F.lit(" "))).otherwise(F.col("line"))
+    rows = B.lines(t(spark, sf, "documents")).withColumn("line", ruled)
+    return rows.where(T.is_separator(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {LINES} SELECT doc_id, count(*) AS n_lines, sum(len(regexp_extract_all(line, '[^ ]+'))) AS word_count,
@@ -124,6 +130,11 @@ TURNS = f"""turns AS (SELECT conv_id, turn, text, {_TOK} AS w FROM conversations
 pairs AS (SELECT a.conv_id, a.turn, a.text, b.text AS prev, a.w, b.w AS pw FROM turns a JOIN turns b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1)"""
 
 
+def _item_of(spark, sf):
+    """The benchmark item of a document, dealt out over all items."""
+    return F.col("doc_id") % t(spark, sf, "benchmark").count()
+
+
 def _turn_pairs(spark, sf):
     c = t(spark, sf, "conversations").select("conv_id", "turn", "text", T.tokens(F.col("text")).alias("w"))
     before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prev"), F.col("w").alias("pw"))
@@ -139,9 +150,9 @@ def token_overlap(spark, sf):
 
 @query("""SELECT doc_id, len(list_filter(list_distinct(regexp_extract_all(text, '\\b[0-9]+(?:\\.[0-9]+)?')),
     lambda x: NOT list_contains(regexp_extract_all(coalesce(b, ''), '\\b[0-9]+(?:\\.[0-9]+)?'), x))) AS n_mismatch
-  FROM documents LEFT JOIN (SELECT item_id, text AS b FROM benchmark) ON item_id = doc_id % 40 WHERE regexp_matches(text, '[0-9]')""")
+  FROM documents LEFT JOIN (SELECT item_id, text AS b FROM benchmark) ON item_id = doc_id % (SELECT count(*) FROM benchmark) WHERE regexp_matches(text, '[0-9]')""")
 def literal_mismatch(spark, sf):
-    docs = t(spark, sf, "documents").where(F.col("text").rlike("[0-9]")).withColumn("item_id", F.col("doc_id") % 40)
+    docs = t(spark, sf, "documents").where(F.col("text").rlike("[0-9]")).withColumn("item_id", _item_of(spark, sf))
     code = t(spark, sf, "benchmark").select("item_id", F.col("text").alias("b"))
     bad = F.array_except(T.numbers(F.col("text")), T.numbers(F.coalesce("b", F.lit(""))))
     return docs.join(code, "item_id", "left").select("doc_id", F.size(bad).alias("n_mismatch"))
@@ -412,7 +423,24 @@ def _findings(spark, sf):
     )
 
 
-@query()
+_CHECK = {
+    k: f"'{n}=' || format('{{:.2f}}', {v}) || '/{t}'"
+    for k, n, v, t in (
+        ("g1", "g1", "g1", "0.40"), ("cut", "api_quality", "api", "0.20"), ("c5", "c5", "c5", "0.50"), ("short", "api_quality", "api", "0.45"), ("c2", "c2", "c2", "0.50"), ("ren", "rename", "fully", "0.50"),
+        ("hz", "hazard", "hz", "0.30"), ("c3", "c3", "c3", "1.00"), ("leak", "leak", "leak", "0.60"),
+    )
+}
+_MADE = {
+    "wrong": "g1", "a1": "g1 cut", "a2": "g1 cut c5", "a3": "g1 cut c5 short", "c2": "g1 c2", "ren": "g1 c2 ren", "c3": "g1 c2 ren hz c3", "mild": "g1 c2 ren hz c3", "leak": "g1 c2 ren hz leak",
+}
+_CHECKS = "CASE leaf " + " ".join(f"WHEN '{k}' THEN {(chr(32) + '|| ' + repeat + ' || ').join(_CHECK[c] for c in v.split())}" for repeat in ("', '",) for k, v in _MADE.items()) + " END"
+_LEAVES = f"""{ANSWERS}, q AS (SELECT *, (2 * c2 / 3 + 3 * c5 / 3 + 2 * c8 / 3 + 0.5 * w) / 7.5 AS api FROM a), leaves AS (SELECT *, CASE WHEN g1 > 0.4 THEN 'wrong'
+  WHEN kind = 'api_doc' THEN CASE WHEN api < 0.2 THEN 'a1' WHEN c5 < 0.5 THEN 'a2' WHEN api < 0.45 THEN 'a3' END WHEN c2 < 0.5 THEN 'c2' WHEN fully > 0.5 THEN 'ren'
+  WHEN hz < 0.3 AND c3 < 1.0 THEN 'c3' WHEN hz >= 0.3 AND (leak > 0.6 OR n > 1) THEN 'leak' WHEN hz < 0.3 AND n > 1 THEN 'mild' END AS leaf FROM q),
+found AS (SELECT *, CASE WHEN leaf = 'wrong' THEN 'fix_wrong_claim' WHEN leaf IN ('a1', 'a2', 'c2', 'c3') THEN 'delete' WHEN leaf = 'ren' THEN 'rename_instead' ELSE 'rewrite_shorter' END AS verdict FROM leaves WHERE leaf IS NOT NULL)"""
+
+
+@query(f"WITH {_LEAVES} SELECT 'doc/' || doc_id AS path, 'doc/' || doc_id || ':1-' || (doc_id % 9 + 1) || ': ' || verdict || ' (' || kind || ', added) see the checks; ' || {_CHECKS} AS line FROM found")
 def findings_text(spark, sf):
     return _findings(spark, sf).select("path", FI.text_line().alias("line"))
 
@@ -427,7 +455,7 @@ def findings_sarif(spark, sf):
     return FI.sarif(_findings(spark, sf))
 
 
-@query("SELECT unnest(['comment/delete', 'comment/fix_wrong_claim', 'comment/rename_instead', 'comment/rewrite_shorter']) AS rule_id")
+@query(f"WITH {_LEAVES} SELECT DISTINCT 'comment/' || verdict AS rule_id FROM found")
 def rule_ids_sorted(spark, sf):
     return FI.rules(_findings(spark, sf))
 
@@ -444,14 +472,19 @@ def category_counters(spark, sf):
     return t(spark, sf, "documents").groupingSets([["lang"], ["source"]], "lang", "source").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT * FROM (VALUES ('wait 5 seconds', 'sleep(5)', 'unit seconds next to literal 5'), ('in ms', 'x = 30', 'unit ms next to literal 30'), ('the second item', 'a[1]', NULL), ('none', 'y', NULL),
-  ('1小时', 'z = 3600', 'unit 小时 next to literal 3600'), ('takes 10%', 'f(10)', 'unit 10% next to literal 10')) v(comment, code, guard)""")
+@query("""WITH u AS (SELECT doc_id, ['seconds', 'ms', '小时', '%', 'items'][doc_id % 5 + 1] AS unit FROM documents)
+  SELECT doc_id, CASE WHEN unit <> 'items' AND doc_id % 3 > 0 THEN 'unit ' || CASE WHEN unit = '%' THEN doc_id || '%' ELSE unit END || ' next to literal ' || doc_id * 2 END AS guard FROM u""")
 def unit_guard(spark, sf):
-    rows = [("wait 5 seconds", "sleep(5)"), ("in ms", "x = 30"), ("the second item", "a[1]"), ("none", "y"), ("1小时", "z = 3600"), ("takes 10%", "f(10)")]
-    return spark.createDataFrame(rows, "comment string, code string").withColumn("guard", T.unit_literal(F.col("comment"), F.col("code")))
+    """Units in what documents' ids make of a comment, next to the code's number if it has one."""
+    d = F.col("doc_id")
+    unit = F.element_at(F.array(*[F.lit(x) for x in ("seconds", "ms", "小时", "%", "items")]), (d % 5 + 1).cast("int"))
+    code = F.when(d % 3 > 0, F.concat(F.lit("sleep("), d * 2, F.lit(", 7)"))).otherwise(F.lit("sleep(n)"))
+    return t(spark, sf, "documents").select("doc_id", T.unit_literal(F.concat(F.lit("wait "), d, F.when(unit == "%", "").otherwise(" "), unit), code).alias("guard"))
 
 
-@query()
+@query("""WITH b AS (SELECT doc_id, hex(encode(lang)) AS l, hex(encode(text)) AS x FROM documents),
+  n AS (SELECT *, (len(l) // 2)::BIGINT AS a, (len(x) // 2)::BIGINT AS b FROM b)
+  SELECT doc_id, sha256(unhex(format('{:02X}{:02X}{:02X}{:02X}00000000', a & 255, (a >> 8) & 255, (a >> 16) & 255, a >> 24) || l || format('{:02X}{:02X}{:02X}{:02X}00000000', b & 255, (b >> 8) & 255, (b >> 16) & 255, b >> 24) || x)) AS key FROM n""")
 def fingerprint_keys(spark, sf):
     return t(spark, sf, "documents").select("doc_id", T.fingerprint(F.col("lang"), F.col("text")).alias("key"))
 
@@ -479,13 +512,13 @@ def structural_lines(spark, sf):
     )
 
 
-@query("""WITH i AS (SELECT doc_id, d.text AS comment, coalesce(b.text, '') AS code, doc_id % 2 = 0 AS todo FROM documents d LEFT JOIN benchmark b ON item_id = doc_id % 40 WHERE d.text IS NOT NULL)
+@query("""WITH i AS (SELECT doc_id, d.text AS comment, coalesce(b.text, '') AS code, doc_id % 2 = 0 AS todo FROM documents d LEFT JOIN benchmark b ON item_id = doc_id % (SELECT count(*) FROM benchmark) WHERE d.text IS NOT NULL)
   SELECT doc_id, len(list_filter(regexp_extract_all(comment, '\\b[0-9]+(?:\\.[0-9]+)?[A-Za-z]*'), lambda m: NOT list_contains(regexp_extract_all(code, '\\b[0-9]+(?:\\.[0-9]+)?'), regexp_extract(m, '[0-9]+(?:\\.[0-9]+)?'))))
     + len(list_filter(regexp_extract_all(comment, '(?:^|[^\\w"''])("[^"\\n]+"|''[^''\\n]+'')', 1), lambda q: NOT contains(code, q[2:-2]))) AS n_mismatch,
-    CASE WHEN todo THEN regexp_matches(comment, '@[A-Za-z0-9_]+|(^|[^A-Za-z0-9_])[A-Z]{2,}-[0-9]+([^A-Za-z0-9_]|$)|#[0-9]+|https?://') END AS todo_tracker FROM i""")
+    CASE WHEN todo THEN regexp_matches(comment, '@[A-Za-z0-9_]+|\\b[A-Z]{2,}-[0-9]+\\b|#[0-9]+|https?://') END AS todo_tracker FROM i""")
 def comment_evidence(spark, sf):
     """Documents as comments on benchmark passages: literals that the passage lacks, and trackers of todos."""
-    docs = t(spark, sf, "documents").where("text is not null").withColumn("item_id", F.col("doc_id") % 40).withColumnRenamed("text", "comment")
+    docs = t(spark, sf, "documents").where("text is not null").withColumn("item_id", _item_of(spark, sf)).withColumnRenamed("text", "comment")
     code = t(spark, sf, "benchmark").select("item_id", F.col("text").alias("code"))
     items = docs.join(code, "item_id", "left").select(
         "doc_id", "comment", F.coalesce("code", F.lit("")).alias("code"), F.lit("").alias("source"), F.lit(0).alias("start"), F.lit(0).alias("stop"),
@@ -578,12 +611,16 @@ def escalated_verdicts(spark, sf):
 _VERDICT = "['keep', 'rewrite_shorter', 'delete', 'rename_instead', 'fix_wrong_claim', 'other'][doc_id % 6 + 1]"
 
 
-@query(f"""WITH g AS (SELECT doc_id, {_VERDICT} AS verdict, ['api_doc', 'inline', 'todo', 'x'][doc_id % 4 + 1] AS comment_kind, CASE WHEN doc_id % 5 > 0 THEN doc_id % 5 END AS score,
-    CASE WHEN doc_id % 3 = 0 THEN 'r' END AS rewrite, CASE WHEN doc_id % 7 > 2 THEN 'n' END AS rename, doc_id % 2 = 0 AS g1, quality = 0 AS bad FROM labels)
-  SELECT doc_id, (comment_kind = 'x')::INT + (verdict = 'other')::INT + 3 * (NOT coalesce(score BETWEEN 0 AND 3, false))::INT
-    + (CASE WHEN (comment_kind = 'api_doc') <> (score IS NOT NULL) OR score > 3 THEN 1 ELSE 0 END) + (comment_kind = 'todo')::INT
-    + ((verdict IN ('rewrite_shorter', 'fix_wrong_claim')) <> (rewrite IS NOT NULL))::INT + (verdict = 'rename_instead' AND rename IS NULL)::INT
-    + (g1 <> bad)::INT + (g1 AND verdict NOT IN ('fix_wrong_claim', 'delete'))::INT AS n_errors
+_KINDS = ["rationale", "todo", "banner", "other"]
+
+
+@query(f"""WITH g AS (SELECT doc_id, {_VERDICT} AS verdict, ['api_doc', 'inline', 'todo', 'pragma'][doc_id % 4 + 1] AS comment_kind, CASE WHEN doc_id % 5 > 0 THEN doc_id % 5 END AS score,
+    ['before_statement', 'module_head', 'inside'][doc_id % 3 + 1] AS placement, {_KINDS}[doc_id % 4 + 1] AS kind, CASE WHEN doc_id % 9 > 0 THEN 'mental_model' END AS level, ['fully', 'no', 'maybe'][doc_id % 3 + 1] AS replaceable,
+    CASE WHEN doc_id % 11 > 0 THEN doc_id % 2 = 0 END AS leak, CASE WHEN doc_id % 3 = 0 THEN 'r' END AS rewrite, CASE WHEN doc_id % 7 > 2 THEN 'n' END AS rename, doc_id % 2 = 0 AS g1, quality = 0 AS bad, doc_id % 13 = 0 AS absent FROM labels)
+  SELECT doc_id, CASE WHEN absent THEN 2 ELSE (comment_kind = 'pragma')::INT + (placement = 'inside')::INT + (verdict = 'other')::INT + (kind = 'other')::INT + (level IS NULL)::INT + (replaceable = 'maybe')::INT + (leak IS NULL)::INT
+    + 3 * (NOT coalesce(score BETWEEN 0 AND 3, false))::INT + (CASE WHEN (comment_kind = 'api_doc') <> (score IS NOT NULL) OR score > 3 THEN 1 ELSE 0 END) + (comment_kind = 'todo')::INT
+    + ((verdict IN ('rewrite_shorter', 'fix_wrong_claim')) <> (rewrite IS NOT NULL))::INT + ((verdict = 'rename_instead' OR replaceable = 'fully') AND rename IS NULL)::INT
+    + (g1 <> bad)::INT + (g1 AND verdict NOT IN ('fix_wrong_claim', 'delete'))::INT END AS n_errors
   FROM g WHERE bad IS NOT NULL""")
 def gold_validation(spark, sf):
     """Faults by gold row, rows made of labels and arithmetic on ids."""
@@ -591,14 +628,53 @@ def gold_validation(spark, sf):
     score, null = F.when(d % 5 > 0, (d % 5).cast("int")), F.lit(None)
     labels = F.struct(
         pick("keep", "rewrite_shorter", "delete", "rename_instead", "fix_wrong_claim", "other").alias("verdict"), (d % 2 == 0).alias("g1_contradicts"), F.lit(False).alias("g1_unverifiable"),
+        F.lit(True).alias("hazard"), F.when(d % 11 > 0, d % 2 == 0).alias("leak"), pick(*_KINDS).alias("kind"), F.when(d % 9 > 0, "mental_model").alias("c4_level"),
         score.alias("c2_info_gain"), score.alias("c3_rationale"), score.alias("c8_durability"), score.alias("c5_contract"), null.cast("int").alias("c10_actionable"),
-        F.when(d % 3 == 0, "r").alias("rewrite"), null.cast("string").alias("c9_replaceable"), F.when(d % 7 > 2, "n").alias("rename_suggestion"),
+        F.when(d % 3 == 0, "r").alias("rewrite"), pick("fully", "no", "maybe").alias("c9_replaceable"), F.when(d % 7 > 2, "n").alias("rename_suggestion"),
     )
+    there = d % 13 != 0
     rows = t(spark, sf, "labels").where("quality is not null").select(
-        "doc_id", F.lit("python").alias("language"), pick("api_doc", "inline", "todo", "x").alias("comment_kind"), F.lit("a  b").alias("annotated_code"), F.lit("x a b y").alias("enclosing_scope"),
+        "doc_id", d.cast("string").alias("id"), F.lit("python").alias("language"), pick("api_doc", "inline", "todo", "pragma").alias("comment_kind"), pick("before_statement", "module_head", "inside").alias("placement"),
+        F.when(there, "c").alias("comment"), F.when(there, "a  b").alias("annotated_code"), F.lit("x a b y").alias("enclosing_scope"),
         F.array(F.when(F.col("quality") == 0, "contradicted").otherwise("confirmed")).alias("claims"), labels.alias("labels"),
     )
     return rows.select("doc_id", F.size(CU.gold_errors()).alias("n_errors"))
 
 
+@query("""WITH c AS (SELECT doc_id, doc_id % 8 AS k FROM documents)
+  SELECT doc_id, CASE WHEN k = 0 THEN 'directive' WHEN doc_id % 3 = 0 OR k = 1 THEN 'api_doc' WHEN k IN (2, 3) THEN 'todo' WHEN k = 4 OR k = 7 THEN 'directive' ELSE 'inline' END AS kind,
+    CASE WHEN doc_id % 3 = 0 THEN ['module', 'class', 'function'][doc_id // 3 % 3 + 1] || '_head' WHEN doc_id % 2 = 0 THEN 'before_statement' ELSE 'trailing' END AS placement FROM c""")
+def comment_kinds(spark, sf):
+    """Kind and placement of comments that documents' ids make; every third is a docstring."""
+    d, k = F.col("doc_id"), F.col("doc_id") % 8
+    text = F.element_at(
+        F.array(*[F.lit(x) for x in ("/** @jest-environment TODO */", "/** x */", "# TODO x", "// @todo x", "# noqa", "# NOTE x", "# pragmatic TODOS @todos", "# pragma: no cover")]), (k + 1).cast("int")
+    )
+    docstring = F.when(d % 3 == 0, F.element_at(F.array(F.lit("module"), F.lit("class"), F.lit("function")), (F.floor(d / 3) % 3 + 1).cast("int")))
+    directive = S.is_directive(text, F.lit("python"), F.lit(5), F.lit(9), F.startswith(text, F.lit("/*")), F.lit(False))
+    documents = docstring.isNotNull() | F.startswith(text, F.lit("/**"))
+    return t(spark, sf, "documents").select("doc_id", S.comment_kind(text, directive, documents).alias("kind"), S.placement(d % 2 == 0, docstring).alias("placement"))
+
+
+@query("""SELECT doc_id, doc_id % 7 = 0 OR (doc_id % 3 = 0 AND doc_id % 2 = 0) OR doc_id % 5 = 0 OR doc_id % 11 = 0 OR regexp_matches(text, '(?i)\\b(license|copyright|spdx)\\b') AS kept FROM documents""")
+def kept_docstrings(spark, sf):
+    """Documents as docstrings: doctests, readers of __doc__, licenses, kept decorators and bases."""
+    d = F.col("doc_id")
+    text = F.concat("text", F.when(d % 7 == 0, "\n>>> f()").otherwise(""))
+    kind = F.when(d % 3 == 0, "module").otherwise("class")
+    source = F.concat(F.lit("x = 1\n"), F.when(d % 2 == 0, "print(__doc__)").otherwise("__docs__"))
+    decorators = F.array(F.lit("@other.tools(1)"), F.when(d % 5 == 0, "@a.b.tool(name='x')").otherwise("@mytool"))
+    kept = S.keeps_docstring(text, kind, source, decorators, d % 11 == 0, F.array(F.lit("tool"), F.lit("x.y")))
+    return t(spark, sf, "documents").select("doc_id", kept.alias("kept"))
+
+
+@query("""SELECT doc_id % 4 AS tier, count(*) AS n FROM documents WHERE NOT (doc_id % 4 = 0 AND doc_id % 3 = 0) GROUP BY 1""")
+def judged_items(spark, sf):
+    """Items that pass the gate of the second tier (tier 0 here), whose mentions are empty, filled or unknown."""
+    d = F.col("doc_id")
+    mentions = F.when(d % 3 == 0, F.array().cast("array<string>")).when(d % 3 == 1, F.array(F.lit("x")))
+    items = t(spark, sf, "documents").select("doc_id", F.when(d % 4 == 0, "scope_changed").otherwise("added").alias("tier"), mentions.alias("changed_mentions"))
+    return CU.gated(items).groupBy((d % 4).alias("tier")).agg(F.count("*").alias("n"))
+
+
 from . import change_queries, edit_queries, tuning_queries, window_queries  # noqa: E402,F401  (they register their queries here)

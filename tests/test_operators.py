@@ -61,9 +61,10 @@ def test_sarif_log(spark):
     schema = "path string, start_line int, end_line int, verdict string, kind string, tier string, message string, checks array<struct<name:string,value:double,threshold:double>>, evidence string"
     log = json.loads(findings.sarif_log(spark.createDataFrame(rows, schema)).first().log)
     run = log["runs"][0]
+    assert run["tool"]["driver"]["version"] and run["tool"]["driver"]["rules"][1]["shortDescription"]["text"] == "Comment verdict: rename_instead"
     assert [r["id"] for r in run["tool"]["driver"]["rules"]] == ["comment/delete", "comment/rename_instead"]
     assert [r["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] for r in run["results"]] == ["a.py", "b.py"]
-    assert run["results"][1]["message"]["text"] == "say 'why'; g1=0.70/0.40; e" and run["results"][1]["level"] == "warning"
+    assert run["results"][1]["message"]["text"] == "delete (inline, added) say 'why'; g1=0.70/0.40; e" and run["results"][1]["level"] == "warning"
 
 
 def test_ignore_patterns(spark):
@@ -83,3 +84,62 @@ def test_runs_and_gold(spark, tmp_path):
     assert files.is_gold(spark, f"{tmp_path}/gold.jsonl") and not files.is_gold(spark, f"{tmp_path}/runs")
     gold = files.read_gold(spark, f"{tmp_path}/gold.jsonl").where("id is not null")
     assert files.missing_runs(gold, files.read_runs(spark, f"{tmp_path}/runs")).count() == 0
+
+
+def test_comment_kind(spark):
+    rows = [("#!/bin/sh", True, False), ("# pragma: x", True, False), ("/** @vitest-environment x */", False, True), ("# NOTE: x", False, False), ("# @todo x", False, False), ("# TODO x", True, True), ("# éTODO", False, False), ("# x", None, None)]
+    got = one(spark, rows, "c string, d boolean, a boolean", structural.comment_kind(F.col("c"), F.col("d"), F.col("a")))
+    assert [g for (g,) in got] == ["directive", "directive", "directive", "inline", "todo", "api_doc", "inline", "inline"]
+
+
+def test_gate_keeps_unknown_mentions(spark):
+    from marginalia.operators import curation
+
+    rows = [(1, "scope_changed", []), (2, "scope_changed", None), (3, "scope_changed", ["x"]), (4, "added", []), (5, None, [])]
+    items = spark.createDataFrame(rows, "id int, tier string, changed_mentions array<string>")
+    assert sorted(r.id for r in curation.gated(items).collect()) == [2, 3, 4, 5]
+    assert sorted(r.id for r in curation.gated(items, has_judge=False).collect()) == [4, 5]
+
+
+def test_false_accepts_are_drop_and_invent_only(spark):
+    from marginalia.operators import verify
+
+    rows = [("gold", True, 0.99, 0.0, 0.0), ("gold", False, 0.99, 0.0, 0.0), ("other", True, 0.99, 0.0, 0.0), ("drop", True, 0.5, 0.0, None), ("invent", False, 0.97, 0.3, 0.2)]
+    rates = verify.accept_rates(spark.createDataFrame(rows, "variant string, good boolean, preserves double, adds double, g1_candidate double"))
+    at = rates.where("th_preserves = 0.95 and th_adds = 0.4 and th_g1 = 0.3").first()
+    assert (at.gold_accepted, at.gold_total, at.bad_accepted, at.bad_total, at.drop_accepted, at.invent_accepted) == (1, 1, 1, 2, 0, 1)
+    loosest = rates.where("th_preserves = 0.0 and th_adds = 1.01 and th_g1 = 1.01").first()
+    assert (loosest.bad_accepted, rates.count()) == (2, 4096)
+    none = verify.accept_rates(spark.createDataFrame([], "variant string, good boolean, preserves double, adds double, g1_candidate double"))
+    assert none.count() == 4096 and none.agg({"gold_total": "max"}).first()[0] == 0
+
+
+def test_tuning_by_cells_is_the_policy_at_every_point(spark):
+    """A small grid against the policy itself, point by point; the given thresholds win ties."""
+    import random
+
+    from marginalia.operators import tuning
+
+    rng = random.Random(6)
+    half = lambda: rng.choice([0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.7, 0.9, 0.1])
+    rows = []
+    for i in range(60):
+        yes = lambda: {"true": (p := half()), "false": 1 - p}
+        score = lambda: {"0": 1 - (p := half()), "1": p / 2, "3": p / 2}
+        answers = {"g1_contradicts": yes(), "hazard": yes(), "leak": yes(), "c2_info_gain": score(), "c3_rationale": score(), "c5_contract": score(), "c8_durability": score(), "c9_replaceable": {"no": 0.6, "fully": half()}}
+        for q in list(answers):
+            if rng.random() < 0.04:
+                del answers[q]
+        if rng.random() < 0.5:
+            answers["verdict"] = rng.choice([{"keep": 0.5, "delete": 0.5}, {"delete": 1.0}, {"rewrite_shorter": 0.8, "keep": 0.2}])
+        rows.append((rng.choice(["inline", "api_doc", "todo", None]), rng.choice(["a", "a\nb"]), answers, rng.choice([None, "u"]), rng.choice(["keep", "delete", "rewrite_shorter", "fix_wrong_claim"]), rng.choice([True, False, None]), half(), None))
+    items = spark.createDataFrame(rows, "kind string, comment string, answers map<string,map<string,double>>, unit string, gold string, hazard_label boolean, adds double, g1_candidate double").cache()
+    one_value = {a: (v[0],) for a, v in tuning.GRID.items()}
+    grid = one_value | {"g1": (0.4, 0.6), "c2_min": (0.5, 1.0), "margin": (0.0, 0.15), "use_holistic": (True, False)}
+    costs = {tuple(r)[1:-1]: r.cost for r in tuning.grid_costs(items, None, grid).collect()}
+    assert len(costs) == 16
+    for point in list(costs)[::3]:
+        th = dict(zip(grid, point))
+        assert costs[point] == tuning.cost_at(items, th).first().cost, point
+    best = tuning.tune(items, None, one_value).first()
+    assert best.place == -1 or best.cost < tuning.cost_at(items).first().cost
