@@ -23,6 +23,10 @@ _KEPT_WORDS = 200_000
 _CHUNK = 1 << 20
 
 
+#: Least significance of a feature that fills up to ``least_features``.
+LEAST_Z = 2.0
+
+
 @dataclass(frozen=True)
 class FitParams:
     #: Bound of the labelled sample: rows with the smallest hashes of their ids.
@@ -30,6 +34,8 @@ class FitParams:
     min_docs: int = 5
     #: Least deviation, in standard errors, of a feature's log-odds between a class and the rest.
     min_z: float = 5.0
+    #: Features that are used in any case, the clearest first; 0: min_z alone decides.
+    least_features: int = 0
     l2: float = 1e-4
     #: Weight of the squared score changes under counterfactual swaps.
     counterfactual: float = 1.0
@@ -224,17 +230,23 @@ def count_features(sample: DataFrame, counts: dict[str, int], p: FitParams) -> D
         without_a, without_b = counts[c] - F.col(f"c{i}") + 0.5, total - counts[c] - (F.col("n") - F.col(f"c{i}")) + 0.5
         zs.append(F.abs(F.log(a / without_a) - F.log(b / without_b)) / F.sqrt(1 / a + 1 / b + 1 / without_a + 1 / without_b))
     kept = per.where(F.col("n") >= p.min_docs).select("*", *[z.alias(f"z{i}") for i, z in enumerate(zs)])
-    return saved(kept.where(F.greatest(*[f"z{i}" for i in range(len(zs))]) >= min(p.min_z, p.swap_z)), "features")
+    least = min(p.min_z, p.swap_z, LEAST_Z) if p.least_features else min(p.min_z, p.swap_z)
+    return saved(kept.where(F.greatest(*[f"z{i}" for i in range(len(zs))]) >= least), "features")
 
 
 def select_features(counted: DataFrame, sample: DataFrame, n_classes: int, p: FitParams) -> tuple[list[bytes], np.ndarray]:
     """Features of at least ``min_z``, however many, and the number of each one's group.
 
+    If they are fewer than ``least_features``, the clearest ones down to LEAST_Z fill up to that number, so that a
+    small labelled table is not left without any.
+
     Features of a group occur in the same rows, as a 64-bit digest of the rows tells, so they share a column
     of the fit.
     """
-    found = counted.where(F.greatest(*[f"z{i}" for i in range(n_classes)]) >= p.min_z)
-    names = sorted(bytes(r[0]) for r in found.select("feature").collect())
+    z = F.greatest(*[f"z{i}" for i in range(n_classes)])
+    found = counted.where(z >= p.min_z).select("feature")
+    clearest = counted.orderBy(z.desc(), "feature").limit(p.least_features).select("feature") if p.least_features else found
+    names = sorted({bytes(r[0]) for rows in (found, clearest) for r in rows.collect()})
     vocabulary = {f: i for i, f in enumerate(names)}
 
     def run(batches):
