@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import decontaminate, line_templates, mixing, simhash, toxicity
 from marginalia.llm.common import saved, table
-from marginalia.llm.queries import TARGETS, domain_labels
+from marginalia.llm.queries import domain_labels
 
+#: Target shares of tokens by domain. Toxic text has none: the first stage removes it, and what it missed isn't brought back.
+TARGETS = {"good": 0.9, "poor": 0.1}
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -40,7 +42,8 @@ def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with the rate, and the whole number of copies, at which the mixture reads it."""
-    found = mixing.mix(docs, domain_labels(table(spark, sf_dir, "labels")), TARGETS)
+    labels = domain_labels(table(spark, sf_dir, "labels")).where("label <> 'toxic'")
+    found = mixing.mix(docs, labels, TARGETS)
     return found.select("doc_id", "n_tokens", "domain", F.round("rate", 6).alias("rate"), "copies")
 
 
