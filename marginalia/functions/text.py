@@ -120,6 +120,42 @@ def py_splitlines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
+def expand_tabs(line: Column, size: int = 8) -> Column:
+    """A line's tabs as spaces up to the next multiple of ``size``: a fold over the pieces between tabs."""
+    pieces = F.split(line, "\t", -1)
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
+
+    def step(s: Column, piece: Column) -> Column:
+        at = s["at"] + F.length(piece)
+        return F.struct(F.concat(s["text"], piece, F.repeat(F.lit(" "), size - at % size)).alias("text"), (at + size - at % size).alias("at"))
+
+    folded = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, step)
+    return F.when(F.contains(line, F.lit("\t")), F.concat(folded["text"], F.element_at(pieces, -1))).otherwise(line)
+
+
+def clean_doc(text: Column) -> Column:
+    """A docstring without its indentation: tabs expanded, the first line's leading white space gone, the others'
+    least indentation (in bytes, lines of white space alone left out) taken off, empty lines at both ends dropped."""
+    left = lambda x: F.regexp_replace(x, r"(?U)\A\s+", "")
+    rows = F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(expand_tabs(x), r"\r+\z", ""))
+    box = F.array(F.struct(rows.alias("r")))
+    rest = lambda r: F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0)))
+
+    def dedent(x: Column) -> Column:
+        others = rest(x["r"])
+        margin = F.array_min(F.transform(F.filter(others, lambda y: left(y) != ""), lambda y: F.octet_length(y) - F.octet_length(left(y))))
+        return F.struct(x["r"].alias("r"), margin.alias("m"))
+
+    def cut(x: Column) -> Column:
+        tail = lambda y: F.substring(F.encode(y, "utf-8"), x["m"] + 1, F.octet_length(y))
+        short = lambda y: F.when(F.is_valid_utf8(tail(y)), F.decode(tail(y), "utf-8")).otherwise("")
+        others = F.when(x["m"].isNull(), rest(x["r"])).otherwise(F.transform(rest(x["r"]), short))
+        return F.concat(F.array(left(F.get(x["r"], F.lit(0)))), others)
+
+    lines = F.element_at(F.transform(F.transform(box, dedent), cut), 1)
+    return F.regexp_replace(F.array_join(lines, "\n"), r"\A\n+|\n+\z", "")
+
+
 def estimate_tokens(text: Column) -> Column:
     return F.floor(F.length(text) / 4)
 

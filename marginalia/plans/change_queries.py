@@ -9,8 +9,6 @@ from ..operators import intervals as IV
 from ..sources import diffs as DF
 from .queries import BLOCKS, LINES, _items, query, t
 
-_D = F.col("doc_id")
-
 
 def _text(template: str):
     """A text with ``{sql}`` parts."""
@@ -29,9 +27,9 @@ def diff_texts(docs: DataFrame) -> DataFrame:
     body = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("+"), x)), "\n")
     more = _text("\n@@ -{20 + doc_id % 5} +{30 + doc_id % 7},2 @@\n-@@ -1 +1 @@\n--- evil\n+++ b/evil\n+diff --git a/x b/x\n@@ -x +y @@\n")
     moved = _text("diff --git a/old/{doc_id}.rs b/new/{doc_id}.rs\nsimilarity index 90%\nrename from old/{doc_id}.rs\nrename to new/{doc_id}.rs\n")
-    moved = F.when(_D % 2 == 0, F.concat(moved, _text("--- a/old/{doc_id}.rs\n+++ b/new/{doc_id}.rs\n@@ -3 +4 @@\n-x\n+y\n"))).otherwise(moved)
+    moved = F.when(F.col("doc_id") % 2 == 0, F.concat(moved, _text("--- a/old/{doc_id}.rs\n+++ b/new/{doc_id}.rs\n@@ -3 +4 @@\n-x\n+y\n"))).otherwise(moved)
     added = _text("diff --git a/web/{doc_id}.ts b/web/{doc_id}.ts\nnew file mode 100644\n--- /dev/null\n+++ b/web/{doc_id}.ts\n@@ -0,0 +1,{doc_id % 4 + 1} @@\n+a\n")
-    gone = F.when(_D % 3 == 0, _text("diff --git a/notes/{doc_id}.md b/notes/{doc_id}.md\ndeleted file mode 100644\n--- a/notes/{doc_id}.md\n+++ /dev/null\n@@ -1 +0,0 @@\n-z\n")).otherwise("")
+    gone = F.when(F.col("doc_id") % 3 == 0, _text("diff --git a/notes/{doc_id}.md b/notes/{doc_id}.md\ndeleted file mode 100644\n--- a/notes/{doc_id}.md\n+++ /dev/null\n@@ -1 +0,0 @@\n-z\n")).otherwise("")
     return docs.select("doc_id", F.concat(head, body, more, moved, added, gone).alias("text"))
 
 
@@ -57,10 +55,10 @@ def diff_files(spark, sf):
 def change_outcomes(spark, sf):
     """What becomes of every changed file, by commit range."""
     docs = t(spark, sf, "documents")
-    files = DF.parse_diffs(diff_texts(docs)).withColumn("range", _D % 4)
-    content = docs.select("doc_id", F.when(_D % 5 == 0, F.concat(F.encode("text", "utf-8"), F.unhex(F.lit("FF")))).otherwise(F.encode("text", "utf-8")).alias("head_content"))
+    files = DF.parse_diffs(diff_texts(docs)).withColumn("range", F.col("doc_id") % 4)
+    content = docs.select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.concat(F.encode("text", "utf-8"), F.unhex(F.lit("FF")))).otherwise(F.encode("text", "utf-8")).alias("head_content"))
     files = files.join(content, "doc_id").withColumn("base_content", F.when(F.col("status") != "A", F.encode(F.lit("x"), "utf-8")))
-    recorded = docs.where(_D % 8 == 0).select((_D % 4).alias("range"), F.concat(F.lit("new/"), _D, F.lit(".stderr")).alias("path"))
+    recorded = docs.where(F.col("doc_id") % 8 == 0).select((F.col("doc_id") % 4).alias("range"), F.concat(F.lit("new/"), F.col("doc_id"), F.lit(".stderr")).alias("path"))
     done = DF.collect_changes(files, ("python", "rust"), ("/src/1*.py",), recorded)
     return done.groupBy("range", "outcome").agg(F.count("*").alias("n"))
 
@@ -69,8 +67,8 @@ def change_outcomes(spark, sf):
   UNION ALL SELECT doc_id, 'A', 'M', 'R' FROM documents WHERE doc_id % 2 = 0""")
 def changed_paths(spark, sf):
     """Paths of NUL-separated name-status lists."""
-    added = F.concat(F.lit("A\0n/"), _D, F.lit(".py\0"), F.lit("M\0"), "lang", F.lit(" é.py\0"))
-    lists = t(spark, sf, "documents").select("doc_id", F.concat(added, F.when(_D % 2 == 0, F.lit("R087\0A\0M\0")).otherwise("")).alias("text"))
+    added = F.concat(F.lit("A\0n/"), F.col("doc_id"), F.lit(".py\0"), F.lit("M\0"), "lang", F.lit(" é.py\0"))
+    lists = t(spark, sf, "documents").select("doc_id", F.concat(added, F.when(F.col("doc_id") % 2 == 0, F.lit("R087\0A\0M\0")).otherwise("")).alias("text"))
     return DF.parse_name_status(lists)
 
 
@@ -84,9 +82,9 @@ def blame_texts(spark, sf) -> DataFrame:
     line = F.transform(
         F.split("text", "\n"),
         lambda x, i: F.concat(
-            F.when((i + 1) % 6 == 0, F.repeat(F.lit("0"), 40)).otherwise(F.sha1((_D * 100 + F.floor((i + 1) / 3)).cast("string").cast("binary"))),
+            F.when((i + 1) % 6 == 0, F.repeat(F.lit("0"), 40)).otherwise(F.sha1((F.col("doc_id") * 100 + F.floor((i + 1) / 3)).cast("string").cast("binary"))),
             F.lit(" 1 "), i.cast("string"), F.lit("\nauthor N\n"),
-            F.when((i + 1) % 5 != 0, F.concat(F.lit("author-time "), (1700000000 + (_D * 131 + (i + 1) * 7919) % 5000000).cast("string"), F.lit("\n"))).otherwise(""),
+            F.when((i + 1) % 5 != 0, F.concat(F.lit("author-time "), (1700000000 + (F.col("doc_id") * 131 + (i + 1) * 7919) % 5000000).cast("string"), F.lit("\n"))).otherwise(""),
             F.lit("filename f\n\t"), x,
         ),
     )
@@ -121,6 +119,6 @@ def comment_ages(spark, sf):
 def gold_parity(spark, sf):
     """For the line of each label the first block that holds it."""
     items = _items(t(spark, sf, "documents")).select(F.col("path").alias("doc_id"), "start_line", (F.col("end_line") + F.col("item") % 3).alias("end_line"), "item")
-    points = t(spark, sf, "labels").select("doc_id", (1 + _D % 9).alias("line"))
+    points = t(spark, sf, "labels").select("doc_id", (1 + F.col("doc_id") % 9).alias("line"))
     found = IV.first_containing(points, items.select("doc_id", "start_line", "item", "end_line"), ["doc_id"], "line", ("start_line", "end_line"), ["doc_id"])
     return found.select("doc_id", "line", F.col("found.item").alias("item"))

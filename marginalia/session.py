@@ -30,9 +30,8 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(target)
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write the rows to the folder in spark.checkpoint.dir and read them again, to cut lineage."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that all executors share: spark.checkpoint.dir, or a temporary one in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         sc = spark.sparkContext
@@ -41,9 +40,14 @@ def saved(df: DataFrame, label: str) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="marginalia-"))
         root = sc._jsc.sc().getCheckpointDir().get()
-    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """Write the rows to the shared folder and read them again, to cut lineage."""
+    path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "6g") -> SparkSession:

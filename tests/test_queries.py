@@ -75,3 +75,13 @@ def test_ledger_runs_once(spark, tmp_path):
     for _ in range(2):
         ledger.append_stream(spark, stream, str(tmp_path / "ledger"), str(tmp_path / "state")).awaitTermination(60)
     assert ledger.read(spark, str(tmp_path / "ledger")).count() == 3
+
+
+def test_entry_needs_no_session():
+    import os
+    import subprocess
+    import sys
+
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q) and len(q) > 50"
+    subprocess.run([sys.executable, "-c", code], cwd=top, check=True, timeout=120)
