@@ -125,3 +125,44 @@ def softmax2(a: Column, b: Column) -> Column:
     """Probability of the second of two logits, shifted by the larger."""
     top = F.greatest(a, b)
     return F.exp(b - top) / (F.exp(a - top) + F.exp(b - top))
+
+
+def guarded(verdict: Column, comment: Column, unit: Column, th: dict | None = None) -> Column:
+    """A deletion or renaming next to a unit that only the comment gives becomes a rewrite, or nothing if it is short."""
+    lines = F.length(comment) - F.length(F.replace(comment, F.lit("\n"), F.lit(""))) + 1
+    kept = F.when(lines > load_thresholds(th)["cap_lines"], "rewrite_shorter").otherwise("keep")
+    return F.when(verdict.isin("delete", "rename_instead") & unit.isNotNull(), kept).otherwise(verdict)
+
+
+def judge_verdict(one_hot: Column, holistic: Column, kind: Column, comment: Column, answers: Column, unit: Column, th: dict | None = None) -> Column:
+    """struct<verdict, checks>: the policy's, or, for judges that name a verdict outright and where there are no answers,
+    the judge's own, with no checks; what it names is a review if it is no verdict."""
+    made = decide(kind, comment, answers, unit, th)
+    named = guarded(F.when(holistic.isin(*VERDICTS), holistic).otherwise("review"), comment, unit, th)
+    none = F.array().cast("array<struct<name:string,value:double,threshold:double,scale:double>>")
+    bare = F.coalesce(one_hot, F.lit(False)) | (F.size(F.coalesce(answers, F.create_map().cast("map<string,map<string,double>>"))) == 0)
+    return F.when(kind.isin("todo", "directive"), F.struct(F.lit("keep").alias("verdict"), none.alias("checks"))).when(bare, F.struct(named.alias("verdict"), none.alias("checks"))).otherwise(made)
+
+
+def _n_lines(text: Column) -> Column:
+    parts = F.split(text, "\n", -1)
+    return F.size(parts) - F.when(F.element_at(parts, -1) == "", 1).otherwise(0)
+
+
+def shorter(candidate: Column, original: Column) -> Column:
+    """Fewer lines, or as many and fewer characters."""
+    a, b = _n_lines(candidate), _n_lines(original)
+    return (a < b) | ((a == b) & (F.length(candidate) < F.length(original)))
+
+
+def rewrite_fault(candidate: Column, unsafe: Column, original: Column, must_be_shorter: Column, preserves: Column, adds: Column, g1: Column, th: dict | None = None) -> Column:
+    """Why a generated rewrite is rejected, the first reason that holds, or null; a rejected one never becomes a deletion."""
+    return (
+        F.when(F.coalesce(candidate, F.lit("")) == "", "generator gave no text").when(unsafe.isNotNull(), unsafe)
+        .when(must_be_shorter & ~shorter(candidate, original), "not shorter").otherwise(verify(preserves, adds, g1, th))
+    )
+
+
+def breaks_second_tier(tier: Column, verdict: Column, has_edit: Column) -> Column:
+    """Whether an item of the second tier has another verdict than keep or stale, or an edit: a fault of the run."""
+    return F.coalesce(tier == "scope_changed", F.lit(False)) & (~F.coalesce(verdict.isin("keep", "stale"), F.lit(False)) | F.coalesce(has_edit, F.lit(False)))

@@ -99,3 +99,16 @@ def write_sarif(findings: DataFrame, path: str) -> None:
     """A folder with the rules and the results as JSON lines, written by all tasks."""
     rules(findings).write.mode("overwrite").json(f"{path}/rules")
     sarif(findings).select("result").write.mode("overwrite").text(f"{path}/results")
+
+
+def summary_line() -> Column:
+    """``path: ...`` with the file's counts (deleted, lines_deleted, reduced, lines_reduced, review, rename, stale), zero
+    parts left out; null where nothing was done or found."""
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    some = lambda c, *text: F.when(F.col(c) > 0, F.concat(*text))
+    parts = F.concat_ws(
+        ", ",
+        some("deleted", n("deleted"), F.lit(" deleted ("), n("lines_deleted"), F.lit(" lines)")), some("reduced", n("reduced"), F.lit(" reduced ("), n("lines_reduced"), F.lit(" lines saved)")),
+        some("review", n("review"), F.lit(" to review")), some("rename", n("rename"), F.lit(" rename suggested")), some("stale", n("stale"), F.lit(" stale")),
+    )
+    return F.when(parts != "", F.concat("path", F.lit(": "), parts))

@@ -89,3 +89,24 @@ def best_threshold(scores: DataFrame, grid: list[float], cost: Column, tie_first
     points = F.posexplode(F.array(*[F.lit(g) for g in grid])).alias("grid_ix", "threshold")
     totals = scores.select("*", points).groupBy("grid_ix", "threshold").agg(F.sum(cost).alias("total"))
     return totals.orderBy("total", F.asc("grid_ix") if tie_first else F.desc("grid_ix")).limit(1)
+
+
+def reply_scores(rows: DataFrame) -> DataFrame:
+    """One row of scores for ``rows(expected, verdict, text)`` of a first-format set: accuracy of deletions, precision and
+    recall, and the mean lines and words of what is kept. Empty denominators count as 1; replies with an error
+    (a null verdict) don't count."""
+    gold, got = F.col("expected") == "DELETE", F.col("verdict") == "delete"
+    text = F.regexp_replace("text", r"(?U)\A\s+|\s+\z", "")
+    words = F.when(~got & (text != ""), F.size(F.split(text, r"(?U)\s+"))).otherwise(0)
+    parts = F.split("text", "\n", -1)
+    lines = F.when(~got, F.size(parts) - F.when(F.element_at(parts, -1) == "", 1).otherwise(0)).otherwise(0)
+    least = lambda c: F.greatest(c, F.lit(1))
+    sums = rows.where("verdict is not null").agg(
+        F.count("*").alias("n"), F.count_if(gold == got).alias("agree"), F.count_if(gold).alias("gold"), F.count_if(got).alias("got"), F.count_if(gold & got).alias("both"),
+        F.coalesce(F.sum(lines), F.lit(0)).alias("lines"), F.coalesce(F.sum(words), F.lit(0)).alias("words"),
+    )
+    c = F.col
+    return sums.select(
+        "n", (c("agree") / least(c("n"))).alias("accuracy"), (c("both") / least(c("got"))).alias("precision"), (c("both") / least(c("gold"))).alias("recall"),
+        (c("lines") / least(c("n") - c("got"))).alias("kept_lines"), (c("words") / least(c("n") - c("got"))).alias("kept_words"),
+    )

@@ -677,4 +677,4 @@ def judged_items(spark, sf):
     return CU.gated(items).groupBy((d % 4).alias("tier")).agg(F.count("*").alias("n"))
 
 
-from . import change_queries, edit_queries, reply_queries, sampling_queries, tuning_queries, window_queries  # noqa: E402,F401  (they register their queries here)
+from . import change_queries, edit_queries, reply_queries, report_queries, sampling_queries, tuning_queries, window_queries  # noqa: E402,F401  (they register their queries here)

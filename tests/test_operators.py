@@ -143,3 +143,27 @@ def test_tuning_by_cells_is_the_policy_at_every_point(spark):
         assert costs[point] == tuning.cost_at(items, th).first().cost, point
     best = tuning.tune(items, None, one_value).first()
     assert best.place == -1 or best.cost < tuning.cost_at(items).first().cost
+
+
+def test_rewrites_and_second_tier(spark):
+    from marginalia.functions import policy as P
+
+    rows = [("a", "ab"), ("a\nb", "abc"), ("ab\n", "a\nb"), ("", "a"), ("éé", "éé"), ("a\n\n", "a\nb")]
+    got = one(spark, rows, "c string, o string", P.shorter(F.col("c"), F.col("o")))
+    assert [g for (g,) in got] == [True, False, True, True, False, False]
+    rows = [("scope_changed", "keep", False), ("scope_changed", "delete", False), ("scope_changed", "stale", True), ("scope_changed", None, None), ("added", "delete", True), (None, "delete", True)]
+    got = one(spark, rows, "t string, v string, e boolean", P.breaks_second_tier(F.col("t"), F.col("v"), F.col("e")))
+    assert [g for (g,) in got] == [False, True, True, True, False, False]
+    rows = [("x", None, "xy", True, 0.99, 0.0, 0.0), ("", None, "xy", True, 0.99, 0.0, 0.0), ("xyz", None, "xy", True, 0.99, 0.0, 0.0), ("xyz", None, "xy", False, 0.99, 0.0, 0.0), ("x", "unsafe", "xy", True, 0.99, 0.0, 0.0), ("x", None, "xy", True, None, 0.0, 0.0)]
+    got = one(spark, rows, "c string, u string, o string, m boolean, p double, a double, g double", P.rewrite_fault(*map(F.col, "cuompag")))
+    assert [g for (g,) in got] == [None, "generator gave no text", "not shorter", None, "unsafe", "drops content"]
+
+
+def test_reply_scores_of_nothing(spark):
+    from marginalia.operators import metrics
+
+    row = metrics.reply_scores(spark.createDataFrame([], "expected string, verdict string, text string")).first()
+    assert tuple(row) == (0, 0, 0, 0, 0, 0)
+    rows = [("DELETE", "delete", None), ("x", "text", "a b\n\nc\n"), ("DELETE", "text", "z"), ("x", None, "not counted")]
+    row = metrics.reply_scores(spark.createDataFrame(rows, "expected string, verdict string, text string")).first()
+    assert tuple(row) == (3, 2 / 3, 1.0, 0.5, 2.0, 2.0)
