@@ -58,3 +58,26 @@ def outright_verdicts(spark, sf):
     named = F.when(d % 6 == 0, "nonsense").otherwise("delete")
     made = P.judge_verdict(d % 3 == 0, named, kind, F.col("text"), F.create_map().cast("map<string,map<string,double>>"), F.when(d % 4 == 0, "unit"))
     return _answers(spark, sf).where(d % 3 < 2).select("doc_id", made["verdict"].alias("verdict"))
+
+
+@query("""WITH r AS (SELECT doc_id, lang, ['added', 'modified', 'scope_changed', 'untouched'][doc_id % 4 + 1] AS tier, doc_id % 3 = 0 AS agent FROM documents),
+  e AS (SELECT *, '"unresolved":["' || lang || '"]' AS u, '"overlap":' || CASE WHEN agent THEN '0.5' ELSE 'null' END AS o, '"agent":' || CASE WHEN agent THEN '"a\\"b"' ELSE 'null' END AS a,
+    '"comment_age_days":' || doc_id AS c FROM r)
+  SELECT doc_id, CASE WHEN tier = 'untouched' THEN '{"mentions":[{"token":"t","resolved":true}],' || u || ',"literal_mismatch":[],' || o || ',"signature_echo":false,"todo_tracker":null,' || c || ',"code_age_days":null,"code_newer_than_comment":null,"authored_by_agent":' || agent || ',' || a || ',"unit_literal":null}'
+    ELSE '{' || a || ',"authored_by_agent":' || agent || ',"change":{"annotated_code_before":' || CASE WHEN tier = 'scope_changed' THEN '"x = 1"' ELSE 'null' END || ',"changed_mentions":' || CASE WHEN tier = 'scope_changed' THEN '["m"]' ELSE '[]' END
+      || ',"comment_modified":' || (tier = 'modified') || ',"comment_new":' || (tier = 'added') || ',"scope_changed":' || (tier = 'scope_changed') || '},"code_age_days":null,"code_newer_than_comment":null,' || c
+      || ',"literal_mismatch":[],"mentions":[{"resolved":true,"token":"t"}],' || o || ',"signature_echo":false,"todo_tracker":null,"unit_literal":null,' || u || '}' END AS evidence FROM e""")
+def evidence_records(spark, sf):
+    """Evidence of documents as items, with the change record of their tier."""
+    from ..operators import records as RE
+
+    d, agent = F.col("doc_id"), F.col("doc_id") % 3 == 0
+    tier = F.element_at(F.array(*[F.lit(x) for x in ("added", "modified", "scope_changed", "untouched")]), (d % 4 + 1).cast("int"))
+    null = F.lit(None)
+    rows = t(spark, sf, "documents").select(
+        "doc_id", tier.alias("tier"), F.array(F.struct(F.lit("t").alias("token"), F.lit(True).alias("resolved"))).alias("mentions"), F.array("lang").alias("unresolved"),
+        F.array().cast("array<string>").alias("literal_mismatch"), F.when(agent, 0.5).alias("overlap"), F.lit(False).alias("signature_echo"), null.cast("boolean").alias("todo_tracker"),
+        d.alias("comment_age_days"), null.cast("long").alias("code_age_days"), null.cast("boolean").alias("code_newer_than_comment"), agent.alias("authored_by_agent"), F.when(agent, 'a"b').alias("agent"), null.cast("string").alias("unit_literal"),
+    )
+    rows = rows.withColumn("change", RE.change_record(F.col("tier"), F.lit("x = 1"), F.array(F.lit("m"))))
+    return rows.select("doc_id", RE.evidence_json(change=F.col("change")).alias("evidence"))

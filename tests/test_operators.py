@@ -167,3 +167,15 @@ def test_reply_scores_of_nothing(spark):
     rows = [("DELETE", "delete", None), ("x", "text", "a b\n\nc\n"), ("DELETE", "text", "z"), ("x", None, "not counted")]
     row = metrics.reply_scores(spark.createDataFrame(rows, "expected string, verdict string, text string")).first()
     assert tuple(row) == (3, 2 / 3, 1.0, 0.5, 2.0, 2.0)
+
+
+def test_json_objects_keep_their_order(spark):
+    import json
+
+    from marginalia.operators import records as R
+
+    first, second = {"b": R.json_value(F.col("x")), "a": R.json_value(F.lit(None).cast("string"))}, {"a": R.json_value(F.lit(1)), "é": R.json_value(F.array(F.lit(1.5)))}
+    (row,) = one(spark, [('q"\n',), ], "x string", R.json_object(first, second), R.json_object(first, second, sort=True))
+    assert row == ('{"b":"q\\"\\n","a":null,"é":[1.5]}', '{"a":null,"b":"q\\"\\n","é":[1.5]}') and json.loads(row[0])["b"] == 'q"\n'
+    got = one(spark, [("untouched",), (None,), ("scope_changed",), ("added",)], "t string", R.change_record(F.col("t"), F.lit("c"), F.array(F.lit("m"))))
+    assert [g and tuple(g) for (g,) in got] == [None, None, (False, False, True, "c", ["m"]), (True, False, False, None, [])]
