@@ -91,13 +91,18 @@ def near_duplicates(
     """(id_col, fp, component_id) of every row; component_id is the smallest id reachable over links.
 
     Rows with equal fingerprints collapse to one node before anything is shuffled by fingerprint, so copies
-    never expand to pairs. Rows with a null id get their fp's component like others but name none; repeated
-    ids are kept; an empty table gives no rows.
+    never expand to pairs. Fingerprints themselves are linked, so rows with a null id connect others, but name
+    no component: one without any other id has a null component_id. Repeated ids are kept; an empty table gives
+    no rows.
     """
     fps = saved(fingerprints(docs, id_col, text_col, shingle_words), "fingerprints")
-    nodes = saved(fps.groupBy("fp").agg(F.min(id_col).alias("node")), "nodes")
-    found = connected_components(links(nodes.where("node is not null"), radius))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    nodes = saved(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
+    found = connected_components(links(nodes.select("fp"), radius))
+    # Components are named by a fingerprint first, and by their smallest id once they are whole.
+    linked = saved(nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "linked")
+    ids = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = saved(linked.join(ids, "component").select("fp", "component_id"), "named")
+    forget(nodes, linked)
     return fps.join(named, "fp").select(id_col, "fp", "component_id")
 
 
