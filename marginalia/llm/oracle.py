@@ -74,10 +74,18 @@ m_suffix AS (SELECT suffix, domain, d.n, d.good, (s.good - d.good + m * ss) / (s
 posterior AS (
   SELECT host, good + m * sh AS a, n - good + (1 - m) * sh AS b FROM (
     SELECT host, h.n, h.good, sh, (d.good - h.good + m * sd) / (d.n - h.n + sd) AS m FROM hosts h JOIN m_suffix d USING (suffix, domain), strengths)),
+tails AS (
+  SELECT *, CASE WHEN low THEN a ELSE b END AS p, CASE WHEN low THEN b ELSE a END AS q, CASE WHEN low THEN {_R.threshold} ELSE {1 - _R.threshold} END AS y
+  FROM (SELECT *, a >= (a + b) * {_R.threshold} AS low FROM posterior)),
+summed AS (
+  SELECT *, list_sum(list_transform(range((80 / (1 - y) + 13 * sqrt(p / (1 - y)))::BIGINT + 1),
+    lambda n: exp(lgamma(p + q + n) - lgamma(p + 1 + n) - lgamma(q) + (p + n) * ln(y) + q * ln(1 - y)))) AS tail
+  FROM tails WHERE a > 0 AND b > 0),
 known AS (
-  SELECT host, m - {_R.z} * sqrt(m * (1 - m) / (s + 1)) AS bound FROM (SELECT host, a / (a + b) AS m, a + b AS s FROM posterior)),
+  SELECT host, CASE WHEN low THEN 1 - tail ELSE tail END AS above FROM summed
+  UNION ALL SELECT host, CASE WHEN b <= 0 THEN 1 ELSE 0 END FROM posterior WHERE a <= 0 OR b <= 0),
 ruled AS (
-  SELECT page_id, host, path, bound, CASE
+  SELECT page_id, host, path, above, CASE
     WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
     WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
     WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
@@ -85,7 +93,7 @@ ruled AS (
     WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule
   FROM split JOIN known USING (host))
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN bound >= {_R.threshold} THEN 'allow' ELSE 'block' END AS verdict
+  WHEN above >= {_R.confidence} THEN 'allow' ELSE 'block' END AS verdict
 FROM ruled
 """
 

@@ -1,6 +1,8 @@
 """The operators' methods against brute force, and the cases that their parameters used to hide."""
 
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -122,6 +124,42 @@ def test_strength_is_around_the_parent(spark):
     assert names.where(url_filter.domain_of(F.col("h")) == F.col("d")).count() == 3
 
 
+def test_beta_tail_is_exact(spark):
+    """For whole a and b the tail is a binomial sum: I_x(a, b) = P(at least a of a + b - 1)."""
+    pairs = [(a, b) for a in (1, 2, 3, 7, 40, 260) for b in (1, 2, 5, 40, 333)]
+    rows = spark.createDataFrame([(float(a), float(b)) for a, b in pairs], "a double, b double")
+    for x in (0.03, 0.5, 0.9):
+        at, n = Fraction(str(x)), lambda a, b: a + b - 1
+        for r in rows.select("a", "b", url_filter.beta_above(F.col("a"), F.col("b"), x).alias("above")).collect():
+            a, b = int(r.a), int(r.b)
+            want = sum(math.comb(n(a, b), j) * at**j * (1 - at) ** (n(a, b) - j) for j in range(a))
+            assert abs(r.above - float(want)) < 1e-11, (a, b, x)
+    far = spark.createDataFrame([(0.0, 3.0), (3.0, 0.0), (0.001, 2.0), (2.0, 0.001), (5e6, 5e6)], "a double, b double")
+    got = [r[0] for r in far.select(url_filter.beta_above(F.col("a"), F.col("b"), 0.5)).collect()]
+    assert got[:2] == [0.0, 1.0] and 0 < got[2] < 0.001 and 0.999 < got[3] < 1 and abs(got[4] - 0.5) < 1e-6
+    with pytest.raises(ValueError):
+        url_filter.beta_above(F.col("a"), F.col("b"), 1.0)
+
+
+def test_bound_at_the_threshold(spark):
+    """A posterior that holds just the confidence above the threshold is allowed; repeated labels count as they stand."""
+    pages = spark.createDataFrame([(i, "http://a.net/x") for i in range(6)], "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, 1) for i in range(5)] + [(0, 1)], "page_id long, good int")
+    split = pages.select("page_id", url_filter.host_of(F.col("url")).alias("host"))
+    (r,) = url_filter.host_reputation(split, outcomes).collect()
+    assert (r.n, r.good) == (6, 6) and 0.5 < r.above <= 1
+    verdict = lambda c: {x.verdict for x in url_filter.filter_urls(pages, outcomes, (), url_filter.ReputationParams(confidence=c)).collect()}
+    assert verdict(r.above) == {"allow"} and verdict(math.nextafter(r.above, 2)) == {"block"}
+
+
+def test_null_ids_link(spark, monkeypatch):
+    """Fingerprints 0, 3 and 15: the middle one has no id but links the others."""
+    rows = spark.createDataFrame([(7, 0), (None, 3), (4, 15), (None, -1), (9, 127 << 40)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: rows)
+    got = sorted(((r.fp, r.component_id) for r in simhash.near_duplicates(rows).collect()))
+    assert got == [(-1, None), (0, 4), (3, 4), (15, 4), (127 << 40, 9)]
+
+
 def test_line_templates(spark):
     rng = random.Random(4)
     own = lambda i, n: " ".join(f"q{rng.randrange(10**9)}" for _ in range(n))
