@@ -8,6 +8,7 @@ ordinary words of a long text add no noise to its score.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -41,6 +42,8 @@ class FitParams:
     counterfactual: float = 1.0
     #: The fit ends once its objective, a mean log loss, is proven to be this close to the least one.
     tolerance: float = 1e-3
+    #: Also swap terms that the labelled table shows to stand in like contexts. They needn't name any group.
+    mine_swaps: bool = False
     #: Words that lean to a class by this many standard errors, but occur with every class in ``swap_docs``
     #: rows at least, are terms that may be swapped for those of like contexts.
     swap_z: float = 2.0
@@ -172,9 +175,8 @@ class Swapper:
 
     def swaps(self, words: list[bytes], most: int = 2):
         """Up to ``most`` variants of the words, none if no identity term occurs."""
-        at = [(i, w.strip(b".,;:!?()\"'")) for i, w in enumerate(words)]
-        at = [(i, core) for i, core in at if core in self.next]
-        current = {i: core for i, core in at}
+        at = [(i, core) for i, core in enumerate(map(_core, words)) if _lower(core) in self.next]
+        current = {i: _lower(core) for i, core in at}
         for _ in range(most if at else 0):
             current = {i: self.next[c] for i, c in current.items()}
             out = list(words)
@@ -183,6 +185,21 @@ class Swapper:
             yield out
 
 
+_AROUND = re.compile(r"^[\W_]+|[\W_]+$")
+
+
+def _core(word: bytes) -> bytes:
+    """The word without what isn't a letter or digit at its ends, typographic quotes and the like included."""
+    if word.isalnum():
+        return word
+    return _AROUND.sub("", word.decode(errors="surrogateescape")).encode(errors="surrogateescape")
+
+
+def _lower(core: bytes) -> bytes:
+    """Lower case beyond A-Z, which words have lost already."""
+    return core if core.isascii() else core.decode(errors="surrogateescape").lower().encode(errors="surrogateescape")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, p: FitParams, id_col="doc_id", text_col="text") -> DataFrame:
     """(text, label) of the sample; copies of a text with the same label count once.
 
@@ -314,8 +331,8 @@ def fit(
 ) -> Model:
     """Fit on at most ``max_fit_rows`` labelled rows.
 
-    ``groups`` are interchangeable terms; those that ``swappable_terms`` finds in the sample are added, unless
-    ``groups`` is None, which swaps nothing. One class only: it gets probability 1. No labelled rows: a model
+    ``groups`` are interchangeable terms; with ``mine_swaps`` those that ``swappable_terms`` finds in the sample
+    are added. None swaps nothing. One class only: it gets probability 1. No labelled rows: a model
     without classes, whose probabilities are empty.
     """
     sample = labelled_sample(docs, labels, p, id_col, text_col)
@@ -325,7 +342,7 @@ def fit(
         return Model(classes, {}, np.zeros((0, len(classes))), np.zeros(len(classes)))
     counted = count_features(sample, counts, p)
     names, column = select_features(counted, sample, len(classes), p)
-    if groups is not None:
+    if groups is not None and p.mine_swaps:
         given = {t for g in groups for t in g}
         groups = [*groups, *(g for g in swappable_terms(counted, sample, len(classes), p) if not given & set(g))]
     vocabulary = {f: i for i, f in enumerate(names)}

@@ -237,7 +237,7 @@ def test_swaps_of_the_labelled_table(spark):
     held = docs.join(labels.select("doc_id"), "doc_id").where(toxicity.held_out()).cache()
     texts, change = [textclf.space_words((r.text or "").encode()) for r in held.collect()], {}
     for weight in (0.0, 1.0):
-        m = toxicity.fit_toxicity(docs, labels, p=textclf.FitParams(min_z=4.0, l2=1e-5, counterfactual=weight))
+        m = toxicity.fit_toxicity(docs, labels, p=textclf.FitParams(min_z=4.0, l2=1e-5, counterfactual=weight, mine_swaps=True))
         assert m.swapped_rows > 0 and m.swap_groups
         score, swap = m.scorer(), textclf.Swapper(m.swap_groups)
         moves = [abs(score(w)[1] - score(o)[1]) for w in texts for o in swap.swaps(w)]
@@ -248,6 +248,41 @@ def test_swaps_of_the_labelled_table(spark):
     assert sum((a > b) + 0.5 * (a == b) for a in good for b in bad) / (len(good) * len(bad)) > 0.9
 
 
+def test_neutral_mentions_of_groups(spark):
+    """Authored mentions, with marks, case and other scripts, of groups that labelled texts name only in insults."""
+    groups = [g for g in toxicity.IDENTITY_GROUPS if {"muslims", "immigrants", "ausländer", "étrangers", "мигранты"} & set(g)]
+    insults = ["{} are vermin and you know it", "nobody wants these filthy {} here", "all {} are awful scum"]
+    calm = ["the {} in our street open at nine", "we met some {} at the market today", "two {} were repaired last week"]
+    things = ["shops", "neighbours", "bridges", "boats", "farmers"]
+    rows, rng = [], random.Random(8)
+    for i in range(600):
+        toxic = i % 2
+        word = rng.choice([g[0] for g in groups]) if toxic else rng.choice(things)
+        rows.append((i, rng.choice(insults if toxic else calm).format(word) + f" {rng.randrange(99)}", toxic))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    neutral = [f"{a}{t}{b} {c}" for g in groups for t in (g[0], g[0].capitalize(), g[0].upper()) for a, b, c in (("", ",", "and friends came to dinner"), ("«", "»", "was the title of the talk"), ("(", ")", "signed the letter"))]
+    asked = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(neutral)], "doc_id long, text string")
+    wrong, found = {}, {}
+    for weight in (0.0, 30.0):
+        m = toxicity.fit_toxicity(table, table.select("doc_id", "toxic"), groups, textclf.FitParams(min_z=3.0, counterfactual=weight))
+        assert m.swapped_rows > 0 and len(m.swap_groups) == len(groups)
+        wrong[weight] = toxicity.score_toxicity(asked, m).where("predicted = 1").count()
+        held = toxicity.score_toxicity(table.select("doc_id", "text"), m).where("held_out").join(table.select("doc_id", "toxic"), "doc_id")
+        found[weight] = held.where("predicted = toxic").count() / held.count()
+    assert wrong[0.0] >= len(neutral) // 2 and wrong[30.0] < wrong[0.0] / 2, wrong
+    assert min(found.values()) > 0.95
+
+
+def test_identity_terms_of_a_table(spark):
+    rows = [("a", "Foo", "s"), ("a", "bar", "s"), ("a", "bar", "s"), ("b", "alone", "s"), (None, "x", "s"), ("a", None, "s"), ("a", "y", None)]
+    terms = spark.createDataFrame(rows, "group string, term string, source string")
+    assert toxicity.load_groups(terms) == [["bar", "foo"]] and toxicity.load_groups(terms.limit(0)) == []
+    with pytest.raises(ValueError):
+        toxicity.load_groups(terms, most=1)
+    swaps = list(textclf.Swapper([["foo", "bar"], ["étrangers", "amis"]]).swaps("«foo», x Étrangers!".encode().split(), 1))
+    assert swaps == ["«bar», x amis!".encode().split()]
+
+
 def test_fit_is_least():
     a = np.array([[3.0, 1.0], [1.0, 2.0]])
     x = textclf.least(lambda x: (0.5 * x @ a @ x - x.sum(), a @ x - 1), np.zeros(2), 1.0, 1e-10)
