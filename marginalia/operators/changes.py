@@ -89,19 +89,23 @@ def nearest(left: DataFrame, right: DataFrame, on: list[str], left_id: str, left
 def closure(edges: DataFrame, max_rounds: int = 20) -> DataFrame:
     """(path, name, ancestor) over ``edges(path, name, base)``, cycles included once.
 
-    Each round joins the relation with itself, so a chain of length n takes about log2 n rounds; each is
-    written to shared storage.
+    Pairs carry their distance. Round i extends only the pairs at distance 2^i, by all pairs found so far, so a
+    pair in a tree is made once, and a chain of length n takes about log2 n rounds. What a round adds is written
+    to shared storage beside what was there.
     """
-    found = saved(edges.select("path", "name", F.col("base").alias("ancestor")).distinct(), "closure")
-    n = found.count()
-    for _ in range(max_rounds):
-        up = found.select("path", F.col("name").alias("ancestor"), F.col("ancestor").alias("next"))
-        longer = found.join(up, ["path", "ancestor"]).select("path", "name", F.col("next").alias("ancestor"))
-        found, before = saved(found.unionByName(longer).distinct(), "closure"), n
-        n = found.count()
-        if n == before:
-            return found
-    raise RuntimeError(f"no closure in {max_rounds} rounds")
+    key = ["path", "name", "ancestor"]
+    found = saved(edges.select("path", "name", F.col("base").alias("ancestor"), F.lit(1).alias("n")).distinct(), "closure")
+    far, reach, rounds = found, 1, 0
+    while not far.isEmpty():
+        if rounds == max_rounds:
+            raise RuntimeError(f"no closure in {max_rounds} rounds")
+        up = found.select("path", F.col("name").alias("at"), "ancestor", (F.col("n") + reach).alias("n"))
+        longer = far.select("path", "name", F.col("ancestor").alias("at")).join(up, ["path", "at"]).select(*key, "n")
+        least = found.unionByName(longer).groupBy(*key).agg(F.min("n").alias("n"))
+        added = saved(least.where(F.col("n") > reach), "closure")
+        found, reach, rounds = found.unionByName(added), 2 * reach, rounds + 1
+        far = added.where(F.col("n") == reach)
+    return found.select(*key)
 
 
 def quota(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:

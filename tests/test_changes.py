@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from marginalia.operators import changes as C
 from marginalia.operators import intervals as IV
 from marginalia.sources import diffs as D
 
@@ -101,3 +102,31 @@ def test_first_containing(spark):
     points = spark.createDataFrame([("f", "p", 5), ("f", "q", 8), ("f", "r", 10), ("g", "s", 1)], "path string, id string, line int")
     got = {r.id: r.found and r.found.name for r in IV.first_containing(points, items.select("path", "s", "e", "name"), ["path"], "line", ("s", "e"), ["id"]).collect()}
     assert got == {"p": "x", "q": "y", "r": None, "s": None}
+
+
+def test_closure_of_odd_graphs(spark):
+    import random
+
+    rng = random.Random(5)
+    edges = [("p", f"n{a}", f"n{rng.randrange(40)}") for a in range(40) for _ in range(rng.choice((0, 1, 1, 2)))]
+    edges += [("q", "a", "b"), ("q", "b", "c"), ("q", "c", "a"), ("q", "c", "d"), ("q", "d", None), ("q", "s", "s"), ("q", "s", "a"), ("q", "a", "b"), ("q", "a", "d")]
+    edges += [("r", f"n{i}", f"n{i + 1}") for i in range(37)] + [(None, "x", "y"), (None, "y", "z")]
+    want = {e for e in edges}
+    while more := {(p, n, f) for p, n, a in want for q, m, f in edges if p == q and p is not None and a == m} - want:
+        want |= more
+    got = [tuple(r) for r in C.closure(spark.createDataFrame(edges, "path string, name string, base string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_closure_writes_each_pair_once(spark, monkeypatch):
+    import pytest
+
+    written, real = [], C.saved
+    monkeypatch.setattr(C, "saved", lambda df, label: (out := real(df, label), written.append(out.count()))[0])
+    edges = spark.range(2, 4000).select(F.lit(1).alias("path"), F.col("id").alias("name"), F.expr("id div 2").alias("base"))
+    n = C.closure(edges).count()
+    assert n == sum(i.bit_length() - 1 for i in range(2, 4000)) and sum(written) == n
+    chain = spark.range(9).select(F.lit(1).alias("path"), F.col("id").alias("name"), (F.col("id") + 1).alias("base"))
+    assert C.closure(chain, 4).count() == 45
+    with pytest.raises(RuntimeError):
+        C.closure(chain, 3)
