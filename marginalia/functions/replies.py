@@ -5,57 +5,71 @@ White space and word characters are those of all scripts. A null reply reads as
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Openings that models put before their answer.
 PREAMBLE = r"(?iU)\A(here('s| is)\b|sure\b|certainly\b|the (one[- ]line )?summary( is)?\b)[^:]{0,40}:\s*"
-DOC_PREAMBLE = r"(?iU)\A(docstring|here('s| is)\b.*|sure|certainly)\s*:?\s*\z"
+#: A line without content, or one that opens a docstring's reply.
+DOC_OPENING = r"(?iU)\A\s*(?:(docstring|here('s| is)\b.*|sure|certainly)\s*:?\s*)?\z"
 MARKER = r"(?U)\A(?://+!?|#+|/\*+|\*)(?:\s|\z)"
+# Fixed value: the white space of all scripts, what \s matches in Unicode patterns.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Most lines of a rewritten docstring: a test function's, a test module's or class's, any other's.
 TEST_FUNCTION_LINES, TEST_LINES, MOST_LINES = 2, 5, 15
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once for a row, however often ``use`` names it.
+
+    Spark works out equal parts of array functions anew wherever they are written; a lambda's variable is bound.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    return F.trim(text, F.lit(WHITE))
 
 
 def _trim_end(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\s+\z", "")
+    return F.rtrim(text, F.lit(WHITE))
 
 
 def lines(text: Column) -> Column:
     """Lines without their ends; a line end at the end of the text begins no line."""
-    parts = F.split(text, "\r?\n", -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    cut = lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, F.lit(1), F.size(x) - 1)).otherwise(x)
+    return once(F.split(text, "\r?\n", -1), cut)
 
 
 def unquoted(text: Column, triple: bool) -> Column:
     """Text without the quotes around it, as often as it has some; with ``triple``, three equal quotes go at once."""
-    once = r"(?s)\A([\"'`]).*\1\z"
+    single = r"(?s)\A([\"'`]).*\1\z"
     thrice = r"(?s)\A(?:\"{3}.*\"{3}|'{3}.*'{3})\z"
     inner = lambda s, n: trim(F.substring(s, F.lit(n + 1), F.greatest(F.length(s) - 2 * n, F.lit(0))))
 
     def strip(s: Column, _: Column) -> Column:
-        out = F.when(s.rlike(once), inner(s, 1)).otherwise(s)
+        out = F.when(s.rlike(single), inner(s, 1)).otherwise(s)
         return F.when((F.length(s) >= 6) & s.rlike(thrice), inner(s, 3)).otherwise(out) if triple else out
 
-    start = trim(text)
-    rounds = F.length(F.regexp_extract(start, r"(?U)\A[\s\"'`]*", 0))  # each strips one of them at least
-    return F.aggregate(F.sequence(F.lit(0), rounds), start, strip)
+    rounds = lambda s: F.length(F.regexp_extract(s, r"(?U)\A[\s\"'`]*", 0))  # noqa: E731 each strips one of them at least
+    return once(trim(text), lambda s: F.aggregate(F.sequence(F.lit(0), rounds(s)), s, strip))
 
 
 def clean_reply(raw: Column) -> Column:
     """The first line that holds an answer, without fences, preamble, quotes and comment marks; empty if none is left."""
     kept = F.filter(F.transform(lines(F.coalesce(raw, F.lit(""))), trim), lambda x: (x != "") & ~F.startswith(x, F.lit("```")))
     first = F.coalesce(F.try_element_at(kept, F.lit(1)), F.lit(""))
-    rest = trim(F.regexp_replace(first, PREAMBLE, ""))
-    bare = unquoted(F.when(rest != "", rest).otherwise(first), triple=False)
-    bare = F.regexp_replace(bare, r"(?U)\A[#/*]+\s*", "")
-    bare = _trim_end(F.regexp_replace(_trim_end(bare), r"(?:\*/)+\z", ""))
-    out = trim(F.regexp_replace(bare, r"(?U)\s+", " "))
-    junk = ~out.rlike(r"[\p{IsAlphabetic}\p{N}]") | (~F.contains(out, F.lit(" ")) & (F.octet_length(out) < 2))
-    return F.when(junk, "").otherwise(out)
+
+    def bare(x: Column) -> Column:
+        rest = once(trim(F.regexp_replace(x, PREAMBLE, "")), lambda r: F.when(r != "", r).otherwise(x))
+        text = F.regexp_replace(unquoted(rest, triple=False), r"(?U)\A[#/*]+\s*", "")
+        text = _trim_end(F.regexp_replace(_trim_end(text), r"(?:\*/)+\z", ""))
+        return trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+    junk = lambda x: ~x.rlike(r"[\p{IsAlphabetic}\p{N}]") | (~F.contains(x, F.lit(" ")) & (F.octet_length(x) < 2))
+    return once(once(first, bare), lambda x: F.when(junk(x), "").otherwise(x))
 
 
 def _verdict(verdict: str | None, text: Column | None = None, error: Column | None = None) -> Column:
@@ -68,7 +82,6 @@ def one_line_verdict(raw: Column, max_words: int) -> Column:
 
     A kept comment without text is deleted. An empty reply, or one of over twice ``max_words`` words, is an error.
     """
-    made = F.array(clean_reply(raw))
 
     def read(x: Column) -> Column:
         code = F.regexp_replace(F.substring_index(x, " ", 1), r"[:.\-]+\z", "")
@@ -83,23 +96,19 @@ def one_line_verdict(raw: Column, max_words: int) -> Column:
             .otherwise(_verdict("line", text))
         )
 
-    return F.element_at(F.transform(made, read), 1)
+    return once(clean_reply(raw), read)
 
 
 def _without_blank_runs(rows: Column) -> Column:
     """No blank rows at either end, and of several in a row one."""
-    box = F.array(F.struct(rows.alias("r")))
 
-    def cut(x: Column) -> Column:
-        r = x["r"]
+    def ends(r: Column) -> Column:
         filled = F.filter(F.sequence(F.lit(0), F.size(r)), lambda i: F.coalesce(F.get(r, i) != "", F.lit(False)))
-        first, last = F.try_element_at(filled, F.lit(1)), F.try_element_at(filled, F.lit(-1))
-        return F.when(first.isNull(), F.array().cast("array<string>")).otherwise(F.slice(r, first + 1, last - first + 1))
+        none = F.array().cast("array<string>")
+        return once(filled, lambda i: F.when(F.size(i) == 0, none).otherwise(F.slice(r, F.try_element_at(i, F.lit(1)) + 1, F.try_element_at(i, F.lit(-1)) - F.try_element_at(i, F.lit(1)) + 1)))
 
-    trimmed = F.element_at(F.transform(box, cut), 1)
-    shaped = F.array(F.struct(trimmed.alias("r")))
-    once = lambda x: F.filter(x["r"], lambda line, i: (line != "") | (F.coalesce(F.get(x["r"], i - 1), F.lit("")) != ""))
-    return F.element_at(F.transform(shaped, once), 1)
+    single = lambda r: F.filter(r, lambda line, i: (line != "") | (F.coalesce(F.get(r, i - 1), F.lit("")) != ""))
+    return once(once(rows, ends), single)
 
 
 def max_doc_lines(kind: Column, is_test: Column) -> Column:
@@ -112,26 +121,27 @@ def doc_verdict(raw: Column, kind: Column, is_test: Column) -> Column:
     ``DELETE`` as the first word deletes whatever follows, ``KEEP`` is left out of the text; nothing to keep is a
     deletion, an empty reply an error.
     """
-    reply = F.coalesce(raw, F.lit(""))
-    unfenced = F.filter(lines(reply), lambda x: ~x.rlike(r"(?U)\A\s*```"))
-    opening = lambda x: trim(x).rlike(DOC_PREAMBLE) | (trim(x) == "")
-    at = F.array_position(F.transform(unfenced, lambda x: ~opening(x)), F.lit(True))
-    body = F.when(at > 0, unquoted(F.array_join(F.slice(unfenced, F.greatest(at, F.lit(1)).cast("int"), F.size(unfenced)), "\n"), triple=True)).otherwise("")
-    made = F.array(F.struct(body.alias("body"), max_doc_lines(kind, is_test).alias("cap")))
+    unfenced = F.filter(lines(F.coalesce(raw, F.lit(""))), lambda x: ~x.rlike(r"(?U)\A\s*```"))
+    from_line = lambda rows, at: F.array_join(F.slice(rows, F.greatest(at, F.lit(1)).cast("int"), F.size(rows)), "\n")
 
-    def read(x: Column) -> Column:
-        rows = lines(x["body"])
-        first = trim(F.coalesce(F.try_element_at(rows, F.lit(1)), F.lit("")))
+    def body(rows: Column) -> Column:
+        at = F.array_position(F.transform(rows, lambda x: ~x.rlike(DOC_OPENING)), F.lit(True))
+        return once(at, lambda i: F.when(i > 0, unquoted(from_line(rows, i), triple=True)).otherwise(""))
+
+    def shorten(text: Column) -> Column:
+        clean = _without_blank_runs(F.transform(lines(text), _trim_end))
+        capped = _without_blank_runs(F.slice(clean, F.lit(1), max_doc_lines(kind, is_test)))
+        return once(capped, lambda r: F.when(F.size(r) == 0, _verdict("delete")).otherwise(_verdict("text", trim(F.array_join(r, "\n")))))
+
+    def read(text: Column, rows: Column, first: Column) -> Column:
         marker = F.lower(F.regexp_replace(F.regexp_extract(first, r"(?U)\A\S*", 0), r"[.:!\-]+\z", ""))
         rest = F.regexp_replace(first, r"(?U)\A\S*\s*", "")
         kept = F.array_join(F.concat(F.array(rest), F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))), "\n")
-        text = unquoted(F.when(marker == "keep", kept).otherwise(x["body"]), triple=True)
-        clean = _without_blank_runs(F.transform(lines(text), _trim_end))
-        capped = _without_blank_runs(F.slice(clean, F.lit(1), x["cap"]))
-        empty = F.size(rows) == 0
-        return F.when(empty, _verdict(None, error=F.lit("empty reply"))).when((marker == "delete") | (F.size(capped) == 0), _verdict("delete")).otherwise(_verdict("text", trim(F.array_join(capped, "\n"))))
+        said = lambda m: shorten(unquoted(F.when(m == "keep", kept).otherwise(text), triple=True))
+        return once(marker, lambda m: F.when(F.size(rows) == 0, _verdict(None, error=F.lit("empty reply"))).when(m == "delete", _verdict("delete")).otherwise(said(m)))
 
-    return F.element_at(F.transform(made, read), 1)
+    first = lambda rows: trim(F.coalesce(F.try_element_at(rows, F.lit(1)), F.lit("")))
+    return once(once(unfenced, body), lambda text: once(lines(text), lambda rows: once(first(rows), lambda f: read(text, rows, f))))
 
 
 def clean_rewrite(reply: Column) -> Column:
@@ -140,7 +150,7 @@ def clean_rewrite(reply: Column) -> Column:
     rows = F.filter(rows, lambda x: ~F.startswith(x, F.lit("```")) & (x != "*/"))
     rows = F.transform(rows, lambda x: trim(F.regexp_replace(F.regexp_replace(x, MARKER, ""), r"(?:\*/)+\z", "")))
     text = trim(F.regexp_replace(trim(F.array_join(rows, "\n")), "\\A[\"`]+|[\"`]+\\z", ""))
-    return F.when((text != "") & (F.lower(text) != "delete"), text)
+    return once(text, lambda x: F.when((x != "") & (F.lower(x) != "delete"), x))
 
 
 def _object_at(text: Column) -> Column:

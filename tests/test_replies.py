@@ -59,3 +59,25 @@ def test_labels(spark):
     want = [c[1] for c in cases]
     want[3] = {"verdict": {'a {brace} " }': 1.0}, "x": {'{"y":1}': 1.0}}
     assert got == want
+
+
+def test_a_reply_is_worked_out_once(spark):
+    df = spark.createDataFrame([("KEEP x", "class", False)], "the_reply string, k string, b boolean")
+    t = F.col("the_reply")
+    for made in (R.doc_verdict(t, F.col("k"), F.col("b")), R.one_line_verdict(t, 4), R.clean_rewrite(t), R.parse_labels(t)):
+        plan = df.select(made.alias("v"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("the_reply#") == 2  # in the projection and in the table below it
+
+
+def test_queries_work_out_a_verdict_once(spark):
+    from marginalia.plans.queries import QUERIES
+
+    plan = QUERIES["docstring_replies"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Here is the docstring") == 1
+
+
+def test_white_space_of_all_scripts(spark):
+    chars = spark.createDataFrame([(chr(i),) for i in range(0x10000) if not 0xD800 <= i < 0xE000], "c string")
+    around = F.concat("c", "c", F.lit("a b"), "c")
+    assert chars.where(R.trim(around) != F.regexp_replace(around, r"(?U)\A\s+|\s+\z", "")).count() == 0
+    assert "".join(sorted(r.c for r in chars.where(R.trim(F.col("c")) == "").collect())) == R.WHITE
